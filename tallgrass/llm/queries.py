@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm import decontaminate, quality, sharding, simhash
+from tallgrass.llm import bpe, decontaminate, quality, sharding, simhash, tokenfile, warc
 from tallgrass.llm.common import table
 
 
+def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
+    """The place of a public vocabulary file; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
@@ -20,11 +27,38 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    read = warc.read_warc(warc.write_warc(warc.plan_records(pages))).where("kind in ('response', 'revisit')")
+    id_type = dict(pages.dtypes)["page_id"]
+    own = F.col("kind") == "response"
+    return read.select(
+        F.nullif(F.substring_index("record_id", ":", -1), F.lit("")).cast(id_type).alias("page_id"),
+        F.when(own, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
+        F.when(own, F.sha2("payload", 256)).otherwise(F.col("digest")).alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        F.substring_index("refers_to", ":", -1).cast(id_type).alias("refers_to"),
+    )
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_file())
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = tokenfile.write_tokens(docs, vocabulary_file(), end_id=1, n_vocab=49408)
+    read = tokenfile.read_documents(files, dict(docs.dtypes)["doc_id"])
+    return read.select("doc_id", "start", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -34,7 +68,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
         "op3_simhash": op3_simhash,
+        "op4_warc": op4_warc,
         "op5_quality": op5_quality,
+        "op7_bpe": op7_bpe,
+        "op8_token_files": op8_token_files,
         "op10_sharding": op10_sharding,
     }
 
