@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm import bpe, decontaminate, quality, sharding, simhash, suffix, tokenfile, warc
+from tallgrass.llm import bpe, decontaminate, lm, quality, sharding, simhash, suffix, tokenfile, warc
 from tallgrass.llm.common import table
 
 
@@ -46,6 +46,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_file())
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -76,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op4_warc": op4_warc,
         "op5_quality": op5_quality,
+        "op6_lm_scores": op6_lm_scores,
         "op7_bpe": op7_bpe,
         "op8_token_files": op8_token_files,
         "op9_suffix_array": op9_suffix_array,
