@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm import bpe, decontaminate, lm, quality, sharding, simhash, suffix, tokenfile, warc
+from tallgrass.llm import bpe, decontaminate, license, lm, quality, sharding, simhash, suffix, tokenfile, warc
 from tallgrass.llm.common import table
 
 
@@ -18,6 +18,12 @@ def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = license.scan(docs, *license.fit(docs))
+    return found.select("doc_id", "n_paragraphs", "n_licenses", "n_unconfirmed", F.array_join("families", ",").alias("families"), "license", F.round("probability", 4).alias("probability"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
@@ -75,8 +81,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license": op1_license,
         "op2_decontamination": op2_decontamination,
         "op3_simhash": op3_simhash,
         "op4_warc": op4_warc,
@@ -86,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_suffix_array": op9_suffix_array,
         "op10_sharding": op10_sharding,
+        "pipeline": pipeline,
     }
 
 

@@ -25,7 +25,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,14 +55,19 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, key, fp): key is a hash of the text, fp the fingerprint as a signed long."""
 
     @F.pandas_udf(T.LongType())
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), fp(F.col(text_col)).alias("fp"))
+
+
+def text_key(text: Column) -> Column:
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text, F.octet_length(text))
 
 
 def _signed(x: int) -> int:
@@ -102,14 +107,30 @@ def links(fps: DataFrame, max_distance: int = 2, most_in_bucket: int = 16) -> Da
     return found.union(points.join(first, "point").where("fp <> a").select("a", F.col("fp").alias("b")).distinct())
 
 
+def _rooted(prints: DataFrame, rep: Column, max_distance: int) -> DataFrame:
+    """(fp, rep, root): the aggregate ``rep`` of each fingerprint's rows, and the fingerprint that stands for its class."""
+    reps = prints.groupBy("fp").agg(rep.alias("rep"))
+    edges = cut(links(reps.select("fp"), max_distance), "simhash-links")
+    roots = connected_components(edges, "simhash-components").select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    return reps.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed), fingerprint (hex), component_id (the
     smallest id that can be reached over links, its own included)."""
     prints = cut(fingerprints(docs, shingle, id_col, text_col), "simhash-fps")
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    edges = cut(links(reps.select("fp"), max_distance), "simhash-links")
-    roots = connected_components(edges, "simhash-components").select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    rooted = reps.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, F.min("doc_id"), max_distance)
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = rooted.join(smallest, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their own columns, that have the smallest id in their class, one for each class."""
+    prints = cut(fingerprints(docs, shingle, id_col, text_col), "simhash-fps")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    best = _rooted(prints, rep, max_distance).groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.doc_id").alias("_tg_id"), F.col("rep.key").alias("_tg_best"))
+    kept = docs.withColumn("_tg_key", text_key(F.col(text_col))).join(best, F.col(id_col).eqNullSafe(F.col("_tg_id")) & (F.col("_tg_key") == F.col("_tg_best")), "left_semi")
+    if not prints.groupBy("doc_id", "key").count().where("count > 1").isEmpty():  # rows with equal id and text
+        kept = kept.dropDuplicates([id_col, "_tg_key"])
+    return kept.drop("_tg_key")
