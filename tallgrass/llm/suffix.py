@@ -280,7 +280,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def cut_spans(text: bytes, spans: list[dict[str, int]] | None) -> tuple[list[dict[str, int]], bytes]:
     """(the maximal runs that the spans cover, the bytes outside them)."""
     runs: list[list[int]] = []
-    for first, last in sorted((x["first"], x["last"]) for x in spans or ()):
+    for first, last in sorted((x["first"], x["last"]) for x in (() if spans is None else spans)):
         if runs and first <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], last)
         else:
