@@ -1,0 +1,117 @@
+"""Numerical kernels for small dense groups: one view, permutation or walk at a time in ``applyInPandas``.
+
+A view has as many nodes as its modules name (hundreds), so its matrix fits a task whatever the number of samples; views and permutations are spread."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: The most nodes a view may have for a dense kernel.
+MOST_NODES = 4000
+
+
+def _dense(edges: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    nodes = np.unique(np.r_[edges["src"].to_numpy(), edges["dst"].to_numpy()])
+    if len(nodes) > MOST_NODES:
+        raise ValueError(f"a view has {len(nodes)} nodes; dense kernels take {MOST_NODES}")
+    a = np.zeros((len(nodes), len(nodes)))
+    i, j = np.searchsorted(nodes, edges["src"]), np.searchsorted(nodes, edges["dst"])
+    np.maximum.at(a, (i, j), edges["weight"].to_numpy(float))
+    np.maximum.at(a, (j, i), edges["weight"].to_numpy(float))
+    np.fill_diagonal(a, 0)
+    return nodes, a
+
+
+def _embed(a: np.ndarray, dim: int) -> np.ndarray:
+    degree = a.sum(1)
+    scale = np.where(degree > 0, 1 / np.sqrt(np.where(degree > 0, degree, 1)), 0)
+    u, s, _ = np.linalg.svd(a * scale[:, None] * scale[None])
+    out = np.zeros((len(a), dim))
+    k = min(dim, len(s))
+    out[:, :k] = u[:, :k] * np.sqrt(s[:k])
+    return out
+
+
+def _coupling(e: np.ndarray, left: np.ndarray, right: np.ndarray) -> float:
+    unit = e / (np.linalg.norm(e, axis=1, keepdims=True) + 1e-12)
+    pairs = unit[left] @ unit[right].T
+    return float(pairs.mean()) if pairs.size else float("nan")
+
+
+def spectral_embedding(view_edges: DataFrame, dim: int = 16) -> DataFrame:
+    """(view, node, vector): U sqrt(S) of the normalised adjacency, padded to ``dim``. Signs and rotations are arbitrary."""
+    node = dict(view_edges.dtypes)["src"]
+
+    def run(key: tuple, edges: pd.DataFrame) -> pd.DataFrame:
+        nodes, a = _dense(edges)
+        return pd.DataFrame({"view": key[0], "node": nodes, "vector": list(_embed(a, dim))})
+
+    return view_edges.groupBy("view").applyInPandas(run, f"view string, node {node}, vector array<double>")
+
+
+def label_permutation(view_edges: DataFrame, modules: DataFrame, n: int, dim: int = 16, seed: int = 42) -> DataFrame:
+    """(view, perm, coupling): the mean cosine between the nodes of modules a and b, with node labels permuted; permutation 0 is the observed one.
+
+    ``modules`` (module, node) names a and b. Each (view, permutation block) is a group of its own; a permutation of labels leaves degrees and weights as they are."""
+    members = {r["module"]: r["nodes"] for r in modules.groupBy("module").agg(F.collect_set("node").alias("nodes")).collect()}  # module sizes
+    left, right = members["a"], members["b"]
+
+    def run(key: tuple, edges: pd.DataFrame) -> pd.DataFrame:
+        nodes, a = _dense(edges)
+        e = _embed(a, dim)
+        i, j = (np.flatnonzero(np.isin(nodes, m)) for m in (left, right))
+        rows = []
+        for perm in range(key[1] * 50, min(n + 1, key[1] * 50 + 50)):
+            order = np.arange(len(nodes)) if perm == 0 else np.random.default_rng([seed, perm]).permutation(len(nodes))
+            rows.append((key[0], perm, _coupling(e[order], i, j)))
+        return pd.DataFrame(rows, columns=["view", "perm", "coupling"])
+
+    blocks = view_edges.select("view", "src", "dst", "weight", F.explode(F.sequence(F.lit(0), F.lit(n // 50))).alias("block"))
+    return blocks.groupBy("view", "block").applyInPandas(run, "view string, perm int, coupling double")
+
+
+def walk_cooccurrence(view_edges: DataFrame, n_walks: int = 200, length: int = 30, window: int = 5, seed: int = 42) -> DataFrame:
+    """(view, a, b, n): how often two nodes are within ``window`` steps on random walks, weighted by edges."""
+    node = dict(view_edges.dtypes)["src"]
+
+    def run(key: tuple, edges: pd.DataFrame) -> pd.DataFrame:
+        nodes, a = _dense(edges)
+        rng = np.random.default_rng(seed)
+        reach = np.cumsum(a, 1)
+        at = np.repeat(np.arange(len(nodes)), n_walks)
+        steps = [at]
+        for _ in range(length - 1):
+            aim = rng.random(len(at)) * reach[at, -1]
+            at = np.minimum((reach[at] <= aim[:, None]).sum(1), len(nodes) - 1)
+            steps.append(at)
+        counts = np.zeros((len(nodes), len(nodes)), np.int64)
+        for gap in range(1, window + 1):
+            for s, t in zip(steps, steps[gap:], strict=False):
+                np.add.at(counts, (s, t), 1)
+        counts += counts.T
+        i, j = np.nonzero(np.triu(counts, 1))
+        return pd.DataFrame({"view": key[0], "a": nodes[i], "b": nodes[j], "n": counts[i, j]})
+
+    return view_edges.groupBy("view").applyInPandas(run, f"view string, a {node}, b {node}, n long")
+
+
+def learned_fusion(rows: DataFrame, run_col: str, views: list[str], y: str, rounds: int = 200, rate: float = 0.5) -> DataFrame:
+    """(run, view, weight): softmax weights of the views' scores that fit y best in log loss; one run's training rows at a time."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x, target = part[views].to_numpy(float), part[y].to_numpy(float)
+        w = np.zeros(len(views))
+        for _ in range(rounds):
+            share = np.exp(w - w.max())
+            share /= share.sum()
+            p = 1 / (1 + np.exp(-(x @ share)))
+            slope = x.T @ (p - target) / len(target)
+            w -= rate * share * (slope - share @ slope)
+        share = np.exp(w - w.max())
+        return pd.DataFrame({"run": key[0], "view": views, "weight": share / share.sum()})
+
+    kind = dict(rows.dtypes)[run_col]
+    return rows.groupBy(run_col).applyInPandas(run, f"run {kind}, view string, weight double")
