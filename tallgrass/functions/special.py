@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -62,23 +63,23 @@ def wilcoxon_two_sided(w: float, n: int) -> float:
     return min(1.0, 2 * sum(counts[: int(math.floor(tail)) + 1]) / 2**n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     p = t_two_sided(t.to_numpy(float), df.to_numpy(float))
     return pd.Series(p).where(~np.isnan(p))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_pvalue(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def wilcoxon_pvalue(w: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) else wilcoxon_two_sided(float(a), int(b)) for a, b in zip(w, n, strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def hypergeometric_tail(k: pd.Series, total: pd.Series, good: pd.Series, drawn: pd.Series) -> pd.Series:
     """P(at least k of ``drawn`` are good), for over-representation."""
 

@@ -48,7 +48,7 @@ def top_variance(moments: DataFrame, n: int, feature: str = "feature") -> DataFr
 
 def binned_dispersion(moments: DataFrame, n_bins: int, feature: str = "feature") -> DataFrame:
     """With dispersion = var / mean, its bin by mean rank, and its z-score in the bin."""
-    rows = moments.where("mean > 0").withColumn("dispersion", F.col("var") / F.col("mean")).withColumn("bin", F.ntile(n_bins).over(Window.orderBy("mean", feature)))
+    rows = moments.where("mean > 0").withColumn("dispersion", F.col("var") / F.col("mean")).withColumn("bin", F.ntile(n_bins).over(Window.orderBy("mean", feature)).cast("long"))
     of = Window.partitionBy("bin")
     sd = F.stddev_samp("dispersion").over(of)
     return rows.withColumn("z", F.coalesce((F.col("dispersion") - F.avg("dispersion").over(of)) / F.when(sd > 0, sd), F.lit(0.0)))
@@ -99,4 +99,4 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, ident: str, vector: str)
     q = queries.select(F.col(ident).alias("_q"), F.col(vector).alias("_qv"))
     scored = vectors.join(F.broadcast(q)).where(F.col(ident) != F.col("_q")).select(F.col("_q").alias("query"), F.col(ident).alias("neighbour"), F.round(cosine("_qv", vector), 6).alias("similarity"))
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)

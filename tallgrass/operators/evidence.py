@@ -31,7 +31,7 @@ def weighted(columns: dict[str, float]) -> Column:
 
 def ranked(rows: DataFrame, by: list[Column], out: str = "rank", groups: list[str] | None = None) -> DataFrame:
     """Positions 1, 2, ...; ``by`` ends with a key, so that ties have an order. Over all rows the ranking is one sorted window."""
-    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*(groups or [])).orderBy(*by)))
+    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*(groups or [])).orderBy(*by)).cast("long"))
 
 
 def outer_merge(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
