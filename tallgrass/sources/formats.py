@@ -15,7 +15,7 @@ _NO_SYMBOL = ("", "---", "NA", "nan")
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, at): a file's lines in their order. Archive headers fix what follows, so a file is read as one text; many files are read side by side."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
 
 
