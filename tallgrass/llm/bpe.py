@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 _WORD_END = "</w>"
 #: Added to a symbol's code point to mark it as a word's last.
@@ -62,9 +63,12 @@ class Memory(dict):
 
 
 class Splitter:
-    """The words of a text, as the vocabulary file's normalizer and splitting pattern give them."""
+    """The words of a text, as the vocabulary file's normalizer and splitting pattern give them. Whether a character is a letter depends on the
+    version of Unicode: a text with characters that Python's tables have not is left to the tokenizers library's own splitter."""
 
-    def __init__(self, spec: dict):
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         steps = [x["type"] for x in spec["normalizer"]["normalizers"]]
         split, level = spec["pre_tokenizer"]["pretokenizers"]
         if steps != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed" or not split["invert"] or level["type"] != "ByteLevel":
@@ -73,10 +77,15 @@ class Splitter:
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         marks = sorted(map(regex.escape, self.added), key=len, reverse=True)
         self._marks = regex.compile(f"({'|'.join(marks)})") if marks else None
+        self._library = Tokenizer.from_file(path)
+        self._bytes = {ord(s): b for b, s in enumerate(_byte_symbols())}
 
     def plain(self, text: str) -> list[str]:
         """The words of a text without added tokens. White space only separates words, so it need not be made even first."""
         if not text.isascii():
+            if any(unicodedata.category(c) == "Cn" for c in set(text)):
+                split = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
+                return [bytes(self._bytes[ord(c)] for c in w).decode(errors="surrogateescape") for w, _ in split]
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # a final sigma is no case of its own
         return self._words(text.lower())
 
@@ -95,7 +104,7 @@ class Vocabulary:
         model = spec["model"]
         if model["end_of_word_suffix"] != _WORD_END or model["ignore_merges"] or model["byte_fallback"] or model["continuing_subword_prefix"]:
             raise ValueError("this kind of vocabulary file is not supported")
-        self.words = Splitter(spec)
+        self.words = Splitter(path)
         ids, self._symbols = model["vocab"], _byte_symbols()
         units, number = [], {}  # number: of a token's text in the file
         for end in ("", _WORD_END):

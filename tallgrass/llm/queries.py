@@ -103,5 +103,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Words of texts for the SQL below: lower-case letters and digits and all that is not ASCII.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP2 = f"""WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+wins AS (SELECT DISTINCT item_id, len(w[s:s + 9]) AS n, array_to_string(w[s:s + 9], ' ') AS win FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS s FROM items WHERE len(w) > 0)),
+docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+spots AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS s FROM docs CROSS JOIN (SELECT DISTINCT n FROM wins) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, item_id, s, spots.n FROM spots JOIN wins ON wins.win = spots.win AND wins.n = spots.n),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY 1),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hit GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+_OP4 = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages), f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY 1)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM p LEFT JOIN f USING (d)"""
+
+_OP5 = r"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS row FROM documents),
+win AS (SELECT row, s, array_to_string(w[s:s + 2], ' ') AS x FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS s FROM t WHERE len(w) >= 3)),
+rep AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(s, s + 3)) AS p FROM (SELECT row, s, count(*) OVER (PARTITION BY row, x) AS c FROM win) WHERE c > 1) GROUP BY 1),
+m AS (SELECT row, doc_id, source, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM t LEFT JOIN rep USING (row)),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 10 * n_symbols > n_words OR 10 * n_dup_lines > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words AS soft FROM m),
+h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed OR soft)::DOUBLE AS f FROM j GROUP BY 1),
+a AS (SELECT sum(f) / sum(n) AS mean, sum(n) AS n, count(*)::DOUBLE AS k, sum(f * f / n) / sum(n) AS s2 FROM h),
+b AS (SELECT mean, s2 - mean * mean - mean * (1 - mean) * k / n AS spread, n / k AS size FROM a),
+c AS (SELECT mean, least(greatest(CASE WHEN spread > 0 THEN mean * (1 - mean) / spread - 1 ELSE size END, 1), 1e6) AS size FROM b),
+v AS (SELECT source, (f + greatest(mean, 1e-6) * size) / (n + greatest(mean, 1e-6) * size + greatest(1 - mean, 1e-6) * size) > 0.5 AS bad FROM h CROSS JOIN c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (bad AND soft) AS kept FROM j JOIN v ON v.source IS NOT DISTINCT FROM j.source"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": _OP2, "op4_warc": _OP4, "op5_quality": _OP5}

@@ -15,7 +15,6 @@ text; an empty table writes no documents; other columns are ignored.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +33,7 @@ class Encoder:
     """ids of a text by the tokenizers library, word by word; the end id follows."""
 
     def __init__(self, path: str, end_id: int):
-        with open(path, encoding="utf-8") as f:
-            self._words = Splitter(json.load(f))
+        self._words = Splitter(path)
         library = Tokenizer.from_file(path)
         library.no_truncation()
         library.no_padding()

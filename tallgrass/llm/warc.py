@@ -81,7 +81,10 @@ def _parse(raw: bytes) -> tuple[dict[str, str], bytes, int]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("broken header")
-        headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        field = name.strip().lower().decode("latin-1")
+        if field in headers and field != "warc-concurrent-to":  # two records' headers run into each other
+            raise ValueError("repeated header")
+        headers[field] = value.strip().decode("utf-8", "replace")
     if not headers.get("content-length", "").isdecimal():
         raise ValueError("no length")
     n = int(headers["content-length"])
