@@ -48,5 +48,11 @@ def split_words(text: Column, separators: str) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), separators), "")
 
 
+def text_key(text: Column) -> Column:
+    """A 64-bit hash of a text; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text, F.octet_length(text))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -28,6 +28,7 @@ class _Scan:
 
     def __init__(self, text: np.ndarray, sa: np.ndarray, chosen: np.ndarray, starts: np.ndarray, free: np.ndarray, forward: bool):
         self.text, self.sa, self.chosen, self.starts, self.free, self.forward = text, sa, chosen, starts, free, forward
+        self.short = np.uint16 if len(starts) <= 1 << 16 else np.int32  # two bytes are sorted by radix
 
     def _before(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Left neighbours of the entries, of the type to be induced, in the order of the scan, and their symbols."""
@@ -38,16 +39,25 @@ class _Scan:
         return left, self.text[left]
 
     def _place(self, left: np.ndarray, symbols: np.ndarray) -> None:
-        if not len(left):
+        n = len(left)
+        if not n:
             return
-        order = np.argsort(symbols, kind="stable")
+        order = symbols.astype(self.short).argsort(kind="stable")
         ranked = symbols[order]
-        new = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-        counts = np.diff(np.r_[new, len(ranked)])
-        within = np.arange(len(ranked)) - np.repeat(new, counts)
-        at = self.free[ranked]
-        self.sa[at + within if self.forward else at - within] = left[order]
-        self.free[ranked[new]] += counts if self.forward else -counts
+        new = (ranked[1:] != ranked[:-1]).nonzero()[0]
+        first = np.zeros(len(new) + 1, np.int64)
+        first[1:] = new + 1
+        counts = np.empty_like(first)
+        counts[:-1] = first[1:] - first[:-1]
+        counts[-1] = n - first[-1]
+        heads = ranked[first]
+        if self.forward:
+            at = (self.free[heads] - first).repeat(counts) + np.arange(n)
+            self.free[heads] += counts
+        else:
+            at = (self.free[heads] + first).repeat(counts) - np.arange(n)
+            self.free[heads] -= counts
+        self.sa[at] = left[order]
 
     def _one(self, c: int) -> None:
         """A single bucket: first what it has from elsewhere and from itself, of the induced type, then the rest."""
@@ -89,9 +99,9 @@ class _Scan:
 def _induce(text: np.ndarray, small: np.ndarray, starts: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """The suffix array that follows from the LMS suffixes in the order ``lms``."""
     n = len(text)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     symbols = text[lms]
-    order = np.argsort(symbols, kind="stable")
+    order = np.argsort(symbols.astype(np.uint16 if len(starts) <= 1 << 16 else np.int32), kind="stable")
     ranked = symbols[order]
     last = np.searchsorted(ranked, ranked, side="right")
     sa[starts[ranked + 1] - (last - np.arange(len(ranked)))] = lms[order]
@@ -116,7 +126,7 @@ def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
         equal = text[lms[a[active]] + step] == text[lms[b[active]] + step]
         same[active[~equal]] = False
         active = active[equal]
-    names = np.empty(len(lms), np.int64)
+    names = np.empty(len(lms), np.int32)
     names[order] = np.cumsum(np.r_[0, ~same])
     return names
 
@@ -125,11 +135,11 @@ def suffix_array(text: np.ndarray, n_symbols: int) -> np.ndarray:
     """The suffix array of ``text`` (integers below ``n_symbols``), whose last symbol is its smallest and is there once."""
     n = len(text)
     if n == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int32)
     small = _types(text)
     starts = np.r_[0, np.cumsum(np.bincount(text, minlength=n_symbols))]
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    number = np.full(n, -1, np.int64)
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
+    number = np.full(n, -1, np.int32)
     number[lms] = np.arange(len(lms))
     sa = _induce(text, small, starts, lms)
     order = number[sa]
@@ -146,7 +156,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, room: np.ndarray) -> np.nd
     """The permuted array of common prefixes: for each place, the symbols it shares with its predecessor in the suffix array, at most
     ``room`` of either. Only irreducible places, whose left neighbours differ, are compared; to their right the value falls by one a place."""
     n = len(text)
-    before = np.empty(n, np.int64)
+    before = np.empty(n, np.int32)
     before[sa[0]] = -1
     before[sa[1:]] = sa[:-1]
     place = np.arange(n)

@@ -1,23 +1,24 @@
 """Removal of repeated byte strings by suffix arrays.
 
-A byte goes if a string of ``length`` bytes that covers it also starts anywhere else. Each such string is found under its anchor: the place in it
-where a hash of ``_GRAM`` bytes is smallest. The anchor depends on the string alone, so both places of a repeated string have it at the
-same offset. Windows that follow each other and share an anchor make one context, and every window of a text is in exactly one context:
-
-1. texts to contexts: anchor hash, context hash, place;
-2. equal contexts are counted. A context that is there twice is repeated as a whole. Anchors with several different contexts stay, one copy of each;
-3. the bytes of those contexts go to shards by anchor; each shard builds its suffix array by induced sorting and the permuted common prefixes, and a
+A byte goes if a string of ``length`` bytes (a window) that covers it also starts anywhere else. Each window is found under its anchor: the place in it
+where a hash of ``_GRAM`` bytes is smallest. The anchor depends on the window alone, so both places of a repeated window have it at the same offset.
+Windows that follow each other, share an anchor and have it at nearly the same offset (one of ``_RANGES`` ranges) make one piece; every window of a text is in
+exactly one piece. The windows of a range have a core of bytes in common, and pieces with equal cores make a group: repeated windows are in one group.
+
+1. texts to pieces: group, hash, place;
+2. groups that are there once are dropped, equal pieces are counted. A piece that is there twice is repeated as a whole. Groups with several different pieces
+   stay, one copy of each;
+3. the bytes of those pieces go to shards by group; each shard builds its suffix array by induced sorting and the permuted common prefixes, and a
    window is repeated if its neighbour in the array shares ``length`` bytes;
-4. repeated windows come back to every text that has the context, by a join, and the bytes that they cover are cut out.
+4. repeated windows come back to every text that has the piece, by a join, and the bytes that they cover are cut out.
 
-An anchor with more than ``most_in_group`` different contexts is not left to one task. The windows of a group have some bytes around the anchor in common; when the
-range of offsets is halved (``_halve``), the windows of each half have more in common, and the group falls apart by those bytes. Equal pieces are counted and one of
-each goes on, until every group is small or its pieces are all equal.
+A group of more than ``most_in_group`` different pieces is not left to one task. Its range of offsets is split (``_split``): the windows of a part have more in
+common, the group falls apart by those bytes, equal pieces are counted and one of each goes on, until every group is small or its pieces are all equal.
 
-Copies of a text share their contexts, so nothing grows with the pairs in a group, and a group's texts meet nowhere.
+Copies of a text share their pieces, so nothing grows with the pairs in a group, and a group's texts meet nowhere.
 
 Defined cases: a null text is empty; a text shorter than ``length`` loses nothing; a null id is fine; repeated rows are copies of each other; an empty table
-gives no rows; other columns are ignored or, in ``drop_repeats``, passed through. Contexts are identified by 64-bit hashes under their anchor's hash.
+gives no rows; other columns are ignored or, in ``drop_repeats``, passed through. Groups and pieces are identified by 64-bit hashes, texts by their id and a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -31,13 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import cut
+from tallgrass.llm.common import cut, text_key
 from tallgrass.llm.induced import common_prefixes, suffix_array
 
-#: Bytes that an anchor's hash covers.
-_GRAM = 32
-#: Bytes of text that are hashed at once, and bytes of contexts that make one suffix array.
-_BLOCK, _SHARD = 1 << 20, 1 << 19
+#: Bytes that an anchor's hash covers, and ranges of its offsets.
+_GRAM, _RANGES = 32, 3
+#: Bytes of text that are hashed at once, and bytes of pieces that make one suffix array.
+_BLOCK, _SHARD = 1 << 20, 1 << 20
+#: Parts of a range in one split.
+_PARTS = 8
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -56,10 +59,14 @@ def _grams(data: np.ndarray) -> np.ndarray:
         return _mix(h)
 
 
-def contexts(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of the texts that lie in ``data`` up to ``ends``: text number, first window's start, number of windows, anchor's hash and its offset in the
-    first window, of each context. Places count from the begin of ``data``."""
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
+def range_size(length: int) -> int:
+    return -(-(length - _GRAM + 1) // _RANGES)
+
+
+def pieces(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of the texts that lie in ``data`` up to ``ends``: text number, first window's start, number of windows, and the anchor's offset in the
+    first window, of each piece. Places count from the begin of ``data``."""
+    none = tuple(np.zeros(0, np.int64) for _ in range(4))
     if len(data) < length:
         return none
     h = _grams(data)
@@ -76,20 +83,35 @@ def contexts(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
     start = np.arange(len(anchor))
     text = np.searchsorted(ends, start, side="right")
     inside = start + length <= ends[text]
-    new = inside & np.r_[True, ~inside[:-1] | (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]
+    kind = (anchor - start) // range_size(length)
+    changed = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | (kind[1:] != kind[:-1])
+    new = inside & np.r_[True, ~inside[:-1] | changed]
     first = np.flatnonzero(new)
     if not len(first):
         return none
-    run = np.cumsum(new)[inside] - 1
-    return text[first], first, np.bincount(run), h[anchor[first]].view(np.int64), anchor[first] - first
+    return text[first], first, np.bincount(np.cumsum(new)[inside] - 1), anchor[first] - first
+
+
+def core(piece: bytes, offset: int, low: int, high: int, length: int) -> bytes:
+    """What all windows of a range have in common, from a piece whose first window has the anchor at ``offset``."""
+    return piece[offset - low : offset - high + length]
+
 
+def _hash(data: bytes, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(data, seed)
 
-_PLACES = "key binary, doc_id {}, begin int, windows int, offset int, anchor long, context long"
+
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+#: at: the first window's start << 32, the number of windows << 16, and the anchor's offset in the first window.
+_PLACES = "doc_id {}, key long, at long, part long, piece long"
 
 
 def _places(docs: DataFrame, length: int) -> DataFrame:
-    """The contexts of all texts (doc_id, key, text)."""
-    id_type = docs.schema["doc_id"].dataType
+    """The pieces of all texts (doc_id, key, text)."""
+    step, most = range_size(length), length - _GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,75 +119,78 @@ def _places(docs: DataFrame, length: int) -> DataFrame:
             sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1])
             block = np.cumsum(sizes, dtype=np.int64) // _BLOCK
             for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(block)) + 1):
-                rows = rows[sizes[rows] >= length]
                 if not len(rows):
                     continue
-                raw = [texts[int(i)].as_buffer() for i in rows]
-                ends = np.cumsum([len(x) for x in raw])
-                data = np.frombuffer(b"".join(raw), np.uint8)
-                text, first, windows, anchor, offset = contexts(data, ends, length)
-                view = data.tobytes()
-                hashes = [xxhash.xxh64_intdigest(view[a : a + n]) for a, n in zip(first.tolist(), (windows + length - 1).tolist(), strict=True)]
+                raw = b"".join(texts[int(i)].as_buffer() for i in rows)
+                ends = np.cumsum(sizes[rows])
+                text, first, windows, offset = pieces(np.frombuffer(raw, np.uint8), ends, length)
+                parts, hashes = [], []
+                for a, n, o in zip(first.tolist(), windows.tolist(), offset.tolist(), strict=True):
+                    low = o // step * step
+                    data = raw[a : a + n + length - 1]
+                    parts.append(_hash(core(data, o, low, min(low + step - 1, most), length), low))
+                    hashes.append(_hash(data))
                 of = pa.array(rows[text])
                 begin = first - np.r_[0, ends[:-1]][text]
-                arrays = [batch.column("key").take(of), batch.column("doc_id").take(of), pa.array(begin.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(offset.astype(np.int32)), pa.array(anchor), pa.array(np.array(hashes, np.uint64).view(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", "doc_id", "begin", "windows", "offset", "anchor", "context"])
+                arrays = [batch.column("doc_id").take(of), batch.column("key").take(of), pa.array(begin << 32 | windows << 16 | offset), _signed(parts), _signed(hashes)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "at", "part", "piece"])
 
     rows = docs.where(F.octet_length("text") >= length).select("doc_id", "key", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, _PLACES.format(id_type.simpleString()))
+    return rows.mapInArrow(run, _PLACES.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
-#: A piece of a context: its windows from number ``lo`` on. ``offset`` is the anchor's in the first of them; the group's offsets are ``low`` ... ``high``.
-_PIECE = "anchor long, context long, n long, offset int, lo int, low int, high int, data binary"
-_PIECE_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+_PIECE = "part long, piece long, n long, at long, data binary"
 
 
 def _bytes_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The contexts in ``wanted`` (key, doc_id, begin, windows, offset, anchor, context, n) as pieces, from one text of each key."""
-    lists = wanted.groupBy("key", "doc_id").agg(F.collect_list(F.struct("begin", "windows", "offset", "anchor", "context", "n")).alias("places"))  # of one text
+    """The bytes of the pieces in ``wanted`` (doc_id, key, at, part, piece, n)."""
+    lists = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("part", "piece", "n", "at")).alias("places"))  # of one text
     lists = lists.withColumnsRenamed({"key": "_key", "doc_id": "_id"})
     rows = docs.select("doc_id", "key", F.col("text").cast("binary").alias("text")).join(lists, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    names = [x.split()[0] for x in _PIECE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
                 places, texts = part.column(1), part.column(0)
                 flat = places.flatten()
                 of = np.repeat(np.arange(len(places)), np.array(places.value_lengths()))
-                begin, windows = (flat.field(i).to_numpy() for i in (0, 1))
+                at = flat.field(3).to_numpy()
                 raw = [memoryview(x.as_buffer()) for x in texts]
-                data = [raw[t][a : a + n + length - 1].tobytes() for t, a, n in zip(of.tolist(), begin.tolist(), windows.tolist(), strict=True)]
-                low = np.zeros(len(flat), np.int32)
-                arrays = [flat.field(3), flat.field(4), flat.field(5), flat.field(2), low, low, low + (length - _GRAM), pa.array(data, pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in arrays], names)
+                ends = (at >> 32) + (at >> 16 & 0xFFFF) + length - 1
+                data = [raw[t][a:b].tobytes() for t, a, b in zip(of.tolist(), (at >> 32).tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(flat.field(i) for i in range(4)), pa.array(data, pa.binary())], ["part", "piece", "n", "at", "data"])
 
     return rows.select("text", "places").mapInArrow(run, _PIECE)
 
 
-def _halve(pieces: DataFrame, length: int) -> DataFrame:
-    """Each piece once for either half of its group's offsets, with part (the group that it falls to) and piece (hash of its bytes)."""
-    names = [x.split()[0] for x in _PIECE.split(", ")]
+#: A part of a piece: its windows from number ``lo`` on; the group's offsets are ``low`` ... ``high``.
+_SLICE = "part long, piece long, n long, lo int, windows int, low int, high int, sub long, own long"
+
+
+def _split(crowd: DataFrame, length: int) -> DataFrame:
+    """Each row of ``crowd`` (part, piece, n, offset, lo, low, high, data) once for each part of its range that it has windows of, with
+    sub (the group that they fall to) and own (the hash of their bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _SLICE.split(", ")]
         for batch in batches:
             out = []
-            for anchor, context, n, offset, lo, low, high, data in zip(*(batch.column(k).to_pylist() for k in names), strict=True):
-                windows, middle = len(data) - length + 1, (low + high) // 2
-                split = min(max(offset - middle, 0), windows)  # the first ``split`` windows have offsets above the middle
-                for a, b, first, last in ((middle + 1, high, 0, split), (low, middle, split, windows)):
-                    if first < last:
-                        piece, at = data[first : last + length - 1], offset - first
-                        common = piece[at - a : at - b + length]
-                        part = xxhash.xxh64_intdigest(common, seed=(anchor ^ (a << 16) ^ b) & 0xFFFFFFFFFFFFFFFF)
-                        out.append((anchor, context, n, at, lo + first, a, b, piece, part, xxhash.xxh64_intdigest(piece)))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PIECE_TYPES, strict=False)]
-            hashes = [pa.array(np.array([x[i] for x in out], np.uint64).view(np.int64)) for i in (8, 9)]
+            for part, piece, n, offset, lo, low, high, data in zip(*(batch.column(k).to_pylist() for k in ("part", "piece", "n", "offset", "lo", "low", "high", "data")), strict=True):
+                windows, step = len(data) - length + 1, -(-(high - low + 1) // _PARTS)
+                for a in range(low, high + 1, step):
+                    b = min(a + step - 1, high)
+                    first, last = max(0, offset - b), min(windows - 1, offset - a)
+                    if first <= last:
+                        some = data[first : last + length]
+                        sub = _hash(core(some, offset - first, a, b, length), (part ^ a << 16 ^ b) & 0xFFFFFFFFFFFFFFFF)
+                        out.append((part, piece, n, lo + first, last - first + 1, a, b, sub, _hash(some)))
             if out:
-                yield pa.RecordBatch.from_arrays([*columns, *hashes], [*names, "part", "piece"])
+                columns = list(zip(*out, strict=True))
+                kinds = [pa.int64()] * 3 + [pa.int32()] * 4
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=False)), _signed(columns[7]), _signed(columns[8])], names)
 
-    return pieces.select(*names).mapInArrow(run, _PIECE + ", part long, piece long")
+    return crowd.select("part", "piece", "n", "offset", "lo", "low", "high", "data").mapInArrow(run, _SLICE)
 
 
 def _repeated(data: list[bytes], length: int) -> list[np.ndarray]:
@@ -186,7 +211,7 @@ def _repeated(data: list[bytes], length: int) -> list[np.ndarray]:
     return [np.flatnonzero(x) for x in np.split(found[:-1], ends[:-1])]
 
 
-_RUNS = "anchor long, context long, runs array<struct<first:int,last:int>>"
+_RUNS = "part long, piece long, runs array<struct<first:int,last:int>>"
 
 
 def _runs(starts: np.ndarray) -> list[dict[str, int]]:
@@ -195,86 +220,99 @@ def _runs(starts: np.ndarray) -> list[dict[str, int]]:
 
 
 def _sort_shards(groups: DataFrame, length: int) -> DataFrame:
-    """The repeated windows of the contexts in ``groups`` (anchor, context, lo, part, data), each part's together. Windows count from the context's first."""
+    """The repeated windows of the pieces in ``groups`` (grp, part, piece, lo, data), each group's together in one shard. Windows count from the piece's first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
+        kind = pa.struct([("first", pa.int32()), ("last", pa.int32())])
+        schema = pa.schema([("part", pa.int64()), ("piece", pa.int64()), ("runs", pa.list_(kind))])
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size
-            rows = []
-            for (anchor, context, lo, _), starts in zip(held, _repeated([x[3] for x in held], length), strict=True):
-                if len(starts):
-                    rows.append({"anchor": anchor, "context": context, "runs": _runs(starts + lo)})
+            found = _repeated([x[3] for x in held], length)
+            rows = [{"part": p, "piece": q, "runs": _runs(starts + lo)} for (p, q, lo, _), starts in zip(held, found, strict=True) if len(starts)]
             held, size = [], 0
-            kind = pa.struct([("first", pa.int32()), ("last", pa.int32())])
-            return pa.RecordBatch.from_pylist(rows, pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("runs", pa.list_(kind))]))
+            return pa.RecordBatch.from_pylist(rows, schema)
 
         for batch in batches:
-            for part, *row in zip(*(batch.column(k).to_pylist() for k in ("part", "anchor", "context", "lo", "data")), strict=True):
-                if part != last and size >= _SHARD:
+            for grp, *row in zip(*(batch.column(k).to_pylist() for k in ("grp", "part", "piece", "lo", "data")), strict=True):
+                if grp != last and size >= _SHARD:
                     yield flush()
-                if part == last and held and held[-1][:3] == tuple(row[:3]):
-                    continue  # the same context from an equal row
+                if grp == last and held and held[-1][:3] == tuple(row[:3]):
+                    continue  # the same piece from an equal row
                 held.append(tuple(row))
                 size += len(row[3])
-                last = part
+                last = grp
         if held:
             yield flush()
 
-    cols = ["part", "anchor", "context", "lo"]
-    return groups.repartition("part").sortWithinPartitions(*cols).select(*cols, "data").mapInArrow(run, _RUNS)
+    cols = ["grp", "part", "piece", "lo"]
+    return groups.repartition("grp").sortWithinPartitions(*cols).select(*cols, "data").mapInArrow(run, _RUNS)
 
 
-def _crowded_runs(pieces: DataFrame, length: int, most_in_group: int) -> DataFrame:
-    """The repeated windows of the contexts in ``pieces``, whose groups are too large for one task; as _RUNS."""
+def _crowded_runs(crowd: DataFrame, length: int, most_in_group: int) -> DataFrame:
+    """The repeated windows of the pieces in ``crowd`` (_PIECE, stored), whose groups are too large for one task; as _RUNS. Only hashes are counted; bytes
+    are taken from ``crowd`` where they are needed."""
+    step, most = range_size(length), length - _GRAM
+    offset = F.col("at").bitwiseAND(F.lit(0xFFFF)).cast("int")
+    base = crowd.select("part", "piece", "n", offset.alias("offset"), "data")
+    low = (F.floor(F.col("offset") / step) * step).cast("int")
+    level = base.withColumn("lo", F.lit(0)).withColumn("low", low).withColumn("high", F.least(F.col("low") + (step - 1), F.lit(most)))
     found = None
-    for _ in range(int(length).bit_length()):  # a range of offsets is a single one by then
-        halves = cut(_halve(pieces, length), "suffix-halves")
-        equal = halves.groupBy("part", "piece").agg(F.sum("n").alias("times"), F.min(F.struct("anchor", "context", "lo")).alias("rep"))
-        of_part = equal.groupBy("part").agg(F.count("*").alias("pieces"))
-        known = cut(equal.join(of_part, "part"), "suffix-pieces")
-        joined = halves.join(known, ["part", "piece"])
-        last = F.col("lo") + F.octet_length("data") - length
-        whole = joined.where("times > 1").select("anchor", "context", F.array(F.struct("lo", last.cast("int").alias("last")).cast("struct<first:int,last:int>")).alias("runs"))
-        left = joined.where(F.struct("anchor", "context", "lo") == F.col("rep")).where("pieces > 1")
-        names = [x.split()[0] for x in _PIECE.split(", ")]
-        few = _sort_shards(left.where(f"pieces <= {most_in_group}"), length)
-        found = whole.union(few) if found is None else found.union(whole).union(few)
-        pieces = cut(left.where(f"pieces > {most_in_group}").select(*names), "suffix-crowded")
-        if pieces.isEmpty():
-            break
-    return found
-
-
-def repeated_spans(docs: DataFrame, length: int = 400, most_in_group: int = 4000) -> DataFrame:
-    """(key, first, last): bytes first ... last (last excluded) of the texts with ``key`` are covered by windows that are also elsewhere; spans may be
+    while True:
+        slices = cut(_split(level, length), "suffix-slices")
+        rep = F.min(F.struct("part", "piece", "lo")).alias("rep")
+        own = slices.groupBy("sub", "own").agg(F.sum("n").alias("times"), rep)
+        several = own.groupBy("sub").agg(F.count("*").alias("pieces"))
+        known = cut(own.join(several, "sub").where("times > 1 or pieces > 1"), "suffix-owns")
+        joined = slices.join(known, ["sub", "own"])
+        whole = F.array(F.struct(F.col("lo").alias("first"), (F.col("lo") + F.col("windows") - 1).alias("last")))
+        twice = joined.where("times > 1").select("part", "piece", whole.alias("runs"))
+        left = joined.where("pieces > 1").where(F.struct("part", "piece", "lo") == F.col("rep"))
+        left = cut(left.select("sub", "part", "piece", "n", "lo", "windows", "low", "high", "pieces"), "suffix-left")
+        data = F.substring("data", F.col("lo") + 1, F.col("windows") + (length - 1))
+        taken = left.join(base.select("part", "piece", "offset", "data"), ["part", "piece"]).withColumn("data", data)
+        few = _sort_shards(taken.where(f"pieces <= {most_in_group}").select(F.col("sub").alias("grp"), "part", "piece", "lo", "data"), length)
+        part = twice.union(few)
+        found = part if found is None else found.union(part)
+        if left.where(f"pieces > {most_in_group}").isEmpty():  # a range of one offset has no group of several pieces
+            return found
+        level = taken.where(f"pieces > {most_in_group}").withColumn("offset", F.col("offset") - F.col("lo"))
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, most_in_group: int = 4000, most_broadcast: int = 2_000_000) -> DataFrame:
+    """(doc_id, key, first, last): bytes first ... last (last excluded) of the text are covered by windows that are also elsewhere; spans may be
     there again and overlap. ``docs`` has doc_id, key (of the text) and text."""
-    if length <= _GRAM:
-        raise ValueError(f"length has to be over {_GRAM}")
+    if not _GRAM < length < 1 << 15:
+        raise ValueError(f"length has to be over {_GRAM} and below {1 << 15}")
     places = cut(_places(docs, length), "suffix-places")
-    one = F.min(F.struct("key", "doc_id", "begin", "windows", "offset")).alias("rep")
-    distinct = cut(places.groupBy("anchor", "context").agg(F.count("*").alias("n"), one), "suffix-contexts")
-    several = distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    wanted = distinct.join(several, "anchor").select("rep.*", "anchor", "context", "n", "contexts")
-    crowded = F.col("contexts") > most_in_group
-    runs = _sort_shards(_bytes_of(docs, wanted.where(~crowded).drop("contexts"), length).withColumn("part", F.col("anchor")), length)
+    again = cut(places.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part"), "suffix-parts")
+    # a long for each repeated group is broadcast while there are few; beyond, the places are dealt by group
+    places = cut(places.join(F.broadcast(again) if again.count() <= most_broadcast else again, "part", "left_semi"), "suffix-kept")
+    one = [F.first(c).alias(c) for c in ("doc_id", "key", "at")]  # of one row
+    distinct = cut(places.groupBy("part", "piece").agg(F.count("*").alias("n"), *one), "suffix-distinct")
+    several = distinct.groupBy("part").agg(F.count("*").alias("pieces")).where("pieces > 1")
+    wanted = distinct.join(several, "part")
+    crowded = F.col("pieces") > most_in_group
+    some = _bytes_of(docs, wanted.where(~crowded), length).select(F.col("part").alias("grp"), "part", "piece", F.lit(0).alias("lo"), "data")
+    runs = _sort_shards(some, length)
     if not several.where(crowded).isEmpty():
-        runs = runs.union(_crowded_runs(cut(_bytes_of(docs, wanted.where(crowded).drop("contexts"), length), "suffix-crowded"), length, most_in_group))
-    whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("rep.windows") - 1).alias("last")))
-    runs = cut(distinct.where("n > 1").select("anchor", "context", whole.alias("runs")).union(runs), "suffix-runs")
+        runs = runs.union(_crowded_runs(cut(_bytes_of(docs, wanted.where(crowded), length).dropDuplicates(["part", "piece"]), "suffix-crowd"), length, most_in_group))
+    windows = F.shiftright("at", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    whole = F.array(F.struct(F.lit(0).alias("first"), (windows - 1).alias("last")))
+    runs = cut(distinct.where("n > 1").select("part", "piece", whole.alias("runs")).union(runs), "suffix-runs")
+    begin = F.shiftright("at", 32).cast("int")
     return (
-        places.select("anchor", "context", "key", "begin")
-        .join(runs, ["anchor", "context"])
-        .select("key", "begin", F.explode("runs").alias("run"))
-        .select("key", (F.col("begin") + F.col("run.first")).alias("first"), (F.col("begin") + F.col("run.last") + length).alias("last"))
+        places.join(runs, ["part", "piece"])
+        .select("doc_id", "key", begin.alias("begin"), F.explode("runs").alias("run"))
+        .select("doc_id", "key", (F.col("begin") + F.col("run.first")).alias("first"), (F.col("begin") + F.col("run.last") + length).alias("last"))
     )
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), text.alias("text"))
 
 
 def cut_spans(text: bytes, spans: list[dict[str, int]] | None) -> tuple[list[dict[str, int]], bytes]:
@@ -289,16 +327,17 @@ def cut_spans(text: bytes, spans: list[dict[str, int]] | None) -> tuple[list[dic
     return [{"first": a, "last": b} for a, b in runs], b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _with_spans(rows: DataFrame, docs: DataFrame, length: int, key: str) -> DataFrame:
-    """``rows``, whose column ``key`` identifies their text, with a column _tg_spans: null or the spans of the text."""
-    spans = repeated_spans(docs, length).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("_tg_spans"))  # of one text, each once
-    return rows.join(spans.withColumnRenamed("key", "_tg_text"), F.col(key) == F.col("_tg_text"), "left")
+def _with_spans(rows: DataFrame, docs: DataFrame, length: int, id_col: str, key: str) -> DataFrame:
+    """``rows``, whose columns ``id_col`` and ``key`` identify their text, with a column _tg_spans: null or the spans of the text."""
+    spans = repeated_spans(docs, length).groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("_tg_spans"))  # of one text, each once
+    spans = spans.withColumnsRenamed({"doc_id": "_tg_id", "key": "_tg_text"})
+    return rows.join(spans, (F.col(key) == F.col("_tg_text")) & F.col(id_col).eqNullSafe(F.col("_tg_id")), "left")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, spans (removed: first, last excluded), kept (the other bytes)."""
     rows = keyed(docs, id_col, text_col)
-    joined = _with_spans(rows, rows, length, "key").select("doc_id", F.col("text").cast("binary").alias("text"), "_tg_spans")
+    joined = _with_spans(rows, rows, length, "doc_id", "key").select("doc_id", F.col("text").cast("binary").alias("text"), "_tg_spans")
     kind = "array<struct<first:int,last:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,6 +360,6 @@ def drop_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
         for texts, spans in batches:
             yield pd.Series([t if s is None else cut_spans(t.encode(), s)[1].decode(errors="ignore") for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    rows = docs.withColumn("_tg_key", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    joined = _with_spans(rows, keyed(docs, id_col, text_col), length, "_tg_key")
+    rows = docs.withColumn("_tg_key", text_key(F.col(text_col)))
+    joined = _with_spans(rows, keyed(docs, id_col, text_col), length, id_col, "_tg_key")
     return joined.withColumn(text_col, kept(F.col(text_col), F.col("_tg_spans"))).select(*[F.col(f"`{c}`") for c in docs.columns])
