@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallgrass.llm.common import cut
+from tallgrass.llm.common import cut, text_key
 from tallgrass.llm.components import connected_components
 
 _BITS = 64
@@ -65,10 +65,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), fp(F.col(text_col)).alias("fp"))
 
 
-def text_key(text: Column) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    return F.xxhash64(text, F.octet_length(text))
-
 
 def _signed(x: int) -> int:
     return x - (1 << _BITS) if x >> (_BITS - 1) else x
@@ -94,13 +90,15 @@ def links(fps: DataFrame, max_distance: int = 2, most_in_bucket: int = 16) -> Da
     from the larger ones as many as join the same components."""
     if not 0 <= max_distance <= 2:
         raise ValueError("max_distance is 0, 1 or 2")
-    spread = variants(fps, max_distance // 2 + 1)
-    shared = cut(spread.groupBy("bucket", "rest").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "simhash-buckets")
-    members = cut(spread.join(shared.where("n > 2").select("bucket", "rest", "n"), ["bucket", "rest"]), "simhash-members")
+    # fingerprints are few bytes that become 64 rows each, so their partitions are not to be merged by size; the variants are dealt once and serve
+    # both the count and the join
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = variants(fps.repartition(n, "fp"), max_distance // 2 + 1).repartition("bucket", "rest")
+    sizes = spread.groupBy("bucket", "rest").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(spread.join(sizes, ["bucket", "rest"]), "simhash-members")
     few = members.where(f"n <= {most_in_bucket}")
     met = few.select("bucket", "rest", F.col("fp").alias("a")).join(few.select("bucket", "rest", F.col("fp").alias("b")), ["bucket", "rest"])
-    found = shared.where("n = 2").select("a", "b").union(met.where("a < b").select("a", "b"))
-    found = found.where(F.expr(f"bit_count(a ^ b) <= {max_distance}")).distinct()
+    found = met.where(F.expr(f"a < b and bit_count(a ^ b) <= {max_distance}")).select("a", "b").distinct()
     # of one segment with one bit wild there are two fingerprints at most, so only max_distance 2 has crowded buckets
     points = _ball(members.where(f"n > {most_in_bucket}").select("fp").distinct())
     first = points.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("point", "a")

@@ -139,12 +139,12 @@ def _places(docs: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, _PLACES.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
-_PIECE = "part long, piece long, n long, at long, data binary"
+_PIECE = "part long, piece long, n long, pieces long, at long, data binary"
 
 
 def _bytes_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the pieces in ``wanted`` (doc_id, key, at, part, piece, n)."""
-    lists = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("part", "piece", "n", "at")).alias("places"))  # of one text
+    """The bytes of the pieces in ``wanted`` (doc_id, key, at, part, piece, n, pieces)."""
+    lists = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("part", "piece", "n", "pieces", "at")).alias("places"))  # of one text
     lists = lists.withColumnsRenamed({"key": "_key", "doc_id": "_id"})
     rows = docs.select("doc_id", "key", F.col("text").cast("binary").alias("text")).join(lists, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
 
@@ -155,11 +155,11 @@ def _bytes_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 places, texts = part.column(1), part.column(0)
                 flat = places.flatten()
                 of = np.repeat(np.arange(len(places)), np.array(places.value_lengths()))
-                at = flat.field(3).to_numpy()
+                at = flat.field(4).to_numpy()
                 raw = [memoryview(x.as_buffer()) for x in texts]
                 ends = (at >> 32) + (at >> 16 & 0xFFFF) + length - 1
                 data = [raw[t][a:b].tobytes() for t, a, b in zip(of.tolist(), (at >> 32).tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(flat.field(i) for i in range(4)), pa.array(data, pa.binary())], ["part", "piece", "n", "at", "data"])
+                yield pa.RecordBatch.from_arrays([*(flat.field(i) for i in range(5)), pa.array(data, pa.binary())], ["part", "piece", "n", "pieces", "at", "data"])
 
     return rows.select("text", "places").mapInArrow(run, _PIECE)
 
@@ -270,7 +270,7 @@ def _crowded_runs(crowd: DataFrame, length: int, most_in_group: int) -> DataFram
         whole = F.array(F.struct(F.col("lo").alias("first"), (F.col("lo") + F.col("windows") - 1).alias("last")))
         twice = joined.where("times > 1").select("part", "piece", whole.alias("runs"))
         left = joined.where("pieces > 1").where(F.struct("part", "piece", "lo") == F.col("rep"))
-        left = cut(left.select("sub", "part", "piece", "n", "lo", "windows", "low", "high", "pieces"), "suffix-left")
+        left = cut(left.select("sub", "part", "piece", "n", "lo", "windows", "low", "high", "pieces"), "suffix-left")  # pieces: of the sub-group
         data = F.substring("data", F.col("lo") + 1, F.col("windows") + (length - 1))
         taken = left.join(base.select("part", "piece", "offset", "data"), ["part", "piece"]).withColumn("data", data)
         few = _sort_shards(taken.where(f"pieces <= {most_in_group}").select(F.col("sub").alias("grp"), "part", "piece", "lo", "data"), length)
@@ -293,12 +293,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, most_in_group: int = 4000
     one = [F.first(c).alias(c) for c in ("doc_id", "key", "at")]  # of one row
     distinct = cut(places.groupBy("part", "piece").agg(F.count("*").alias("n"), *one), "suffix-distinct")
     several = distinct.groupBy("part").agg(F.count("*").alias("pieces")).where("pieces > 1")
-    wanted = distinct.join(several, "part")
+    taken = cut(_bytes_of(docs, distinct.join(several, "part"), length), "suffix-bytes")  # texts are shuffled once for all groups
     crowded = F.col("pieces") > most_in_group
-    some = _bytes_of(docs, wanted.where(~crowded), length).select(F.col("part").alias("grp"), "part", "piece", F.lit(0).alias("lo"), "data")
-    runs = _sort_shards(some, length)
-    if not several.where(crowded).isEmpty():
-        runs = runs.union(_crowded_runs(cut(_bytes_of(docs, wanted.where(crowded), length).dropDuplicates(["part", "piece"]), "suffix-crowd"), length, most_in_group))
+    runs = _sort_shards(taken.where(~crowded).select(F.col("part").alias("grp"), "part", "piece", F.lit(0).alias("lo"), "data"), length)
+    crowd = taken.where(crowded)
+    if not crowd.isEmpty():
+        runs = runs.union(_crowded_runs(cut(crowd.dropDuplicates(["part", "piece"]), "suffix-crowd"), length, most_in_group))
     windows = F.shiftright("at", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
     whole = F.array(F.struct(F.lit(0).alias("first"), (windows - 1).alias("last")))
     runs = cut(distinct.where("n > 1").select("part", "piece", whole.alias("runs")).union(runs), "suffix-runs")
