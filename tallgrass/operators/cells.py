@@ -36,10 +36,15 @@ def log_normalise(counts: DataFrame, scale: float = 1e4, cell: str = "cell") ->
     return counts.join(totals, cell).withColumn("value", F.log1p(F.coalesce(scale * ratio("value", "_total"), F.lit(0.0)))).drop("_total")
 
 
-def sparse_moments(counts: DataFrame, n_cells: int, feature: str = "feature") -> DataFrame:
-    """(feature, mean, var) over all cells, absent ones as zeros."""
-    mean, square = F.sum("value") / F.lit(float(n_cells)), F.sum(F.col("value") * F.col("value")) / F.lit(float(n_cells))
-    return counts.groupBy(feature).agg(mean.alias("mean"), (square - mean * mean).alias("var"))
+def sparse_moments(counts: DataFrame, n_cells: int | None = None, feature: str = "feature", cell: str = "cell") -> DataFrame:
+    """(feature, mean, var) over all cells, absent ones as zeros; without ``n_cells``, the distinct cells of ``counts`` are counted."""
+    sums = counts.groupBy(feature).agg(F.sum("value").alias("_sum"), F.sum(F.col("value") * F.col("value")).alias("_squares"))
+    if n_cells is None:
+        sums = sums.crossJoin(F.broadcast(counts.agg(F.countDistinct(cell).cast("double").alias("_n"))))
+    else:
+        sums = sums.withColumn("_n", F.lit(float(n_cells)))
+    mean, square = F.col("_sum") / F.col("_n"), F.col("_squares") / F.col("_n")
+    return sums.select(feature, mean.alias("mean"), (square - mean * mean).alias("var"))
 
 
 def top_variance(moments: DataFrame, n: int, feature: str = "feature") -> DataFrame:
