@@ -35,7 +35,7 @@ _LAST = 0x10000
 _KEPT, _LONGEST = 200_000, 64
 
 
-def _byte_symbols() -> list[str]:
+def byte_symbols() -> list[str]:
     """The printable symbol of each byte in byte-level vocabularies: printable Latin-1 stays, the others follow from 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = iter(range(256, 512))
@@ -78,7 +78,7 @@ class Splitter:
         marks = sorted(map(regex.escape, self.added), key=len, reverse=True)
         self._marks = regex.compile(f"({'|'.join(marks)})") if marks else None
         self._library = Tokenizer.from_file(path)
-        self._bytes = {ord(s): b for b, s in enumerate(_byte_symbols())}
+        self._bytes = {ord(s): b for b, s in enumerate(byte_symbols())}
 
     def plain(self, text: str) -> list[str]:
         """The words of a text without added tokens. White space only separates words, so it need not be made even first."""
@@ -105,7 +105,7 @@ class Vocabulary:
         if model["end_of_word_suffix"] != _WORD_END or model["ignore_merges"] or model["byte_fallback"] or model["continuing_subword_prefix"]:
             raise ValueError("this kind of vocabulary file is not supported")
         self.words = Splitter(path)
-        ids, self._symbols = model["vocab"], _byte_symbols()
+        ids, self._symbols = model["vocab"], byte_symbols()
         units, number = [], {}  # number: of a token's text in the file
         for end in ("", _WORD_END):
             for s in self._symbols:

@@ -17,8 +17,12 @@ common, the group falls apart by those bytes, equal pieces are counted and one o
 
 Copies of a text share their pieces, so nothing grows with the pairs in a group, and a group's texts meet nowhere.
 
-Defined cases: a null text is empty; a text shorter than ``length`` loses nothing; a null id is fine; repeated rows are copies of each other; an empty table
-gives no rows; other columns are ignored or, in ``drop_repeats``, passed through. Groups and pieces are identified by 64-bit hashes, texts by their id and a 64-bit hash.
+A piece is identified by two 64-bit hashes, of its group's core and of itself: only pieces of one group are told apart by 64 bits alone. Groups only bring pieces together;
+a group that two cores share costs time and changes nothing. Texts are identified by their id and a 64-bit hash.
+
+Defined cases: a null text is empty; a text shorter than ``length`` loses nothing; a very long text is cut into overlapping blocks of ``_BLOCK`` bytes, each window in exactly
+one; a null id is fine; repeated rows are copies of each other; ties of an anchor's hash go to the leftmost, in every text alike; an empty table gives no rows; other columns are
+ignored or, in ``drop_repeats``, passed through, and their names do not matter.
 """
 
 from __future__ import annotations
@@ -36,9 +40,13 @@ from tallgrass.llm.common import cut, text_key
 from tallgrass.llm.induced import common_prefixes, suffix_array
 
 #: Bytes that an anchor's hash covers, and ranges of its offsets.
-_GRAM, _RANGES = 32, 3
+_GRAM, _RANGES = 32, 2
 #: Bytes of text that are hashed at once, and bytes of pieces that make one suffix array.
 _BLOCK, _SHARD = 1 << 20, 1 << 20
+#: Bits that number the places of a block, which has less than two _BLOCKs; the rest of a word holds the hash.
+_PLACE = 22
+#: The window of the passages that the pipeline cuts out: no passage of 51 words that was met in the test tables is shorter.
+PASSAGE = 240
 #: Parts of a range in one split.
 _PARTS = 8
 _ODD = 0x9E3779B97F4A7C15
@@ -71,7 +79,9 @@ def pieces(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
         return none
     h = _grams(data)
     width = length - _GRAM + 1  # grams in a window
-    bits = np.uint64(max(1, int(len(h)).bit_length()))
+    if len(h) >> _PLACE:
+        raise ValueError("a block is too long")
+    bits = np.uint64(_PLACE)
     least = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the leftmost is the smallest
     size = 1
     while 2 * size <= width:
@@ -116,12 +126,16 @@ def _places(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1])
-            block = np.cumsum(sizes, dtype=np.int64) // _BLOCK
-            for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(block)) + 1):
+            whole = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]).astype(np.int64)
+            n_cuts = np.maximum(1, -(-(whole - length + 1) // _BLOCK))  # windows begin in one cut each
+            of_text = np.repeat(np.arange(len(texts)), n_cuts)
+            origin = (np.arange(len(of_text)) - np.repeat(np.cumsum(n_cuts) - n_cuts, n_cuts)) * _BLOCK
+            sizes = np.minimum(whole[of_text] - origin, _BLOCK + length - 1)
+            block = np.cumsum(sizes) // (_BLOCK + length)
+            for rows in np.split(np.arange(len(of_text)), np.flatnonzero(np.diff(block)) + 1):
                 if not len(rows):
                     continue
-                raw = b"".join(texts[int(i)].as_buffer() for i in rows)
+                raw = b"".join(memoryview(texts[int(of_text[i])].as_buffer())[origin[i] : origin[i] + sizes[i]] for i in rows)
                 ends = np.cumsum(sizes[rows])
                 text, first, windows, offset = pieces(np.frombuffer(raw, np.uint8), ends, length)
                 parts, hashes = [], []
@@ -130,8 +144,8 @@ def _places(docs: DataFrame, length: int) -> DataFrame:
                     data = raw[a : a + n + length - 1]
                     parts.append(_hash(core(data, o, low, min(low + step - 1, most), length), low))
                     hashes.append(_hash(data))
-                of = pa.array(rows[text])
-                begin = first - np.r_[0, ends[:-1]][text]
+                of = pa.array(of_text[rows[text]])
+                begin = first - np.r_[0, ends[:-1]][text] + origin[rows[text]]
                 arrays = [batch.column("doc_id").take(of), batch.column("key").take(of), pa.array(begin << 32 | windows << 16 | offset), _signed(parts), _signed(hashes)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "at", "part", "piece"])
 
@@ -248,7 +262,8 @@ def _sort_shards(groups: DataFrame, length: int) -> DataFrame:
             yield flush()
 
     cols = ["grp", "part", "piece", "lo"]
-    return groups.repartition("grp").sortWithinPartitions(*cols).select(*cols, "data").mapInArrow(run, _RUNS)
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # sorting is dear for its bytes: partitions are not to be merged by size
+    return groups.repartition(n, "grp").sortWithinPartitions(*cols).select(*cols, "data").mapInArrow(run, _RUNS)
 
 
 def _crowded_runs(crowd: DataFrame, length: int, most_in_group: int) -> DataFrame:
@@ -281,18 +296,18 @@ def _crowded_runs(crowd: DataFrame, length: int, most_in_group: int) -> DataFram
         level = taken.where(f"pieces > {most_in_group}").withColumn("offset", F.col("offset") - F.col("lo"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, most_in_group: int = 4000, most_broadcast: int = 2_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, most_in_group: int = 4000) -> DataFrame:
     """(doc_id, key, first, last): bytes first ... last (last excluded) of the text are covered by windows that are also elsewhere; spans may be
     there again and overlap. ``docs`` has doc_id, key (of the text) and text."""
     if not _GRAM < length < 1 << 15:
         raise ValueError(f"length has to be over {_GRAM} and below {1 << 15}")
     places = cut(_places(docs, length), "suffix-places")
     again = cut(places.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part"), "suffix-parts")
-    # a long for each repeated group is broadcast while there are few; beyond, the places are dealt by group
-    places = cut(places.join(F.broadcast(again) if again.count() <= most_broadcast else again, "part", "left_semi"), "suffix-kept")
+    # the join only marks rows, which are stored, so Spark can split a crowded group; what is grouped next is dealt by piece as well
+    places = cut(places.join(again, "part", "left_semi"), "suffix-kept")
     one = [F.first(c).alias(c) for c in ("doc_id", "key", "at")]  # of one row
     distinct = cut(places.groupBy("part", "piece").agg(F.count("*").alias("n"), *one), "suffix-distinct")
-    several = distinct.groupBy("part").agg(F.count("*").alias("pieces")).where("pieces > 1")
+    several = cut(distinct.groupBy("part").agg(F.count("*").alias("pieces")).where("pieces > 1"), "suffix-several")
     taken = cut(_bytes_of(docs, distinct.join(several, "part"), length), "suffix-bytes")  # texts are shuffled once for all groups
     crowded = F.col("pieces") > most_in_group
     runs = _sort_shards(taken.where(~crowded).select(F.col("part").alias("grp"), "part", "piece", F.lit(0).alias("lo"), "data"), length)
@@ -327,29 +342,71 @@ def cut_spans(text: bytes, spans: list[dict[str, int]] | None) -> tuple[list[dic
     return [{"first": a, "last": b} for a, b in runs], b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _with_spans(rows: DataFrame, docs: DataFrame, length: int, id_col: str, key: str) -> DataFrame:
-    """``rows``, whose columns ``id_col`` and ``key`` identify their text, with a column _tg_spans: null or the spans of the text."""
-    spans = repeated_spans(docs, length).groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("_tg_spans"))  # of one text, each once
-    spans = spans.withColumnsRenamed({"doc_id": "_tg_id", "key": "_tg_text"})
-    return rows.join(spans, (F.col(key) == F.col("_tg_text")) & F.col(id_col).eqNullSafe(F.col("_tg_id")), "left")
+def _spans_of(docs: DataFrame, length: int) -> DataFrame:
+    """(_tg_id, _tg_text, _tg_spans): the spans of each text that has any, each once."""
+    spans = repeated_spans(docs, length).groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("_tg_spans"))  # of one text
+    return spans.withColumnsRenamed({"doc_id": "_tg_id", "key": "_tg_text"})
+
+
+def _join_spans(rows: DataFrame, spans: DataFrame, id_col: str = "doc_id", key: str = "key") -> DataFrame:
+    return rows.join(spans, (F.col(key) == F.col("_tg_text")) & F.col(id_col).eqNullSafe(F.col("_tg_id")), "left").drop("_tg_id", "_tg_text")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, spans (removed: first, last excluded), kept (the other bytes)."""
-    rows = keyed(docs, id_col, text_col)
-    joined = _with_spans(rows, rows, length, "doc_id", "key").select("doc_id", F.col("text").cast("binary").alias("text"), "_tg_spans")
+def _inside(joined: DataFrame, length: int) -> DataFrame:
+    """The runs of at least ``length`` bytes that the spans ``short`` of the texts in ``joined`` cover, as texts of their own: doc_id is (doc_id, key, first)."""
+    kind = f"struct<doc_id:{joined.schema['doc_id'].dataType.simpleString()},key:bigint,first:int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, firsts, texts = [], [], []
+            for i, spans in enumerate(batch.column("short").to_pylist()):
+                text = batch.column("text")[i].as_buffer()
+                for x in cut_spans(b"", spans)[0]:
+                    if x["last"] - x["first"] >= length:
+                        of.append(i)
+                        firsts.append(x["first"])
+                        texts.append(text.slice(x["first"], x["last"] - x["first"]).to_pybytes())
+            ids = [batch.column(c).take(pa.array(of, pa.int64())) for c in ("doc_id", "key")]
+            ids = pa.StructArray.from_arrays([*ids, pa.array(firsts, pa.int32())], ["doc_id", "key", "first"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.binary())], ["doc_id", "text"])
+
+    inner = joined.where("short is not null").mapInArrow(run, f"doc_id {kind}, text binary")
+    return inner.select("doc_id", F.xxhash64("text").alias("key"), "text")
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, spans (removed: first, last excluded), kept (the other bytes).
+
+    With ``passage``, a shorter window, n_passage follows, the bytes that repeated strings of ``passage`` bytes cover, and rest, the text without them. Repeated strings of
+    ``length`` bytes lie within the runs of those, so only these runs are searched for them."""
+    rows = keyed(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
+    if passage is None:
+        joined = _join_spans(rows, _spans_of(rows, length)).withColumnRenamed("_tg_spans", "long").withColumn("short", F.col("long"))
+    elif not _GRAM < passage <= length:
+        raise ValueError(f"passage has to be over {_GRAM} and at most length")
+    else:
+        joined = cut(_join_spans(rows, _spans_of(rows, passage)).withColumnRenamed("_tg_spans", "short"), "suffix-short")
+        inner = repeated_spans(cut(_inside(joined, length), "suffix-inside"), length)
+        moved = F.struct((F.col("first") + F.col("doc_id.first")).alias("first"), (F.col("last") + F.col("doc_id.first")).alias("last"))
+        inner = inner.groupBy(F.col("doc_id.doc_id").alias("_tg_id"), F.col("doc_id.key").alias("_tg_text")).agg(F.collect_set(moved).alias("long"))  # of one text
+        joined = _join_spans(joined, inner)
     kind = "array<struct<first:int,last:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                done = [cut_spans(t, s) for t, s in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-                sizes = pa.array([len(t) for t in part.column(1).to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array([x[0] for x in done], spans_type), pa.array([x[1] for x in done], pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+                ids, texts, *spans = batch.slice(at, 512).columns
+                texts = texts.to_pylist()
+                runs, kept = zip(*map(cut_spans, texts, spans[0].to_pylist()), strict=True)
+                arrays = [ids, pa.array([len(t) for t in texts], pa.int64()), pa.array(runs, spans_type), pa.array(kept, pa.binary())]
+                if passage is not None:
+                    rest = [cut_spans(*x)[1] for x in zip(texts, spans[1].to_pylist(), strict=True)]
+                    arrays += [pa.array([len(t) - len(r) for t, r in zip(texts, rest, strict=True)], pa.int64()), pa.array([r.decode(errors="ignore") for r in rest], pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "spans", "kept", "n_passage", "rest"][: len(arrays)])
 
-    return joined.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, spans {kind}, kept binary")
+    more = "" if passage is None else ", n_passage long, rest string"
+    return joined.select("doc_id", "text", "long", "short").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, spans {kind}, kept binary{more}")
 
 
 def drop_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,6 +417,8 @@ def drop_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
         for texts, spans in batches:
             yield pd.Series([t if s is None else cut_spans(t.encode(), s)[1].decode(errors="ignore") for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    rows = docs.withColumn("_tg_key", text_key(F.col(text_col)))
-    joined = _with_spans(rows, keyed(docs, id_col, text_col), length, id_col, "_tg_key")
-    return joined.withColumn(text_col, kept(F.col(text_col), F.col("_tg_spans"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"), own)
+    joined = _join_spans(rows, _spans_of(keyed(docs, id_col, text_col), length))
+    joined = joined.withColumn("text", kept("text", "_tg_spans"))
+    return joined.select(*[F.col("text").alias(c) if c == text_col else F.col(f"own.`{c}`").alias(c) for c in docs.columns])

@@ -9,8 +9,8 @@ nothing is copied or decoded. A second, small file lists doc_id, start and n_tok
 Encoding uses the tokenizers library, once for each word that a task has not met lately: the words of a text are encoded one by one
 by this kind of vocabulary, so their ids in a row are the text's ids.
 
-Defined cases: a null text is empty and has the end id alone; a null id comes first; rows with equal ids follow each other by
-text; an empty table writes no documents; other columns are ignored.
+Defined cases: a null text is empty and has the end id alone; a very long text is held by one task, with its ids; a null id comes first; rows with equal ids
+follow each other by text, and may be dealt over several files; equal rows are all written; an empty table writes no documents; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallgrass.llm.bpe import Memory, Splitter
+from tallgrass.llm.bpe import Memory, Splitter, byte_symbols
 from tallgrass.llm.common import cut, fresh_path
 from tallgrass.llm.files import new_file, place
 
@@ -38,7 +38,14 @@ class Encoder:
         library.no_truncation()
         library.no_padding()
         self._end = np.array([end_id], "<u4").tobytes()
-        self._memory = Memory(lambda w: np.array(library.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
+        tokenize, added, symbols = library.model.tokenize, self._words.added, {b: s for b, s in enumerate(byte_symbols())}
+
+        def ids(word: str) -> bytes:
+            """By the library's model alone: the splitter has already done what comes before it."""
+            found = [added[word]] if word in added else [t.id for t in tokenize(word.encode().decode("latin-1").translate(symbols))]
+            return np.array(found, "<u4").tobytes()
+
+        self._memory = Memory(ids)
 
     def __call__(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(map(self._memory.__getitem__, self._words(text or ""))) + self._end, "<u4")
@@ -143,7 +150,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, n_vocab: int, length:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "uri": [writer.uri], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens]})
 
-    placed = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    placed = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     files = cut(placed.mapInArrow(run, "part int, uri string, n_docs long, n_tokens long"), "token-files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))

@@ -1,6 +1,7 @@
 """Quality, decontamination, licences, SimHash and repeats against brute force, on odd rows and on test data."""
 
 import os
+import random
 from collections import Counter
 
 import pytest
@@ -158,6 +159,35 @@ def test_repeats_on_test_data(spark, most_in_group, monkeypatch):
     assert multiset((r["doc_id"], [(x["first"], x["last"]) for x in r["spans"]]) for r in got) == multiset((i, w[1]) for (i, _), w in zip(rows, want))
 
 
+@pytest.mark.parametrize("block", [700, 1 << 20])
+def test_passages_and_long_texts_in_blocks(spark, odd, odd_rows, block, monkeypatch):
+    monkeypatch.setattr(suffix, "_BLOCK", block)  # most texts are then cut into several blocks
+    got = suffix.remove_repeats(odd, 400, passage=suffix.PASSAGE).collect()
+    texts = [t for _, t in odd_rows]
+    want = [(i, w[1], w[2], len(p[0:1]) and w[0] - len(p[2]), p[2].decode(errors="ignore")) for (i, _), w, p in zip(odd_rows, brute.removal(texts), brute.removal(texts, suffix.PASSAGE))]
+    assert multiset((r["doc_id"], [(x["first"], x["last"]) for x in r["spans"]], bytes(r["kept"]), r["n_passage"], r["rest"]) for r in got) == multiset(want)
+
+
+def test_planted_passages_of_over_fifty_words_are_caught(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice([2, 3, 4, 4, 5, 6, 7, 9]))) for _ in range(3000)]
+    some = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    passages = [some(rng.randrange(51, 61)) for _ in range(60)]
+    planted = [(i, f"{some(80)} {passages[i % 60]} {some(60)}") for i in range(180)]
+    clean = [(1000 + i, some(200)) for i in range(180)]
+    got = {r["doc_id"]: r["text"] for r in suffix.drop_repeats(spark.createDataFrame(planted + clean, "doc_id long, text string"), suffix.PASSAGE).collect()}
+    assert sum(passages[i % 60] not in got[i] for i, _ in planted) >= 0.9 * len(planted)
+    assert all(got[i] == t for i, t in clean)
+
+
+def test_cutting_repeats_leaves_other_columns_alone(spark):
+    rows = [(i, "r" * 900 if i % 2 else f"own {i}", i, "x") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long, `_tg_spans` string").withColumn("a.b", F.lit(1))
+    got = suffix.drop_repeats(docs)
+    assert got.columns == docs.columns
+    assert multiset(map(tuple, got.collect())) == multiset((i, "" if i % 2 else t, k, s, 1) for i, t, k, s in rows)
+
+
 def test_sharding_on_odd_rows(odd, odd_rows, none):
     got = sorted(sharding.assign_shards(odd, 5).collect(), key=lambda r: (r["shard"], r["slot"]))
     assert multiset(r["doc_id"] for r in got) == multiset(i for i, _ in odd_rows)
