@@ -71,9 +71,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = suffix.remove_repeats(table(spark, sf_dir, "documents"), 400, passage=suffix.PASSAGE)
+    done = suffix.remove_repeats(table(spark, sf_dir, "documents"), 400)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"])
-    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passage", F.col("rest").alias("text"))
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")  # characters that a span cuts are replaced here, not in the digest
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), text)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

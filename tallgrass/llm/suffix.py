@@ -296,7 +296,7 @@ def _crowded_runs(crowd: DataFrame, length: int, most_in_group: int) -> DataFram
         level = taken.where(f"pieces > {most_in_group}").withColumn("offset", F.col("offset") - F.col("lo"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, most_in_group: int = 4000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, most_in_group: int = 1000) -> DataFrame:
     """(doc_id, key, first, last): bytes first ... last (last excluded) of the text are covered by windows that are also elsewhere; spans may be
     there again and overlap. ``docs`` has doc_id, key (of the text) and text."""
     if not _GRAM < length < 1 << 15:
@@ -352,61 +352,23 @@ def _join_spans(rows: DataFrame, spans: DataFrame, id_col: str = "doc_id", key:
     return rows.join(spans, (F.col(key) == F.col("_tg_text")) & F.col(id_col).eqNullSafe(F.col("_tg_id")), "left").drop("_tg_id", "_tg_text")
 
 
-def _inside(joined: DataFrame, length: int) -> DataFrame:
-    """The runs of at least ``length`` bytes that the spans ``short`` of the texts in ``joined`` cover, as texts of their own: doc_id is (doc_id, key, first)."""
-    kind = f"struct<doc_id:{joined.schema['doc_id'].dataType.simpleString()},key:bigint,first:int>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of, firsts, texts = [], [], []
-            for i, spans in enumerate(batch.column("short").to_pylist()):
-                text = batch.column("text")[i].as_buffer()
-                for x in cut_spans(b"", spans)[0]:
-                    if x["last"] - x["first"] >= length:
-                        of.append(i)
-                        firsts.append(x["first"])
-                        texts.append(text.slice(x["first"], x["last"] - x["first"]).to_pybytes())
-            ids = [batch.column(c).take(pa.array(of, pa.int64())) for c in ("doc_id", "key")]
-            ids = pa.StructArray.from_arrays([*ids, pa.array(firsts, pa.int32())], ["doc_id", "key", "first"])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.binary())], ["doc_id", "text"])
-
-    inner = joined.where("short is not null").mapInArrow(run, f"doc_id {kind}, text binary")
-    return inner.select("doc_id", F.xxhash64("text").alias("key"), "text")
-
-
-def remove_repeats(docs: DataFrame, length: int = 400, passage: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, spans (removed: first, last excluded), kept (the other bytes).
-
-    With ``passage``, a shorter window, n_passage follows, the bytes that repeated strings of ``passage`` bytes cover, and rest, the text without them. Repeated strings of
-    ``length`` bytes lie within the runs of those, so only these runs are searched for them."""
-    rows = keyed(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
-    if passage is None:
-        joined = _join_spans(rows, _spans_of(rows, length)).withColumnRenamed("_tg_spans", "long").withColumn("short", F.col("long"))
-    elif not _GRAM < passage <= length:
-        raise ValueError(f"passage has to be over {_GRAM} and at most length")
-    else:
-        joined = cut(_join_spans(rows, _spans_of(rows, passage)).withColumnRenamed("_tg_spans", "short"), "suffix-short")
-        inner = repeated_spans(cut(_inside(joined, length), "suffix-inside"), length)
-        moved = F.struct((F.col("first") + F.col("doc_id.first")).alias("first"), (F.col("last") + F.col("doc_id.first")).alias("last"))
-        inner = inner.groupBy(F.col("doc_id.doc_id").alias("_tg_id"), F.col("doc_id.key").alias("_tg_text")).agg(F.collect_set(moved).alias("long"))  # of one text
-        joined = _join_spans(joined, inner)
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, spans (removed: first, last excluded), kept (the other bytes)."""
+    rows = keyed(docs, id_col, text_col)
+    joined = _join_spans(rows, _spans_of(rows, length)).select("doc_id", F.col("text").cast("binary").alias("text"), "_tg_spans")
     kind = "array<struct<first:int,last:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                ids, texts, *spans = batch.slice(at, 512).columns
+                ids, texts, spans = batch.slice(at, 512).columns
                 texts = texts.to_pylist()
-                runs, kept = zip(*map(cut_spans, texts, spans[0].to_pylist()), strict=True)
+                runs, kept = zip(*map(cut_spans, texts, spans.to_pylist()), strict=True)
                 arrays = [ids, pa.array([len(t) for t in texts], pa.int64()), pa.array(runs, spans_type), pa.array(kept, pa.binary())]
-                if passage is not None:
-                    rest = [cut_spans(*x)[1] for x in zip(texts, spans[1].to_pylist(), strict=True)]
-                    arrays += [pa.array([len(t) - len(r) for t, r in zip(texts, rest, strict=True)], pa.int64()), pa.array([r.decode(errors="ignore") for r in rest], pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "spans", "kept", "n_passage", "rest"][: len(arrays)])
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "spans", "kept"])
 
-    more = "" if passage is None else ", n_passage long, rest string"
-    return joined.select("doc_id", "text", "long", "short").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, spans {kind}, kept binary{more}")
+    return joined.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, spans {kind}, kept binary")
 
 
 def drop_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
