@@ -53,8 +53,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lm.score(docs, lm.train(docs))
+    model, packed = lm.train(table(spark, sf_dir, "documents"))
+    return lm.score(packed, model)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

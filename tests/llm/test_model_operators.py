@@ -138,13 +138,13 @@ def test_salvage_recovers_all_but_the_damaged(compress):
 
 
 def test_lm_base_scores_and_probabilities(spark, odd, odd_rows, none):
-    sizes = lm.Sizes(features=64, classes=8, singles=4, buckets=32, signals=8, head=6, rounds=2, blocks=4)
-    model = lm.train(odd, sizes)
+    sizes = lm.Sizes(most_features=64, classes=8, singles=4, buckets=32, signals=8, head=6, rounds=2, batch=50, blocks=4)
+    model, packed = lm.train(odd, sizes)
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in odd_rows]
     words = [[*brute.SPACE.findall(brute.low(t)), lm.END] for _, t in odd_rows]
     c = Counter(w for x, h in zip(words, held) if not h for w in x)
     n, v = sum(c.values()), len(c)
-    got = Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in lm.score(odd, model).collect())
+    got = Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in lm.score(packed, model).collect())
     want = Counter((i, h, len(x), sum(c[w] > 0 for w in x), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x), 6)) for (i, _), h, x in zip(odd_rows, held, words))
     assert got == want
     # a class's words and its unseen slot have probabilities that add up to one
@@ -154,13 +154,55 @@ def test_lm_base_scores_and_probabilities(spark, odd, odd_rows, none):
         own = [w for w in rest if of[w] == k]
         room = model.class_tokens[k] + 0.5 * (model.class_words[k] + 1)
         assert len(own) == model.class_words[k] and sum(c[w] + 0.5 for w in own) + 0.5 == pytest.approx(room)
-    assert lm.score(none, lm.train(none, sizes)).count() == 0
+    assert lm.score(*lm.train(none, sizes)[::-1]).count() == 0
+    # the score itself, token by token
+    place = {w.decode(): i for i, w in enumerate(model.head)}
+
+    def code(w):
+        return place[w] if w in place else 1 << 31 | lm.bucket_of(w.encode(), sizes.buckets) << 21 | zlib.crc32(w.encode()) & (1 << 21) - 1
+
+    def log_probability(text):
+        total, past = 0.0, [0, 0, 0]
+        for w in text:
+            a, b, d = past
+            rows = [((x + 1) * int(m) % 2**64 >> 40) % len(model.weights) for x, m in zip([a, b, d, (a * 31 + (b << 24)) % 2**64, (a * 37 + (d << 25)) % 2**64], lm._MULTIPLIERS)]
+            logits = [float(model.bias[k]) + sum(float(model.weights[r, k]) for r in rows) for k in range(sizes.classes)]
+            own = place[w] if place.get(w, 99) < sizes.singles else int(model.bucket_class[lm.bucket_of(w.encode(), sizes.buckets)])
+            total += (logits[own] - math.log(sum(map(math.exp, logits)))) / math.log(10)
+            if own >= sizes.singles:
+                total += math.log10((c[w] + 0.5) / (model.class_tokens[own] + 0.5 * (model.class_words[own] + 1)))
+            past = [code(w) + 1, a, b]
+        return total
+
+    got = Counter((r["doc_id"], round(r["score"], 2)) for r in lm.score(packed, model).collect())
+    assert np.abs(model.weights).max() > 0
+    assert got == Counter((i, round(log_probability(x), 2)) for (i, _), x in zip(odd_rows, words))
+
+
+def test_lm_gradient_is_the_slope_of_the_log_likelihood():
+    rng = np.random.default_rng(4)
+    weights, bias = rng.normal(size=(64, 5)), rng.normal(size=5)
+    kinds, classes = [rng.integers(0, 64, 40) for _ in range(3)], rng.integers(0, 5, 40)
+    times, slope = lm.gradient(weights, bias, kinds, classes)
+    assert times.sum() == 120
+    for f, k in [(int(kinds[0][0]), 0), (int(kinds[1][3]), 2), (int(kinds[2][7]), 4)]:
+        up, down = weights.copy(), weights.copy()
+        up[f, k] += 1e-5
+        down[f, k] -= 1e-5
+        change = (lm.log_class(up, bias, kinds, classes).sum() - lm.log_class(down, bias, kinds, classes).sum()) / 2e-5
+        assert slope[f, k] == pytest.approx(change, abs=1e-5)
+
+
+def test_lm_tables_are_summed_in_levels(spark):
+    tables = spark.createDataFrame([(b, t, np.full(3, t + b, "f8").tobytes()) for b in (0, 1) for t in range(70)], "block int, task int, data binary")
+    assert lm._summed(tables, "f8", 70).tolist() == [2415.0] * 3 + [2485.0] * 3
 
 
 @data
 def test_lm_beats_the_base_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    row = lm.score(docs, lm.train(docs)).where("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
+    model, packed = lm.train(docs)
+    row = lm.score(packed, model).where("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
     assert row["s"] > row["b"]
 
 
