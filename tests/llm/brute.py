@@ -89,3 +89,28 @@ def removal(texts, size=400):
         edge = np.flatnonzero(np.diff(np.r_[0, gone.astype(int), 0]))
         out.append((len(b), [tuple(map(int, x)) for x in edge.reshape(-1, 2)], np.frombuffer(b, np.uint8)[~gone].tobytes()))
     return out
+
+
+def shingle_sets(texts, size=5):
+    words = [SPACE.findall(low(t)) for t in texts]
+    return [frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset() for w in words]
+
+
+def near_kept(rows):
+    """The smallest id of each class of (doc_id, text), five-word Jaccard similarity of 0.8 or more, by all pairs."""
+    s, parent = shingle_sets([t for _, t in rows]), list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if s[i] == s[j] or 5 * len(s[i] & s[j]) >= 4 * len(s[i] | s[j]) > 0:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    best = {}
+    for k, (i, _) in enumerate(rows):
+        best.setdefault(find(k), []).append(i)
+    return sorted(min(x) for x in best.values())

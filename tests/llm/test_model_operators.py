@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 import brute
 from conftest_data import DATA, passage
-from tallgrass.llm import bpe, lm, queries, tokenfile, warc
+from tallgrass.llm import bpe, lm, queries, suffix, tokenfile, warc
 from tallgrass.llm.induced import common_prefixes, suffix_array
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -244,13 +244,31 @@ def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
     rows = {i: t for i, t in rows.items() if not brute.quality(t)[-1]}  # no host is bad in these tables
-    prints = {i: brute.fingerprint(t) for i, t in rows.items()}
-    root, best = brute.components(prints.values()), {}
-    for i, p in prints.items():
-        best[root[p]] = min(best.get(root[p], i), i)
-    ids = sorted(best.values())
-    texts = [w[2].decode(errors="ignore") for w in brute.removal([rows[i] for i in ids])]
+    ids = brute.near_kept(list(rows.items()))
+    texts = [w[2].decode(errors="ignore") for w in brute.removal([rows[i] for i in ids], suffix.PASSAGE)]
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
     want = {i: tuple(library_ids(t)) for i, t, c in zip(ids, texts, brute.contamination(texts, items)) if not c[1]}
     got = corpus_pipeline.run(spark, DATA).collect()
     assert {r["doc_id"]: tuple(r["ids"]) for r in got} == want and len(got) == len(want)
+
+
+def test_pipeline_on_odd_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    hot = [(100 + i, "$ # % " * 20 + passage(50 + i, 60), "en", "bad", 0, 0, "", "", 0) for i in range(6)]  # a host whose documents nearly all fail a rule
+    hot += [(200, passage(99, 80), "en", "bad", 0, 0, "", "", 0), (200, passage(99, 80), "en", "bad", 0, 0, "", "", 0)]
+    docs = odd.union(spark.createDataFrame(hot, odd.schema)).withColumn("source", F.when(F.col("source") == "bad", "bad").otherwise(F.lit(None).cast("string")))
+    for name, table in (("odd", docs), ("none", none)):
+        folder = f"{tmp_path}/{name}"
+        table.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, None), (2, ""), (3, passage(3, 20))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        kept = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, folder)
+            assert kept.columns == table.columns
+        got = corpus_pipeline.run(spark, folder)
+        assert got.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+        ids = [r["doc_id"] for r in got.collect()]
+        assert len(ids) == len(set(ids)) if name == "odd" else not ids
+        if name == "odd":
+            assert 200 in ids and not {100, 101, 102, 103, 104, 105} & set(ids)  # the host rule rejects marked documents of a bad host, and keeps its clean one, once

@@ -8,32 +8,7 @@ import pytest
 import brute
 import corpus_pipeline
 from conftest_data import DATA
-from tallgrass.llm import similar
-
-
-def sets(texts, size=5):
-    words = [brute.SPACE.findall(brute.low(t)) for t in texts]
-    return [frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset() for w in words]
-
-
-def kept_ids(rows, least=0.8):
-    """The smallest id of each class of (doc_id, text), by all pairs."""
-    s, parent = sets([t for _, t in rows]), list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if s[i] == s[j] or 5 * len(s[i] & s[j]) >= 4 * len(s[i] | s[j]) > 0:
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
-    best = {}
-    for k, (i, _) in enumerate(rows):
-        best.setdefault(find(k), []).append(i)
-    return sorted(min(x) for x in best.values())
+from tallgrass.llm import similar, suffix
 
 
 def edited(rng, words, share):
@@ -51,7 +26,7 @@ def near_copies(n=60):
 def test_stage_finds_near_copies(spark):
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = kept_ids(rows)
+    want = brute.near_kept(rows)
     assert len(want) < 90
     assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, DATA).collect()) == want
 
@@ -69,7 +44,7 @@ def test_crowded_bands_give_the_same_classes(spark, monkeypatch, most_in_band, m
     real = similar.links
     monkeypatch.setattr(similar, "links", lambda d, p, s, least, t: real(d, p, s, least, t, most_in_band, most_in_block))
     got = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(r["doc_id"] for r in got.collect()) == kept_ids(rows)
+    assert sorted(r["doc_id"] for r in got.collect()) == brute.near_kept(rows)
 
 
 def test_odd_rows(odd, none):
@@ -77,7 +52,7 @@ def test_odd_rows(odd, none):
     assert kept.columns == odd.columns
     rows = [(i, t) for i, t in [(r["doc_id"], r["text"]) for r in odd.collect()] if i is not None]
     ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == kept_ids(rows) and ids.count(None) == 1
+    assert sorted(i for i in ids if i is not None) == brute.near_kept(rows) and ids.count(None) == 1
     assert similar.keep_one(none).count() == 0
 
 
@@ -86,7 +61,7 @@ def test_odd_rows(odd, none):
 def test_stage_on_test_data(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
-    assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, folder).collect()) == kept_ids(rows)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, folder).collect()) == brute.near_kept(rows)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -94,8 +69,8 @@ def test_pipeline_keeps_what_all_pairs_keep(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     rows = [(i, t) for i, t in rows if not brute.quality(t)[-1]]  # no host is bad in these tables
-    text, ids = dict(rows), kept_ids(rows)
-    texts = [w[2].decode(errors="ignore") for w in brute.removal([text[i] for i in ids])]
+    text, ids = dict(rows), brute.near_kept(rows)
+    texts = [w[2].decode(errors="ignore") for w in brute.removal([text[i] for i in ids], suffix.PASSAGE)]
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
     want = [i for i, c in zip(ids, brute.contamination(texts, items)) if not c[1]]
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, DATA).collect()) == want
