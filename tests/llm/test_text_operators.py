@@ -12,6 +12,36 @@ from conftest_data import DATA, passage
 from tallgrass.llm import decontaminate, license, quality, sharding, simhash, suffix
 from tallgrass.llm.components import connected_components
 
+#: Notices as public licences word them, none of them a template of the operator.
+NOTICES = [
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software"),
+    ("MIT", "This project is released under the MIT license; see the file LICENSE."),
+    ("MIT", "// SPDX-License-Identifier: MIT\n// Copyright 2019 the authors"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at"),
+    ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0"),
+    ("Apache-2.0", "The code is distributed under the terms of the Apache License 2.0, as is."),
+    ("GPL", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."),
+    ("GPL", "/* SPDX-License-Identifier: GPL-3.0-or-later */"),
+    ("LGPL", "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."),
+    ("AGPL", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n1. Redistributions of source code must retain the above copyright\nnotice, this list of conditions and the following disclaimer."),
+    ("BSD", "Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at"),
+    ("CC-BY", "Except where noted, this work is licensed under a Creative Commons Attribution 4.0 International License, and its text may be reused."),
+    ("CC-BY-SA", "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC", "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License."),
+    ("CC0", "To the extent possible under law, the author has waived all\ncopyright and related or neighboring rights to this work under CC0 1.0 Universal."),
+    ("Unlicense", "This is free and unencumbered software\nreleased into the public domain.\nAnyone is free to copy it."),
+]
+OTHERS = [
+    "He lost his driving license and could not drive to work under the new rules of the city.",
+    "Poetic license permits the author to distribute the blame over source and form.",
+    "The foundation published a general report for the public, free of charge, to any person who asked.",
+    "All rights reserved. No part of this book may be copied without permission of the publisher.",
+    "The Apache helicopter, version 2, was released under pressure from the ministry.",
+    "Students at MIT released a robot under the bridge; its software is subject to change.",
+]
+
 data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
 
@@ -83,12 +113,30 @@ def test_licence_scan(spark, odd, none):
     model = license.fit(docs, most_unknown=200)
     got = {r["doc_id"]: r for r in license.scan(docs, *model).collect()}
     assert [got[100 + i]["license"] for i in range(5)] == ["MIT", "GPL", "CC-BY-NC", "Apache-2.0", None]
-    assert all(got[i]["license"] is None and got[i]["n_paragraphs"] == 2 for i in range(60)) and got[200]["n_paragraphs"] == 0
+    assert all(got[i]["license"] is None and got[i]["n_paragraphs"] == 1 for i in range(60)) and got[200]["n_paragraphs"] == 0
     assert got[100]["n_licenses"] == 1 and license.scan(docs, *model).count() == len(rows) + 1
     assert {r["doc_id"] for r in license.scan(odd, *model).where("n_licenses > 0").collect()} == {14}
     assert license.scan(none, *model).count() == 0
 
 
+def test_licence_recall_and_precision_on_notices_outside_the_templates(spark):
+    rng, rows, want = random.Random(6), [], {}
+    prose = [passage(500 + i, 150).split() for i in range(120)]
+    cases = [*NOTICES, *((None, t) for t in OTHERS)]
+    for i in range(3 * len(cases)):  # alone, within a paragraph, and far inside a long one
+        family, text = cases[i // 3]
+        lead, tail = [(0, 0), (rng.randrange(5, 30), rng.randrange(5, 30)), (140, 100)][i % 3]
+        rows.append((1000 + i, " ".join(prose[rng.randrange(120)][:lead]) + "\n" + text + "\n" + " ".join(prose[rng.randrange(120)][:tail])))
+        want[1000 + i] = family
+    docs = spark.createDataFrame(rows + [(i, " ".join(w)) for i, w in enumerate(prose)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in license.scan(docs, *license.fit(docs, most_unknown=300)).collect()}
+    there = [i for i, f in want.items() if f]
+    right = sum(got[i] == want[i] for i in there)
+    print({i: (want[i], got[i]) for i in want if got[i] != want[i]})
+    assert right >= 0.9 * len(there)
+    assert right >= 0.95 * sum(v is not None for v in got.values())
+
+
 def test_simhash_on_odd_rows(odd, odd_rows, none):
     prints = [brute.fingerprint(t) for _, t in odd_rows]
     root = brute.components(prints)
