@@ -32,7 +32,11 @@ def _recovery(spark: SparkSession, d: str) -> DataFrame:
     per = scored.groupBy("condition").agg(F.count("*").alias("n"), *[corr(a, b).alias(c) for _, c, a, b, _ in COMPARISONS])
     long = per.unpivot(["condition", "n"], [c for _, c, _, _, _ in COMPARISONS], "comparison", "r")
     spec = spark.createDataFrame([(card, c, e) for card, c, _, _, e in COMPARISONS], "card string, comparison string, expected int")
-    out = long.join(F.broadcast(spec), "comparison").withColumns({"t": corr_t("r", "n"), "coverage": F.lit(1.0), "direction_ok": labels.direction_ok("expected", "r")})
+    # the share of a card's features that a cohort has any value of
+    own = {card: sorted({f for c, _, f in CARD_MODULES if c == card}) for card, _, _ in CARD_MODULES}
+    covered = rows.groupBy("condition").agg(*[(sum((F.count(f) > 0).cast("double") for f in fs) / len(fs)).alias(card) for card, fs in own.items()])
+    covered = covered.unpivot(["condition"], list(own), "card", "coverage")
+    out = long.join(F.broadcast(spec), "comparison").join(covered, ["condition", "card"]).withColumns({"t": corr_t("r", "n"), "direction_ok": labels.direction_ok("expected", "r")})
     return out.withColumnRenamed("condition", "cohort")
 
 
@@ -42,7 +46,9 @@ spec(card, comparison, expected) AS (VALUES ('volume', 'size_cost', 1), ('charge
 per AS (SELECT condition AS cohort, count(*) AS n, 'size_cost' AS comparison, covar_pop(size, cost) / nullif(stddev_pop(size) * stddev_pop(cost), 0) AS r FROM scored GROUP BY 1
  UNION ALL SELECT condition, count(*), 'rate_levy', covar_pop(rate, levy) / nullif(stddev_pop(rate) * stddev_pop(levy), 0) FROM scored GROUP BY 1
  UNION ALL SELECT condition, count(*), 'rate_size', covar_pop(rate, size) / nullif(stddev_pop(rate) * stddev_pop(size), 0) FROM scored GROUP BY 1),
-rec AS (SELECT card, comparison, cohort, n, r, r * sqrt((n - 2)::DOUBLE / (1 - r * r)) AS t, 1.0::DOUBLE AS coverage, sign(r) = expected AS direction_ok FROM per JOIN spec USING (comparison)),
+cov AS (SELECT condition AS cohort, 'volume' AS card, (CAST(count(qty) > 0 AS DOUBLE) + CAST(count(price) > 0 AS DOUBLE)) / 2 AS coverage FROM cells GROUP BY 1
+ UNION ALL SELECT condition, 'charges', (CAST(count(disc) > 0 AS DOUBLE) + CAST(count(tax) > 0 AS DOUBLE)) / 2 FROM cells GROUP BY 1),
+rec AS (SELECT card, comparison, cohort, n, r, r * sqrt((n - 2)::DOUBLE / (1 - r * r)) AS t, coverage, sign(r) = expected AS direction_ok FROM per JOIN spec USING (comparison) JOIN cov USING (cohort, card)),
 counted AS (SELECT *, CAST(sum(CASE WHEN direction_ok THEN 1 ELSE 0 END) OVER (PARTITION BY comparison) AS BIGINT) AS concordant_cohorts FROM rec),
 status AS (SELECT *, CASE WHEN direction_ok AND abs(t) >= 1.96 AND concordant_cohorts >= 2 THEN 'recovered' WHEN direction_ok AND abs(t) >= 1.96 THEN 'partially_recovered' ELSE 'not_recovered' END AS status FROM counted)"""
 

@@ -119,10 +119,10 @@ def card_overlap(spark: SparkSession, d: str) -> DataFrame:
     return both.select("a", "b", "shared", either.alias("either"), F.round(F.col("shared").cast("double") / either.cast("double"), 6).alias("jaccard"))
 
 
-@query("SELECT p_size AS feature, string_agg(DISTINCT p_type, ';' ORDER BY p_type) AS terms, count(DISTINCT p_type) AS n_terms FROM part WHERE p_size <= 20 GROUP BY 1")
+@query("SELECT p_size AS feature, string_agg(DISTINCT p_type, ';' ORDER BY p_type) AS terms, count(DISTINCT p_type) AS n_terms FROM part GROUP BY 1")
 def geneset_invert(spark: SparkSession, d: str) -> DataFrame:
     parts = read(spark, d, "part").select(F.col("p_type").alias("term"), F.col("p_size").alias("feature"))
-    out = graph.invert_sets(parts, parts.where("feature <= 20").select("feature"))
+    out = graph.invert_sets(parts, parts.select("feature"))
     return out.withColumn("terms", F.array_join("terms", ";"))
 
 
@@ -225,10 +225,10 @@ def module_coupling_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {MATRIX}, e AS (SELECT 'Brand#' || (vec_id + 1) AS feature, unnest(embedding[1:4])::DOUBLE AS x, generate_subscripts(embedding[1:4], 1) - 1 AS dim FROM embeddings WHERE vec_id < 25) SELECT sample, CAST(dim AS INTEGER) AS dim, round(sum(value * x), 4) AS value FROM m JOIN e USING (feature) GROUP BY 1, 2"
+    f"WITH {MATRIX}, e AS (SELECT 'Brand#' || (vec_id + 1) AS feature, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) SELECT sample, CAST(dim AS INTEGER) AS dim, round(sum(value * x), 4) AS value FROM m JOIN e USING (feature) GROUP BY 1, 2"
 )
 def projection(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "embeddings").where("vec_id < 25").select(F.concat(F.lit("Brand#"), F.col("vec_id") + 1).alias("feature"), F.slice("embedding", 1, 4).alias("vector"))
+    e = read(spark, d, "embeddings").select(F.concat(F.lit("Brand#"), F.col("vec_id") + 1).alias("feature"), F.col("embedding").alias("vector"))
     return rounded(graph.project(matrix(spark, d), e), ["value"], 4)
 
 
@@ -254,11 +254,11 @@ def axis_pairs(spark: SparkSession, d: str) -> DataFrame:
     return graph.inside_groups(read(spark, d, "supplier"), "s_nationkey", "s_name", "axis", 0.3)
 
 
-@query("SELECT trim(split_part(c_name, '#', 1)) AS prefix, trim(split_part(c_name, '#', -1)) AS number, c_custkey FROM customer WHERE c_custkey < 100")
+@query("SELECT trim(split_part(c_name, '#', 1)) AS prefix, trim(split_part(c_name, '#', -1)) AS number, c_custkey FROM customer")
 def identifier_fields(spark: SparkSession, d: str) -> DataFrame:
     from tallgrass.functions.expr import last_field
 
-    return read(spark, d, "customer").where("c_custkey < 100").select(first_field("c_name", "#").alias("prefix"), last_field("c_name", "#").alias("number"), "c_custkey")
+    return read(spark, d, "customer").select(first_field("c_name", "#").alias("prefix"), last_field("c_name", "#").alias("number"), "c_custkey")
 
 
 def _view_edges(spark: SparkSession, d: str) -> DataFrame:

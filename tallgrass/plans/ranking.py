@@ -62,7 +62,7 @@ def split_lists(spark: SparkSession, d: str) -> DataFrame:
     return evidence.ranked(target.union(readout), [F.desc("score"), F.asc("s_name")], groups=["list"])
 
 
-_EXTERNAL = "ext AS (SELECT s_name, CASE WHEN s_acctbal > 5000 THEN 'strong' WHEN s_acctbal > 0 THEN 'weak' END AS support FROM supplier WHERE s_suppkey % 4 <> 0)"
+_EXTERNAL = "ext AS (SELECT s_name, CASE WHEN s_acctbal > 5000 THEN 'strong' WHEN s_acctbal > 0 THEN 'weak' END AS support FROM supplier)"
 
 
 @query(
@@ -72,18 +72,18 @@ _EXTERNAL = "ext AS (SELECT s_name, CASE WHEN s_acctbal > 5000 THEN 'strong' WHE
 )
 def evidence_external(spark: SparkSession, d: str) -> DataFrame:
     support = F.when(F.col("s_acctbal") > 5000, "strong").when(F.col("s_acctbal") > 0, "weak")
-    external = read(spark, d, "supplier").where("s_suppkey % 4 <> 0").select("s_name", support.alias("support"))
+    external = read(spark, d, "supplier").select("s_name", support.alias("support"))
     rows = evidence.star_join(_composite(spark, d), [external], "s_name")
     score, notes = labels.evidence_sum({"strong": (F.col("support") == "strong", 0.6), "any": (F.col("support").isNotNull(), 0.2), "core": (F.col("core"), 0.2)})
     rows = rows.withColumns({"validation": F.round(score, 6), "notes": notes}).withColumn("combined", F.round(0.6 * F.col("score") + 0.4 * F.col("validation"), 6))
     return rows.select("s_name", "validation", "notes", "combined", (F.col("combined") >= 0.3).alias("confident"))
 
 
-_TWO = f"{_RANKED}, ba AS (SELECT s_name, row_number() OVER (ORDER BY bal DESC, s_name) AS rank FROM evd WHERE s_suppkey % 10 <> 0), ch AS (SELECT s_name, a.rank AS rank_a, b.rank AS rank_b, a.rank - b.rank AS delta FROM rk a FULL JOIN ba b USING (s_name))"
+_TWO = f"{_RANKED}, ba AS (SELECT s_name, row_number() OVER (ORDER BY bal DESC, s_name) AS rank FROM evd WHERE bal > 0), ch AS (SELECT s_name, a.rank AS rank_a, b.rank AS rank_b, a.rank - b.rank AS delta FROM rk a FULL JOIN ba b USING (s_name))"
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
-    simple = evidence.ranked(_evidence(spark, d).where("s_suppkey % 10 <> 0"), [F.desc("bal"), F.asc("s_name")])
+    simple = evidence.ranked(_evidence(spark, d).where("bal > 0"), [F.desc("bal"), F.asc("s_name")])
     return evidence.rank_change(_composite(spark, d), simple, "s_name")
 
 
@@ -98,10 +98,10 @@ def topn_overlap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evidence.top_overlap(_changes(spark, d), [5, 10, 20, 37, 50]), ["jaccard"])
 
 
-@query("SELECT coalesce(a.s_nationkey, b.c_nationkey) AS nation, n_s, n_c, sign(sb) = sign(cb) AS same FROM (SELECT s_nationkey, count(*) n_s, round(sum(s_acctbal), 2) sb FROM supplier WHERE s_acctbal > 3000 GROUP BY 1) a FULL JOIN (SELECT c_nationkey, count(*) n_c, round(sum(c_acctbal), 2) cb FROM customer WHERE c_custkey % 50 = 0 GROUP BY 1) b ON a.s_nationkey = b.c_nationkey")
+@query("SELECT coalesce(a.s_nationkey, b.c_nationkey) AS nation, n_s, n_c, sign(sb) = sign(cb) AS same FROM (SELECT s_nationkey, count(*) n_s, round(sum(s_acctbal), 2) sb FROM supplier WHERE s_acctbal > 3000 GROUP BY 1) a FULL JOIN (SELECT c_nationkey, count(*) n_c, round(sum(c_acctbal), 2) cb FROM customer GROUP BY 1) b ON a.s_nationkey = b.c_nationkey")
 def outer_merge_evidence(spark: SparkSession, d: str) -> DataFrame:
     s = read(spark, d, "supplier").where("s_acctbal > 3000").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("n_s"), F.round(F.sum("s_acctbal"), 2).alias("sb"))
-    c = read(spark, d, "customer").where("c_custkey % 50 = 0").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n_c"), F.round(F.sum("c_acctbal"), 2).alias("cb"))
+    c = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n_c"), F.round(F.sum("c_acctbal"), 2).alias("cb"))
     return evidence.outer_merge(s, c, "nation").select("nation", "n_s", "n_c", (F.signum("sb") == F.signum("cb")).alias("same"))
 
 
@@ -121,9 +121,9 @@ def gain_verdict(spark: SparkSession, d: str) -> DataFrame:
     return evidence.gain_verdict(rows, rows.select("comparator", "metric"))
 
 
-@query("WITH x AS (SELECT l_returnflag AS a, l_linestatus AS b, l_linenumber AS c FROM lineitem WHERE l_suppkey = 7), k AS (SELECT a, b, c, count(*) n FROM x GROUP BY 1, 2, 3) SELECT p.a, q.b, r.c, coalesce(n, 0) AS n FROM (SELECT DISTINCT a FROM x) p CROSS JOIN (SELECT DISTINCT b FROM x) q CROSS JOIN (SELECT DISTINCT c FROM x) r LEFT JOIN k ON k.a = p.a AND k.b = q.b AND k.c = r.c WHERE coalesce(n, 0) <> 1")
+@query("WITH x AS (SELECT l_returnflag AS a, l_linestatus AS b, l_linenumber AS c FROM lineitem), k AS (SELECT a, b, c, count(*) n FROM x GROUP BY 1, 2, 3) SELECT p.a, q.b, r.c, coalesce(n, 0) AS n FROM (SELECT DISTINCT a FROM x) p CROSS JOIN (SELECT DISTINCT b FROM x) q CROSS JOIN (SELECT DISTINCT c FROM x) r LEFT JOIN k ON k.a = p.a AND k.b = q.b AND k.c = r.c WHERE coalesce(n, 0) <> 1")
 def coverage_check(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "lineitem").where("l_suppkey = 7").select(F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("b"), F.col("l_linenumber").alias("c"))
+    rows = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("b"), F.col("l_linenumber").alias("c"))
     return evidence.factorial_gaps(rows, ["a", "b", "c"])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions.expr import first_field, last_field, to_double
 
-_NO_SYMBOL = ("", "---", "NA", "nan")
+_NO_SYMBOL = ("", "---", "NA", "nan", "NaN")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -45,10 +45,12 @@ def clean_mapping(pairs: DataFrame) -> DataFrame:
 
 
 def read_platform(spark: SparkSession, path: str, symbol_names: tuple[str, ...] = ("Gene Symbol", "Symbol", "ILMN_Gene", "GENE_SYMBOL")) -> DataFrame:
-    """(probe, symbol) of platform annotation files; the symbol column is the first of the names that the header has."""
+    """(probe, symbol) of platform annotation files; the symbol column is the first of the names that the header has, in any case and with blanks or underscores. A file with none of
+    them is an error when it is read."""
     cells = between(numbered_lines(spark, path), "!platform_table_begin", "!platform_table_end").withColumn("cells", F.split("line", "\t"))
     heads = cells.groupBy("file").agg(F.min_by("cells", "at").alias("names"), F.min("at").alias("_first"))
-    place = F.coalesce(*[F.nullif(F.array_position("names", n), F.lit(0)) for n in symbol_names])
+    plain = F.transform("names", lambda x: F.lower(F.translate(F.trim(x), "_", " ")))
+    place = F.coalesce(*[F.nullif(F.array_position(plain, n.lower().replace("_", " ")), F.lit(0)) for n in symbol_names], F.raise_error(F.concat(F.lit("no symbol column in "), F.col("file"))))
     body = cells.join(heads.withColumn("_s", place), "file").where(F.col("at") > F.col("_first"))
     return clean_mapping(body.select(F.col("cells")[0].alias("probe"), F.get("cells", F.col("_s").cast("int") - 1).alias("symbol")).na.drop())
 

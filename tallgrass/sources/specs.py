@@ -48,7 +48,7 @@ ASSETS = "asset string, accession string, source_url string, modality string, sp
 STATUSES = ("verified", "pending", "failed")
 
 
-def asset_problems(assets: DataFrame, species: str = "Homo sapiens", forbidden: tuple[str, ...] = ("synthetic", "mock", "dummy")) -> DataFrame:
+def asset_problems(assets: DataFrame, species: str = "Homo sapiens", forbidden: tuple[str, ...] = ("synthetic", "mock", "demo", "dummy")) -> DataFrame:
     """(asset, problem) of a manifest."""
     rules = {
         "missing field": F.exists(F.array("accession", "source_url", "modality", "species", "local_path"), lambda x: x.isNull() | (x == "")),
