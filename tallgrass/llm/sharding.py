@@ -5,13 +5,13 @@ sums gives each partition its offset, and the global prefix sum of a row decides
 contiguous in the order, and each differs from the equal target by less than two rows' sizes.
 
 Defined cases: a null text has size ``overhead`` and checksum 0; a null id comes first; rows with equal ids
-are ordered by checksum and size, and equal rows are interchangeable; an empty table gives no rows; columns
+are ordered by checksum and size, and equal rows are interchangeable; a very long text is one row; an empty table gives no rows; columns
 other than the id and the text are ignored. A row larger than a whole target leaves shards empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.llm.common import cut
@@ -41,34 +41,28 @@ def global_order(rows: DataFrame, keys: list[str], sums: list[str], label: str)
     )
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 40, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, text_crc32, shard, slot (gapless from 0 in the shard).
-
-    A row goes to the shard in which the middle of its bytes falls."""
+def _placed(docs: DataFrame, n_shards: int, overhead: int, id_col: str, text_col: str, own: list[Column]) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot and the columns ``own``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        (F.octet_length(text) + overhead).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
+    size = (F.octet_length(text) + overhead).cast("long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *own)
     placed = global_order(rows, ["doc_id", "text_crc32", "size"], ["size"], "sharding").withColumn(
         "shard", F.least(F.lit(n_shards - 1), F.expr(f"((2 * before_size + size) * {n_shards}) div (2 * all_size)")).cast("int")
     )
     first = placed.groupBy("shard").agg(F.min("row_index").alias("_first"))
     # first has at most n_shards rows
-    return placed.join(F.broadcast(first), "shard").select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("row_index") - F.col("_first")).alias("slot")
-    )
+    return placed.join(F.broadcast(first), "shard").select(*rows.columns, "shard", (F.col("row_index") - F.col("_first")).alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` to ``path``, a folder for each shard. The assignment is joined back on the id, so ids have to be distinct."""
-    placed = assign_shards(docs, n_shards, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    (
-        docs.join(placed, docs[id_col].eqNullSafe(placed["_id"]))
-        .drop("_id")
-        .repartitionByRange("shard", "slot")
-        .sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard")
-        .parquet(path)
-    )
+def assign_shards(docs: DataFrame, n_shards: int = 40, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, text_crc32, shard, slot (gapless from 0 in the shard).
+
+    A row goes to the shard in which the middle of its bytes falls."""
+    return _placed(docs, n_shards, overhead, id_col, text_col, [])
+
+
+def write_shards(docs: DataFrame, path: str, n_shards: int = 40, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write ``docs`` to ``path``, a folder ``_shard=N`` for each shard, its rows in the order of their slots. Whole rows are placed, so ids may repeat or be null."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    placed = _placed(docs, n_shards, overhead, id_col, text_col, [own]).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    placed.select(F.col("shard").alias("_shard"), *[F.col(f"own.`{c}`").alias(c) for c in docs.columns]).write.partitionBy("_shard").parquet(path)

@@ -248,3 +248,11 @@ def test_sharding_on_odd_rows(odd, odd_rows, none):
         slots = [r["slot"] for r in got if r["shard"] == s]
         assert slots == list(range(len(slots)))
     assert sharding.assign_shards(none, 5).count() == 0
+
+
+def test_written_shards_hold_every_row_once_in_order(spark, odd, tmp_path):
+    sharding.write_shards(odd.withColumn("shard", F.lit("own")), f"{tmp_path}/shards", 5)
+    got = spark.read.parquet(f"{tmp_path}/shards")
+    assert multiset(map(tuple, got.drop("_shard", "shard").collect())) == multiset(map(tuple, odd.collect())) and {r["shard"] for r in got.collect()} == {"own"}
+    want = sharding.assign_shards(odd, 5).groupBy("shard").count().collect()
+    assert {r["_shard"]: r["count"] for r in got.groupBy("_shard").count().collect()} == {r["shard"]: r["count"] for r in want}
