@@ -38,12 +38,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read_warc(warc.write_warc(warc.plan_records(pages))).where("kind in ('response', 'revisit')")
     id_type = dict(pages.dtypes)["page_id"]
     own = F.col("kind") == "response"
-    return read.select(
-        F.nullif(F.substring_index("record_id", ":", -1), F.lit("")).cast(id_type).alias("page_id"),
+    return read.select(  # ids stand behind urn:page:, and may hold colons themselves
+        F.nullif(F.expr("substring(record_id, 10)"), F.lit("")).cast(id_type).alias("page_id"),
         F.when(own, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
         F.when(own, F.sha2("payload", 256)).otherwise(F.col("digest")).alias("payload_digest"),
         F.col("kind").alias("record_type"),
-        F.substring_index("refers_to", ":", -1).cast(id_type).alias("refers_to"),
+        F.expr("substring(refers_to, 10)").cast(id_type).alias("refers_to"),
     )
 
 
