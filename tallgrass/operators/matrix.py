@@ -103,3 +103,22 @@ def split_ids(ids: Column, mark: str, field: int) -> Column:
 def check_one_to_one(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The keys that are there more than once; empty for a proper key."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def concat(frames: list[DataFrame], how: str = "outer") -> DataFrame:
+    """The rows of all frames, with the columns that all of them have (``inner``) or that any of them has (``outer``, null where a frame lacks one)."""
+    if how not in ("inner", "outer"):
+        raise ValueError("how is inner or outer")
+    if how == "inner":
+        shared = [c for c in frames[0].columns if all(c in f.columns for f in frames)]
+        frames = [f.select(*shared) for f in frames]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=how == "outer")
+    return out
+
+
+def not_finite(rows: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric, n_null, n_not_finite) of each of the ``metrics``, counted in one pass."""
+    odd = [F.struct(F.lit(m).alias("metric"), F.count_if(F.col(m).isNull()).alias("n_null"), F.count_if(F.isnan(m) | (F.abs(F.col(m)) == float("inf"))).alias("n_not_finite")) for m in metrics]
+    return rows.agg(F.array(*odd).alias("m")).select(F.inline("m"))

@@ -194,3 +194,28 @@ def union_by_name(spark: SparkSession, d: str) -> DataFrame:
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("nation"))
     return c.intersect(read(spark, d, "supplier").select("s_nationkey")).subtract(read(spark, d, "nation").where("n_regionkey = 0").select("n_nationkey"))
+
+
+@query("SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment, NULL::VARCHAR AS name FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL, s_name FROM supplier")
+def concat_outer(spark: SparkSession, d: str) -> DataFrame:
+    return mx.concat(_parties(spark, d), "outer")
+
+
+@query("SELECT c_custkey AS id, c_acctbal AS balance FROM customer UNION ALL SELECT s_suppkey, s_acctbal FROM supplier")
+def concat_inner(spark: SparkSession, d: str) -> DataFrame:
+    return mx.concat(_parties(spark, d), "inner")
+
+
+def _parties(spark: SparkSession, d: str) -> list[DataFrame]:
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    return [c, read(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"))]
+
+
+@query(
+    "WITH m AS (SELECT CASE WHEN s_acctbal < 0 THEN 'NaN'::DOUBLE ELSE s_acctbal END AS balance, CASE WHEN s_acctbal > 5000 THEN s_acctbal END AS large FROM supplier) "
+    "SELECT 'balance' AS metric, count(*) FILTER (balance IS NULL) AS n_null, count(*) FILTER (isnan(balance) OR isinf(balance)) AS n_not_finite FROM m UNION ALL SELECT 'large', count(*) FILTER (large IS NULL), count(*) FILTER (isnan(large) OR isinf(large)) FROM m"
+)
+def finite_metrics(spark: SparkSession, d: str) -> DataFrame:
+    balance = F.col("s_acctbal")
+    rows = read(spark, d, "supplier").select(F.when(balance < 0, float("nan")).otherwise(balance).alias("balance"), F.when(balance > 5000, balance).alias("large"))
+    return mx.not_finite(rows, ["balance", "large"])
