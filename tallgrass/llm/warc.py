@@ -2,20 +2,24 @@
 
 The writer puts each record into a gzip member of its own (or none, for plain archives). The reader takes member after member; where a
 member or a version line is not where it should be, does not inflate, or fails its length or digest check, it looks for the next place where
-a valid member or version line begins, goes on there, and reports the bytes between as a quarantined gap. It reads in pieces and holds one
-record at a time.
+a valid member or version line begins, goes on there, and reports the bytes between as a quarantined gap. Within a member that inflates but does
+not hold just one sound record, it goes on at the next version line in the same way; records and gaps found there have the member's offsets,
+and a gap's reason says which bytes of the content it is. It reads in pieces and holds one member or plain record at a time.
 
 Of equal payloads of at least ``least_revisit`` bytes the one with the smallest page id is a response and the others are revisits that refer to it.
 
 Defined cases: a null html is an empty payload; a null url leaves the target out; line ends in a url are percent-encoded; a null page id is
 written as such, never chosen as a revisit and never referred to; rows with equal page id and payload are all responses if that id is
-the smallest; an empty table writes no files; other columns are ignored. A record of more than ``_MOST`` inflated bytes is reported as a gap.
+the smallest; an empty table writes no files; other columns are ignored. A member or plain record of more than ``_MOST`` inflated bytes is reported as a gap; that is more
+than any text that Spark can hold, so no page that was written is lost by it.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
@@ -29,7 +33,10 @@ from tallgrass.llm.common import cut, fresh_path
 from tallgrass.llm.files import new_file, place
 
 _MAGIC, _VERSION, _END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
-_PIECE, _MOST = 1 << 20, 1 << 30
+_LINE = re.compile(rb"WARC/1\.\d\r\n")
+_PIECE = 1 << 20
+#: A value in Spark has fewer than 2 ** 31 bytes, a url is one and a payload is one.
+_MOST = (3 << 31) + _PIECE
 #: A file is closed when it has so many bytes.
 _FILE_BYTES = 128 << 20
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -71,13 +78,22 @@ class _Source:
         self.buffer, self.at = self.buffer[n:], self.at + n
 
 
-def _parse(raw: bytes) -> tuple[dict[str, str], bytes, int]:
-    """(headers, block, length of the record) of a record that begins at 0; ValueError says what is wrong."""
-    end = raw.find(_END)
-    if not raw.startswith(_VERSION) or end < 0:
+def _differs(said: str, block: bytes) -> bool:
+    """Whether ``block`` fails the digest ``said``: an algorithm's name and the value in hexadecimal or base 32. Unknown algorithms are not checked."""
+    name, _, value = said.partition(":")
+    if name.lower() not in ("md5", "sha1", "sha256", "sha512"):
+        return False
+    digest = hashlib.new(name.lower(), block).digest()
+    return value.lower().rstrip("=") not in (digest.hex(), base64.b32encode(digest).decode().lower().rstrip("="))
+
+
+def _parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """(headers, block, length of the record) of a record that begins at ``at``; ValueError says what is wrong."""
+    end = raw.find(_END, at)
+    if not raw.startswith(_VERSION, at) or end < 0:
         raise ValueError("no version line or header")
     headers = {}
-    for line in raw[:end].split(b"\r\n")[1:]:
+    for line in raw[at:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("broken header")
@@ -91,10 +107,35 @@ def _parse(raw: bytes) -> tuple[dict[str, str], bytes, int]:
     block = raw[end + 4 : end + 4 + n]
     if len(block) < n or raw[end + 4 + n : end + 8 + n] != _END:
         raise ValueError("length check failed")
-    digest = headers.get("warc-block-digest", "")
-    if digest.startswith("sha256:") and hashlib.sha256(block).hexdigest() != digest[7:]:
+    if _differs(headers.get("warc-block-digest", ""), block):
         raise ValueError("digest check failed")
-    return headers, block, end + 8 + n
+    return headers, block, end + 8 + n - at
+
+
+def _within(raw: bytes) -> Iterator[tuple[str | None, dict[str, str], bytes]]:
+    """(reason, headers, block) of each record, reason None, and of each gap in the content of a member."""
+
+    def gap(first: int, last: int, reason: str) -> tuple[str, dict[str, str], bytes]:
+        return (reason if (first, last) == (0, len(raw)) else f"{reason}: bytes {first} to {last} of the member's content"), {}, b""
+
+    at, since, why = 0, None, ""
+    while at < len(raw):
+        try:
+            headers, block, n = _parse(raw, at)
+        except ValueError as e:
+            if since is None:
+                since, why = at, str(e)
+            at = raw.find(_VERSION, at + 1)
+            if at < 0:
+                break
+            continue
+        if since is not None:
+            yield gap(since, at, why)
+            since = None
+        yield None, headers, block
+        at += n
+    if since is not None or not raw:
+        yield gap(since or 0, len(raw), why or "the member is empty")
 
 
 def _inflate(source: _Source) -> tuple[bytes, int]:
@@ -117,8 +158,11 @@ def _inflate(source: _Source) -> tuple[bytes, int]:
 
 def _plain(source: _Source) -> tuple[dict[str, str], bytes, int]:
     """The plain record that begins at the source."""
-    while (end := source.buffer.find(_END)) < 0 and len(source.buffer) < _PIECE and source.more():
-        pass
+    end, seen = -1, 0
+    while source.need(len(_VERSION) + 3) and _LINE.match(source.buffer) and (end := source.buffer.find(_END, seen)) < 0:
+        seen = len(source.buffer) - len(_END) + 1
+        if len(source.buffer) > _MOST or not source.more():
+            break
     length = next((x.partition(b":")[2].strip() for x in source.buffer[: max(end, 0)].lower().split(b"\r\n") if x.startswith(b"content-length:")), b"")
     if length.isdigit() and int(length) <= _MOST:
         source.need(end + 8 + int(length))
@@ -159,22 +203,17 @@ def salvage(stream: BinaryIO) -> Iterator[tuple[int, int, str | None, dict[str,
         try:
             if source.need(3) and source.buffer.startswith(_MAGIC):
                 raw, size = _inflate(source)
-                try:
-                    headers, block, n = _parse(raw)
-                    if n != len(raw):
-                        raise ValueError("bytes after the record")
-                except ValueError as e:  # the member is whole, its content is not: the next one begins after it
-                    source.skip(size)
-                    yield begin, source.at, str(e), {}, b""
-                    continue
+                found = _within(raw)
             else:
                 headers, block, size = _plain(source)
+                found = iter([(None, headers, block)])
         except ValueError as e:
             source.skip(_resync(source))
             yield begin, source.at, str(e), {}, b""
             continue
         source.skip(size)
-        yield begin, source.at, None, headers, block
+        for reason, headers, block in found:
+            yield begin, source.at, reason, headers, block
 
 
 def plan_records(pages: DataFrame, least_revisit: int = 100, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,5 +1,6 @@
 """Tokenizers, token files, archives, the language model and the pipeline: exact round trips and brute force."""
 
+import base64
 import gzip
 import hashlib
 import io
@@ -137,6 +138,38 @@ def test_salvage_recovers_all_but_the_damaged(compress):
             assert edges[0] == 0 and edges[-1] == len(raw) and edges[1:-1:2] == edges[2::2]  # records and gaps cover the file
 
 
+def records(n: int, url: str = "u") -> list[bytes]:
+    return [warc.record_bytes("response", f"urn:page:{i}", url, b"<p>%d" % i * 40, "0", None, "2000-01-01T00:00:00Z") for i in range(n)]
+
+
+@pytest.mark.parametrize("bad", [None, 0, 3, 5])
+def test_salvage_looks_inside_a_member_of_many_records(bad):
+    rows = records(6)
+    if bad is not None:
+        rows[bad] = rows[bad].replace(b"<p>", b"<q>", 1)
+    member, after = gzip.compress(b"".join(rows), mtime=0), gzip.compress(records(1, "after")[0], mtime=0)
+    got = list(warc.salvage(io.BytesIO(member + after)))
+    assert [h["warc-record-id"] for _, _, reason, h, _ in got if reason is None] == [f"<urn:page:{i}>" for i in range(6) if i != bad] + ["<urn:page:0>"]
+    assert got[-1][3]["warc-target-uri"] == "after" and {x[:2] for x in got[:-1]} == {(0, len(member))}
+    gaps = [reason for _, _, reason, _, _ in got if reason]
+    first = sum(map(len, rows[: bad or 0]))
+    assert gaps == ([] if bad is None else [f"digest check failed: bytes {first} to {first + len(rows[bad])} of the member's content"])
+
+
+def test_other_digests_and_long_headers():
+    raw = records(1)[0]
+    block = raw.split(b"\r\n\r\n", 1)[1][:-4]
+    ours = b"sha256:" + hashlib.sha256(block).hexdigest().encode()
+    sha1 = hashlib.sha1(block).digest()
+    for said in (b"sha1:" + base64.b32encode(sha1), b"SHA1:" + sha1.hex().encode(), b"other:x"):
+        good = raw.replace(ours, said)
+        assert [x[2] for x in warc.salvage(io.BytesIO(good))] == [None]
+        assert [x[2] for x in warc.salvage(io.BytesIO(good.replace(b"<p>", b"<q>", 1)))] == [None if said == b"other:x" else "digest check failed"]
+    for data in (long := records(3, "u" * (3 << 20))), [gzip.compress(x) for x in long]:
+        assert [x[2] for x in warc.salvage(io.BytesIO(b"".join(data)))] == [None] * 3
+    assert [x[2] for x in warc.salvage(io.BytesIO(gzip.compress(b"")))] == ["the member is empty"]
+
+
 def test_lm_base_scores_and_probabilities(spark, odd, odd_rows, none):
     sizes = lm.Sizes(most_features=64, classes=8, singles=4, buckets=32, signals=8, head=6, rounds=2, batch=50, blocks=4)
     model, packed = lm.train(odd, sizes)
