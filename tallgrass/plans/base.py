@@ -77,11 +77,11 @@ def event_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 # parts, suppliers: a typed graph whose edges come from order lines; the type is the shipping state, the weight the discount
-EDGES = """edges AS (SELECT 'p' || (l_partkey % 200) AS src, 's' || l_suppkey AS dst, l_returnflag AS edge_type, l_discount AS weight FROM lineitem WHERE l_quantity >= 45)"""
+EDGES = """edges AS (SELECT 'p' || (l_partkey % 200) AS src, 's' || l_suppkey AS dst, l_returnflag AS edge_type, l_discount AS weight FROM lineitem)"""
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    lines = read(spark, d, "lineitem").where("l_quantity >= 45")
+    lines = read(spark, d, "lineitem")
     return lines.select(
         F.concat(F.lit("p"), F.col("l_partkey") % 200).alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), F.col("l_returnflag").alias("edge_type"), F.col("l_discount").alias("weight")
     )

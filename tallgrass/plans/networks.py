@@ -10,14 +10,14 @@ from tallgrass.operators import graph, kernels, nulls, stats
 from tallgrass.operators import scores as sc
 from tallgrass.plans.base import EDGES, MATRIX, MODULES, SPOTS, Z, edges, matrix, modules, query, read, rounded, spots
 
-_NODES = "nodes AS (SELECT DISTINCT 's' || s_suppkey AS node_id, 'supplier' AS node_type FROM supplier WHERE s_suppkey % 3 <> 0 UNION SELECT DISTINCT 'p' || (p_partkey % 200), 'part' FROM part WHERE p_partkey % 200 < 150)"
+_NODES = "nodes AS (SELECT DISTINCT 's' || s_suppkey AS node_id, 'supplier' AS node_type FROM supplier UNION SELECT DISTINCT 'p' || (p_partkey % 200), 'part' FROM part)"
 _CANON = "can AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, edge_type, weight FROM edges WHERE src <> dst)"
 _VIEWS = "assign(edge_type, view) AS (VALUES ('A', 'open'), ('N', 'open'), ('R', 'closed')), v AS (SELECT view, src, dst, max(weight) AS weight FROM can JOIN assign USING (edge_type) GROUP BY 1, 2, 3)"
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    s = read(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node_id"), F.lit("supplier").alias("node_type"))
-    p = read(spark, d, "part").where("p_partkey % 200 < 150").select(F.concat(F.lit("p"), F.col("p_partkey") % 200).alias("node_id"), F.lit("part").alias("node_type"))
+    s = read(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node_id"), F.lit("supplier").alias("node_type"))
+    p = read(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey") % 200).alias("node_id"), F.lit("part").alias("node_type"))
     return s.union(p).distinct()
 
 

@@ -110,6 +110,13 @@ def test_hex_grid_does_not_bridge_holes(spark):
     assert values(graph.hex_edges(spots), "src", "dst") == [(0, 1), (0, 2), (0, 3), (1, 3), (2, 3)]
 
 
+def test_edges_with_unknown_ends_go(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "node_id string")
+    e = spark.createDataFrame([("a", "b", 1.0), ("a", "x", 2.0), ("x", "b", 3.0), (None, "b", 4.0), ("c", None, 5.0), ("c", "c", 6.0), ("a", "b", 1.0)], "src string, dst string, weight double")
+    assert sorted(values(graph.within(e, nodes), "src", "dst", "weight")) == [("a", "b", 1.0), ("a", "b", 1.0), ("c", "c", 6.0)]
+    assert graph.within(e, nodes.where("false")).count() == 0
+
+
 def test_multi_edges(spark):
     e = spark.createDataFrame([("a", "b", "t", 0.2, 1), ("b", "a", "t", 0.1, 2), ("a", "a", "t", 9.0, 3), ("a", "b", "u", 0.5, 4)], "src string, dst string, edge_type string, weight double, at int")
     assert values(graph.reduce_max(e), "src", "dst", "weight") == [("a", "b", 0.5)]
