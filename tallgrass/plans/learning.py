@@ -113,7 +113,7 @@ def normalise_log1p(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ce.log_normalise(event_counts(spark, d)), ["value"]).select("cell", "feature", "value")
 
 
-@query(f"WITH {MATRIX}, n AS (SELECT 100.0::DOUBLE AS c), mo AS (SELECT feature, sum(value) / c AS mean, sum(value * value) / c - (sum(value) / c) * (sum(value) / c) AS var FROM m CROSS JOIN n GROUP BY feature, c) SELECT feature, round(mean, 4) AS mean, round(var, 2) AS var FROM mo ORDER BY round(var, 2) DESC, feature LIMIT 10")
+@query(f"WITH {MATRIX}, n AS (SELECT count(DISTINCT sample)::DOUBLE AS c FROM m), mo AS (SELECT feature, sum(value) / c AS mean, sum(value * value) / c - (sum(value) / c) * (sum(value) / c) AS var FROM m CROSS JOIN n GROUP BY feature, c) SELECT feature, round(mean, 4) AS mean, round(var, 2) AS var FROM mo ORDER BY round(var, 2) DESC, feature LIMIT 10")
 def hvg_variance(spark: SparkSession, d: str) -> DataFrame:
     """A top-k report: the ten most variable features, absent entries as zeros."""
     moments = ce.sparse_moments(matrix(spark, d), cell="sample").select("feature", F.round("mean", 4).alias("mean"), F.round("var", 2).alias("var"))
@@ -121,7 +121,7 @@ def hvg_variance(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {MATRIX}, mo AS (SELECT feature, round(sum(value) / 100.0::DOUBLE, 4) AS mean, round(sum(value * value) / 100.0::DOUBLE - (sum(value) / 100.0::DOUBLE) * (sum(value) / 100.0::DOUBLE), 2) AS var FROM m GROUP BY 1),
+    f"""WITH {MATRIX}, n AS (SELECT count(DISTINCT sample)::DOUBLE AS c FROM m), mo AS (SELECT feature, round(sum(value) / c, 4) AS mean, round(sum(value * value) / c - (sum(value) / c) * (sum(value) / c), 2) AS var FROM m CROSS JOIN n GROUP BY feature, c),
     b AS (SELECT *, var / mean AS dispersion, ntile(5) OVER (ORDER BY mean, feature) AS bin FROM mo WHERE mean > 0) SELECT feature, bin, round(dispersion, 4) AS dispersion, round(coalesce((dispersion - avg(dispersion) OVER w) / nullif(stddev_samp(dispersion) OVER w, 0), 0), 4) AS z FROM b WINDOW w AS (PARTITION BY bin)"""
 )
 def hvg_binned_dispersion(spark: SparkSession, d: str) -> DataFrame:
