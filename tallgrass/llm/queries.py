@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm import bpe, decontaminate, license, lm, quality, sharding, simhash, suffix, tokenfile, warc
+from tallgrass.llm import bpe, decontaminate, divergence, license, lm, mixing, quality, sharding, simhash, suffix, tokenfile, warc, whitening
 from tallgrass.llm.common import table
 
 
@@ -82,6 +82,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +112,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_suffix_array": op9_suffix_array,
         "op10_sharding": op10_sharding,
+        "op11_whitening": op11_whitening,
+        "op12_mixing": op12_mixing,
+        "op13_divergence": op13_divergence,
         "pipeline": pipeline,
     }
 
@@ -134,5 +149,31 @@ v AS (SELECT source, (f + greatest(mean, 1e-6) * size) / (n + greatest(mean, 1e-
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (bad AND soft) AS kept FROM j JOIN v ON v.source IS NOT DISTINCT FROM j.source"""
 
 
+_OP12 = r"""WITH d AS (SELECT doc_id, source IS NULL AS ns, coalesce(source, '') AS s, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+a AS (SELECT ns, s, CAST(sum(size) AS BIGINT) AS z, (row_number() OVER (ORDER BY ns, s) - 1) % 3 + 1 AS w FROM d GROUP BY 1, 2),
+r AS (SELECT *, (3 * z)::DOUBLE / w::DOUBLE AS reach FROM a),
+f AS (SELECT *, row_number() OVER o AS k, (sum(z) OVER () - coalesce(sum(3 * z) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS rest,
+  (sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS open FROM r WINDOW o AS (ORDER BY reach, ns, s)),
+l AS (SELECT k AS lk, rest AS lr, open AS lo FROM f WHERE rest * w <= 3 * z * open ORDER BY k LIMIT 1),
+t AS (SELECT ns, s, z, k < lk AS filled, CASE WHEN k < lk THEN (3 * z)::DOUBLE ELSE lr * w / lo END AS target FROM f CROSS JOIN l),
+e AS (SELECT *, CASE WHEN z = 0 THEN 0 WHEN filled THEN 3 * 1073741824 ELSE CAST(floor(target / z::DOUBLE * 1073741824.0::DOUBLE) AS BIGINT) END AS e FROM t),
+g AS (SELECT doc_id, size, z, target, e, ('0x' || substr(md5('42:' || s), 1, 8))::BIGINT // 4 + e * (row_number() OVER (PARTITION BY ns, s ORDER BY size, doc_id NULLS FIRST) - 1) AS pos FROM d JOIN e USING (ns, s))
+SELECT doc_id, size, z AS source_size, target, (pos + e) // 1073741824 - pos // 1073741824 AS copies, size * ((pos + e) // 1073741824 - pos // 1073741824) AS taken FROM g"""
+
+_OP13 = r"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT i, lang, source, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+k AS (SELECT lang, term, count(*) AS ln FROM t GROUP BY 1, 2 HAVING count(DISTINCT i) >= 3),
+v AS (SELECT lang, count(*) AS v, CAST(sum(ln) AS BIGINT) AS total FROM k GROUP BY 1),
+s AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+m AS (SELECT lang, source, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY 1, 2),
+p AS (SELECT s.lang, s.source, k.term, coalesce(n, 0) AS n, 1 + 1000000000 * (coalesce(n, 0) + 1) // (coalesce(m.total, 0) + v.v) AS p, 1 + 1000000000 * (ln + 1) // (v.total + v.v) AS q
+  FROM s JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term LEFT JOIN m ON m.lang = s.lang AND m.source = s.source),
+x AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM f) WHERE part = 'pair' OR rank <= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _OP2, "op4_warc": _OP4, "op5_quality": _OP5}
+    return {"op2_decontamination": _OP2, "op4_warc": _OP4, "op5_quality": _OP5, "op12_mixing": _OP12, "op13_divergence": _OP13}
