@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions.expr import draw_key, ratio
+from tallgrass.operators.order import tiles
 
 
 def qc_metrics(counts: DataFrame, prefix: str, cell: str = "cell", feature: str = "feature") -> DataFrame:
@@ -53,7 +54,7 @@ def top_variance(moments: DataFrame, n: int, feature: str = "feature") -> DataFr
 
 def binned_dispersion(moments: DataFrame, n_bins: int, feature: str = "feature") -> DataFrame:
     """With dispersion = var / mean, its bin by mean rank, and its z-score in the bin."""
-    rows = moments.where("mean > 0").withColumn("dispersion", F.col("var") / F.col("mean")).withColumn("bin", F.ntile(n_bins).over(Window.orderBy("mean", feature)).cast("long"))
+    rows = tiles(moments.where("mean > 0").withColumn("dispersion", F.col("var") / F.col("mean")), [F.asc("mean"), F.asc(feature)], n_bins, "bin").withColumn("bin", F.col("bin").cast("long"))
     of = Window.partitionBy("bin")
     sd = F.stddev_samp("dispersion").over(of)
     return rows.withColumn("z", F.coalesce((F.col("dispersion") - F.avg("dispersion").over(of)) / F.when(sd > 0, sd), F.lit(0.0)))
@@ -70,7 +71,7 @@ def marker_scores(counts: DataFrame, markers: DataFrame, cells: DataFrame, cell:
 
 def matched_control_score(counts_mean: DataFrame, z: DataFrame, module: DataFrame, n_bins: int, n_controls: int, seed: int, cell: str = "cell", feature: str = "feature") -> DataFrame:
     """(cell, score): mean of the module's features less the mean of control features drawn from the same bins of mean expression."""
-    bins = counts_mean.withColumn("_bin", F.ntile(n_bins).over(Window.orderBy("mean", feature)))
+    bins = tiles(counts_mean, [F.asc("mean"), F.asc(feature)], n_bins, "_bin")
     own = bins.join(F.broadcast(module.select(feature)), feature, "left_semi")
     pool = bins.join(F.broadcast(module.select(feature)), feature, "left_anti").join(F.broadcast(own.select("_bin").distinct()), "_bin")
     order = Window.partitionBy("_bin").orderBy(draw_key(seed, feature), feature)

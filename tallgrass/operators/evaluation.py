@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallgrass.functions.expr import draw_key, ratio
+from tallgrass.operators.order import running
 
 
 def confusion(rows: DataFrame, groups: list[str], y: str, score: str, at: float = 0.5) -> DataFrame:
@@ -30,8 +31,8 @@ def confusion(rows: DataFrame, groups: list[str], y: str, score: str, at: float
 def by_score(rows: DataFrame, groups: list[str], y: str, score: str) -> DataFrame:
     """(groups, score, pos, neg, cp, cn): distinct scores with counts and running counts from the highest down. What both curves need, a row for each tie."""
     ties = rows.groupBy(*groups, F.col(score).alias("score")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
-    down = Window.partitionBy(*groups).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ties.withColumns({"cp": F.sum("pos").over(down), "cn": F.sum("neg").over(down)})
+    placed = running(ties, [F.desc("score")], groups, None, {"_p": "pos", "_q": "neg"})
+    return placed.select(*groups, "score", "pos", "neg", (F.col("_p") + F.col("pos")).alias("cp"), (F.col("_q") + F.col("neg")).alias("cn"))
 
 
 def auroc(rows: DataFrame, groups: list[str], y: str, score: str) -> DataFrame:
@@ -50,8 +51,8 @@ def auprc(rows: DataFrame, groups: list[str], y: str, score: str) -> DataFrame:
 
 def stratified_folds(rows: DataFrame, key: str, label: str, n: int, seed: int) -> DataFrame:
     """With fold 0 ... n - 1, dealt in turn within each label in a hashed order."""
-    order = Window.partitionBy(label).orderBy(draw_key(seed, key), key)
-    return rows.withColumn("fold", (F.row_number().over(order) - 1) % n)
+    keyed = rows.withColumn("_draw", draw_key(seed, key))
+    return running(keyed, [F.asc("_draw"), F.asc(key)], [label], "_at").withColumn("fold", (F.col("_at") - 1) % n).drop("_draw", "_at")
 
 
 def ensemble(rows: DataFrame, keys: list[str], value: str = "probability") -> DataFrame:

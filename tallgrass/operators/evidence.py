@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions.expr import ratio
+from tallgrass.operators.order import running
 
 
 def star_join(base: DataFrame, tables: list[DataFrame], key: str) -> DataFrame:
@@ -30,8 +31,8 @@ def weighted(columns: dict[str, float]) -> Column:
 
 
 def ranked(rows: DataFrame, by: list[Column], out: str = "rank", groups: list[str] | None = None) -> DataFrame:
-    """Positions 1, 2, ...; ``by`` ends with a key, so that ties have an order. Over all rows the ranking is one sorted window."""
-    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*(groups or [])).orderBy(*by)).cast("long"))
+    """Positions 1, 2, ...; ``by`` ends with a key, so that ties have an order. No task sees more than its part of a group."""
+    return running(rows, by, groups, out)
 
 
 def outer_merge(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

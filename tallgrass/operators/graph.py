@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallgrass.functions.expr import corr, ratio
+from tallgrass.functions.expr import ratio
+from tallgrass.operators import blocks
 
 
 def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -97,7 +98,7 @@ def jaccard_join(sets: DataFrame, least: float, term: str = "term", item: str =
     """(src, dst, shared, jaccard) of pairs of sets with at least ``least`` (> 0): by an inverted index with prefixes.
 
     Two sets that are similar enough share an item among the first n - ceil(least * n) + 1 of either in an order by rarity, so only those items are joined;
-    frequent items, which would pair almost everything, are hardly ever in a prefix. Sizes bound the pairs before the exact count."""
+    frequent items, which would pair almost everything, are in a prefix only if ``least`` is low. Sizes bound the pairs before the exact count."""
     members = sets.select(term, item).distinct()
     often = members.groupBy(item).agg(F.count("*").alias("_often"))
     spec = Window.partitionBy(term)
@@ -143,10 +144,17 @@ def edge_product_mean(edges: DataFrame, scores: DataFrame, a: str, b: str, node:
 
 
 def corr_edges(long: DataFrame, least: float, sample: str = "sample", feature: str = "feature") -> DataFrame:
-    """(src, dst, r) of feature pairs with |r| over ``least``. Joined by sample: for feature panels, not whole genomes."""
-    a = long.select(sample, F.col(feature).alias("src"), F.col("value").alias("_x"))
-    b = long.select(sample, F.col(feature).alias("dst"), F.col("value").alias("_y"))
-    return a.join(b, sample).where("src < dst").groupBy("src", "dst").agg(corr("_x", "_y").alias("r")).where(F.abs("r") > least)
+    """(src, dst, r) of feature pairs with |r| over ``least``, from products of blocks."""
+    return blocks.pairs(long, least, sample, feature).select("src", "dst", "r")
+
+
+def jaccard_counts(sets: DataFrame, least: float, term: str = "term", item: str = "item") -> DataFrame:
+    """What ``jaccard_join`` gives, for a low ``least`` or sets that share most items: there prefixes are almost the sets, and all pairs are counted from products of blocks instead."""
+    members = sets.select(term, item).distinct()
+    size = members.groupBy(term).agg(F.count("*").alias("n"))
+    both = blocks.pairs(members.withColumn("value", F.lit(1.0)), None, item, term).where("src <> dst").select("src", "dst", F.col("n").alias("shared"))
+    sized = both.join(size.withColumnsRenamed({term: "src", "n": "n1"}), "src").join(size.withColumnsRenamed({term: "dst", "n": "n2"}), "dst")
+    return sized.select("src", "dst", "shared", ratio("shared", F.col("n1") + F.col("n2") - F.col("shared")).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallgrass.functions.expr import ratio
+from tallgrass.operators.order import quantiles
 
 
 def fit_thresholds(scores: DataFrame, columns: list[str], at: float = 0.5) -> DataFrame:
     """One row: t_<column>, the exact quantile."""
-    return scores.agg(*[F.percentile(c, F.lit(at)).alias(f"t_{c}") for c in columns])
+    found = quantiles(scores, {c: [at] for c in columns})
+    return scores.sparkSession.createDataFrame([tuple(found[c][0] for c in columns)], ", ".join(f"`t_{c}` double" for c in columns))
 
 
 def immune_states(scores: DataFrame, thresholds: DataFrame, infiltration: str, cytotoxic: str, dysfunction: str, exclusion: str, out: str = "state") -> DataFrame:
@@ -44,21 +46,21 @@ def best_ratio(rows: DataFrame, thresholds: DataFrame, markers: list[str], defau
 
 def above_quantile(rows: DataFrame, column: str, at: float, out: str, or_else: Column | None = None) -> DataFrame:
     """A flag: ``column`` over its quantile, or another condition."""
-    t = rows.agg(F.percentile(column, F.lit(at)).alias("_t"))
-    over = F.col(column) > F.col("_t")
-    return rows.join(F.broadcast(t)).withColumn(out, over if or_else is None else or_else | over).drop("_t")
+    over = F.col(column) > F.lit(quantiles(rows, {column: [at]})[column][0])
+    return rows.withColumn(out, over if or_else is None else or_else | over)
 
 
 def quantile_band(rows: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    t = rows.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("_t"))
-    return rows.join(F.broadcast(t)).where((F.col(column) >= F.col("_t")[0]) & (F.col(column) <= F.col("_t")[1])).drop("_t")
+    a, b = quantiles(rows, {column: [low, high]})[column]
+    return rows.where((F.col(column) >= F.lit(a)) & (F.col(column) <= F.lit(b)))
 
 
 def mad_filter(rows: DataFrame, column: str, n_mads: float = 5.0) -> DataFrame:
     """Strictly inside median +- n_mads times the median absolute deviation: two passes."""
-    middle = rows.agg(F.median(column).alias("_m"))
-    spread = rows.join(F.broadcast(middle)).agg(F.first("_m").alias("_m"), F.median(F.abs(F.col(column) - F.col("_m"))).alias("_d"))
-    return rows.join(F.broadcast(spread)).where(F.abs(F.col(column) - F.col("_m")) < n_mads * F.col("_d")).drop("_m", "_d")
+    middle = quantiles(rows, {column: [0.5]})[column][0]
+    away = F.abs(F.col(column) - F.lit(middle))
+    spread = quantiles(rows.select(away.alias("away")), {"away": [0.5]})["away"][0]
+    return rows.where(away < F.lit(n_mads) * F.lit(spread))
 
 
 def barcode_condition(barcode: Column | str, mark: str = "-", field: int = 4) -> Column:

@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallgrass.functions.expr import draw_key, draw_number, partial_corr, ratio
+from tallgrass.functions.expr import draw_key, partial_corr, ratio
+from tallgrass.functions.store import stored
+from tallgrass.operators import blocks
+from tallgrass.operators.order import running
 
 
 def draws(universe: DataFrame, n: int, seed: int, sizes: dict[str, int], feature: str = "feature") -> DataFrame:
@@ -23,10 +26,10 @@ def draws(universe: DataFrame, n: int, seed: int, sizes: dict[str, int], feature
 
 
 def correlations(z: DataFrame, sample: str = "sample", feature: str = "feature") -> DataFrame:
-    """(f, g, c): the mean product of z-scores for all ordered feature pairs of a panel; for complete standardised columns this is their correlation."""
-    a = z.select(sample, F.col(feature).alias("f"), F.col("z").alias("_x"))
-    b = z.select(sample, F.col(feature).alias("g"), F.col("z").alias("_y"))
-    return a.join(b, sample).groupBy("f", "g").agg(F.avg(F.col("_x") * F.col("_y")).alias("c"))
+    """(f, g, c): the mean product of z-scores for all ordered feature pairs of a panel, from products of blocks; for complete standardised columns this is their correlation."""
+    table = stored(blocks.pairs(z, None, sample, feature, "z").select("src", "dst", "product"), "feature-correlations")
+    both = table.select(F.col("src").alias("f"), F.col("dst").alias("g"), F.col("product").alias("c"))
+    return both.union(table.where("src <> dst").select("dst", "src", "product"))
 
 
 def module_corr(members: DataFrame, matrix: DataFrame, keys: list[str], pairs: list[tuple[str, str]], feature: str = "feature") -> DataFrame:
@@ -34,7 +37,7 @@ def module_corr(members: DataFrame, matrix: DataFrame, keys: list[str], pairs: l
     a = members.select(*keys, F.col("module").alias("_a"), F.col(feature).alias("f"))
     b = members.select(*keys, F.col("module").alias("_b"), F.col(feature).alias("g"))
     joined = a.join(b, keys) if keys else a.crossJoin(b)
-    sums = joined.join(F.broadcast(matrix), ["f", "g"]).groupBy(*keys)
+    sums = joined.join(matrix, ["f", "g"]).groupBy(*keys)
 
     def total(x: str, y: str) -> Column:
         return F.sum(F.when((F.col("_a") == x) & (F.col("_b") == y), F.col("c")).otherwise(0.0))
@@ -66,24 +69,67 @@ def matched(null: DataFrame, observed: DataFrame, loading: str, tolerance: float
 
 
 def permuted(values: DataFrame, n: int, seed: int, node: str, columns: list[str]) -> DataFrame:
-    """(perm, node, columns): the values dealt anew over the nodes, ``n`` times. A window for each permutation."""
-    perms = values.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("perm"))
-    own = perms.select("perm", F.col(node).alias("_node"), F.row_number().over(Window.partitionBy("perm").orderBy(node)).alias("_at"))
-    dealt = perms.select("perm", *columns, F.row_number().over(Window.partitionBy("perm").orderBy(draw_key(seed, "perm", node), node)).alias("_at"))
-    return own.join(dealt, ["perm", "_at"]).select("perm", F.col("_node").alias(node), *columns)
-
-
-def resampled(rows: DataFrame, n: int, seed: int, key: str, strata: str | None) -> DataFrame:
-    """(boot, rows...): rows drawn with replacement within their stratum, as many as it has. Draw k of replicate b takes the row whose number is md5(seed:b:k) modulo the size."""
-    within = Window.partitionBy(*([strata] if strata else []))
-    numbered = rows.withColumns({"_at": F.row_number().over(within.orderBy(key)) - 1, "_n": F.count("*").over(within)})
-    keys = [strata] if strata else []
-    picks = numbered.select(*keys, "_at", "_n", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("boot"))
-    chosen = picks.select(*keys, "boot", F.pmod(draw_number(draw_key(seed, "boot", *keys, "_at")), F.col("_n")).cast("int").alias("_at"))
-    return chosen.join(numbered.drop("_n"), [*keys, "_at"]).drop("_at")
-
-
-def percentile_interval(rows: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
-    """(groups, n, mean, low, high): the percentile interval of a bootstrap."""
-    ends = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
-    return rows.groupBy(*(groups or [])).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), ends[0].alias("low"), ends[1].alias("high"))
+    """(perm, node, columns): the values dealt anew over the nodes, ``n`` times: the k-th node by name gets those of the k-th in the order of md5(seed:perm:node)."""
+    named = stored(running(values.select(node, *columns), [F.asc(node)], None, "_at"), "permuted-values")
+    perms = named.select(F.col(node).alias("_node"), *columns, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("perm")).withColumn("_key", draw_key(seed, "perm", "_node"))
+    dealt = running(perms, [F.asc("_key"), F.asc("_node")], ["perm"], "_at").select("perm", "_at", *columns)
+    return dealt.join(named.select(node, "_at"), "_at").select("perm", node, *columns)
+
+
+def permuted_adjacency(edges: DataFrame, values: DataFrame, n: int, seed: int, a: str, b: str, node: str) -> DataFrame:
+    """(perm, adjacency): the mean over edges of (a b' + a' b) / 2, with a dealt anew over the nodes; permutation 0 is the observed one.
+
+    The sum over edges is half the sum over nodes of a times what the neighbours have of b, so the edges are read once and a permutation is a product by node."""
+    ends = edges.select("src", "dst").union(edges.select("dst", "src"))
+    near = ends.join(values.select(F.col(node).alias("dst"), F.col(b).alias("_b")), "dst").groupBy(F.col("src").alias(node)).agg(F.sum("_b").alias("_near"))
+    size = edges.agg(F.count("*").cast("double").alias("_edges"))
+    own = values.select(node, F.col(a).alias("_a"))
+    every = permuted(own, n, seed, node, ["_a"]).union(own.select(F.lit(0).alias("perm"), node, "_a"))
+    sums = every.join(near, node).groupBy("perm").agg(F.sum(F.col("_a") * F.col("_near")).alias("_s"))
+    return sums.join(F.broadcast(size)).select("perm", (F.col("_s") / (2 * F.col("_edges"))).alias("adjacency"))
+
+
+def partial_many(x: str, y: str, controls: list[str]) -> Column:
+    """The correlation of x and y without the controls, from columns r_<a>_<b>, by taking out one control after the other."""
+
+    def r(a: str, b: str, taken: tuple[str, ...]) -> Column:
+        if not taken:
+            return F.col(f"r_{min(a, b)}_{max(a, b)}")
+        last, rest = taken[-1], taken[:-1]
+        return partial_corr(r(a, b, rest), r(a, last, rest), r(b, last, rest))
+
+    return r(x, y, tuple(controls))
+
+
+def grid(null: DataFrame, observed: DataFrame, controls: dict[str, list[str]], bands: dict[str, float | None], most: int, x: str = "a", y: str = "b", loading: str = "c") -> DataFrame:
+    """(control, band, observed, null_mean, p95, n, p, specific): each set of controls against each band of loadings.
+
+    ``null`` (draw, r_..) has all correlations of the draws, ``observed`` those of the modules. A draw is in a band if both modules' loadings (absolute) are within +- its tolerance of the observed ones; the
+    first ``most`` of a cell by number count. All cells are filled from the draws in one pass."""
+    names = [(k, b, t) for k in controls for b, t in bands.items()]
+    cells = null.sparkSession.createDataFrame(names, "control string, band string, tolerance double")
+    loads = {s: F.col(f"r_{min(s, loading)}_{max(s, loading)}") for s in (x, y)}
+
+    def partial() -> Column:
+        out = F.lit(None).cast("double")
+        for k, c in controls.items():
+            out = F.when(F.col("control") == k, partial_many(x, y, c)).otherwise(out)
+        return out
+
+    seen = observed.join(cells).select("control", "band", "tolerance", *[F.abs(c).alias(f"_o{s}") for s, c in loads.items()], partial().alias("observed"))
+    inside = F.lit(True)
+    for s, c in loads.items():
+        inside = inside & (F.abs(F.abs(c) - F.col(f"_o{s}")) <= F.col("tolerance") * F.col(f"_o{s}"))
+    met = null.join(F.broadcast(seen)).where(F.col("tolerance").isNull() | inside)  # a stated number of cells
+    cells = met.select("draw", "control", "band", "observed", partial().alias("r")).where(F.col("r").isNotNull())
+    first = Window.partitionBy("control", "band").orderBy("draw")  # of as many rows as draws
+    kept = cells.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= most)
+    over = F.count_if(F.col("r") >= F.col("observed"))
+    found = kept.groupBy("control", "band", "observed").agg(F.avg("r").alias("null_mean"), F.percentile("r", F.lit(0.95)).alias("p95"), F.count("*").alias("n"), ratio(over + 1, F.count("*") + 1).alias("p"))
+    return found.withColumn("specific", (F.col("p") < 0.05) & (F.col("observed") > F.col("null_mean")))
+
+
+def drawn_means(values: DataFrame, n: int, size: int, seed: int, value: str, feature: str = "feature") -> DataFrame:
+    """(draw, mean, mean_abs) of a value over ``size`` features drawn from all of ``values``: what a module of random features would have."""
+    picked = draws(values, n, seed, {"drawn": size}, feature)
+    return picked.join(values.select(feature, value), feature).groupBy("draw").agg(F.avg(value).alias("mean"), F.avg(F.abs(value)).alias("mean_abs"))

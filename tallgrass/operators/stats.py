@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallgrass.functions.expr import corr, corr_t, fisher_ci, partial_corr, ratio
+from tallgrass.operators.order import average_ranks, quantiles, running, smallest_from_here
 
 
 def corr_by_group(rows: DataFrame, groups: list[str], x: str, y: str, least: int = 5) -> DataFrame:
@@ -55,17 +56,10 @@ def explained(rows: DataFrame, y: str, residual: str) -> Column:
     return 1 - ratio(F.var_pop(residual), F.var_pop(y))
 
 
-def average_rank(partition: list[str], x: str) -> Column:
-    """Ranks from 1, ties at their mean."""
-    order = Window.partitionBy(*partition).orderBy(x)
-    ties = Window.partitionBy(*partition, x)
-    return F.rank().over(order) + (F.count("*").over(ties) - 1) / F.lit(2.0)
-
-
 def spearman(rows: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:
     """(groups, n, rho) by average ranks."""
-    ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_rx": average_rank(groups, x), "_ry": average_rank(groups, y)})
-    return ranked.groupBy(*groups).agg(F.count("*").alias("n"), corr("_rx", "_ry").alias("rho"))
+    ranked = average_ranks(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()), [x, y], groups)
+    return ranked.groupBy(*groups).agg(F.count("*").alias("n"), corr(f"_rank_{x}", f"_rank_{y}").alias("rho"))
 
 
 def two_arms(rows: DataFrame, groups: list[str], x: str, arm: Column) -> DataFrame:
@@ -123,21 +117,20 @@ def leave_one_out(effects: DataFrame, group: str, effect: str = "effect", se: st
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, ties: str, groups: list[str] | None = None, out: str = "q") -> DataFrame:
-    """Adjusted p-values: p * n / rank, the smallest from the largest rank down, at most 1. A window over each group of tests."""
-    of = Window.partitionBy(*(groups or []))
-    up = of.orderBy(p, ties)
-    ranked = rows.withColumns({"_rank": F.row_number().over(up), "_n": F.count(p).over(of)})
+    """Adjusted p-values: p * n / rank, the smallest from the largest rank down, at most 1. A null p-value is no test and has a null one."""
+    order = [F.asc(p), F.asc(ties)]
+    ranked = running(rows.where(F.col(p).isNotNull()), order, groups, "_rank", totals={"_n": "1"})
     step = F.col(p) * F.col("_n").cast("double") / F.col("_rank").cast("double")
-    down = of.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn("_step", step).withColumn(out, F.least(F.lit(1.0), F.min("_step").over(down))).drop("_rank", "_n", "_step")
+    found = smallest_from_here(ranked.withColumn("_step", step), "_step", order, groups, "_least")
+    done = found.withColumn(out, F.least(F.lit(1.0), F.col("_least"))).drop("_rank", "_n", "_step", "_least")
+    return done.unionByName(rows.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def binned_corr(rows: DataFrame, by: str, x: str, y: str, n_bins: int = 5, least: int = 30) -> DataFrame:
     """(bin, n, r): bins between quantiles of ``by``, closed on the right, equal edges joined."""
-    inner = [k / n_bins for k in range(n_bins + 1)]
-    edges = rows.agg(F.array_distinct(F.percentile(by, F.array(*map(F.lit, inner)))).alias("_e"))
-    below = F.filter(F.slice("_e", 2, F.size("_e")), lambda e: e < F.col(by))
-    return rows.join(F.broadcast(edges)).withColumn("bin", F.size(below)).groupBy("bin").agg(F.count("*").alias("n"), corr(x, y).alias("r")).where(F.col("n") >= least)
+    edges = sorted({e for e in quantiles(rows, {by: [k / n_bins for k in range(n_bins + 1)]})[by] if e is not None})
+    below = F.filter(F.array(*[F.lit(e) for e in edges[1:]]).cast("array<double>"), lambda e: e < F.col(by))
+    return rows.where(F.col(by).isNotNull()).withColumn("bin", F.size(below)).groupBy("bin").agg(F.count("*").alias("n"), corr(x, y).alias("r")).where(F.col("n") >= least)
 
 
 def paired_t(pairs: DataFrame, groups: list[str], a: str, b: str) -> DataFrame:
@@ -151,8 +144,8 @@ def paired_t(pairs: DataFrame, groups: list[str], a: str, b: str) -> DataFrame:
 def signed_rank(pairs: DataFrame, groups: list[str], a: str, b: str) -> DataFrame:
     """(groups, n, w): Wilcoxon's sum of the ranks of positive differences; zero differences are left out, ties share their mean rank."""
     d = pairs.withColumn("_d", F.col(a) - F.col(b)).where("_d <> 0").withColumn("_a", F.abs("_d"))
-    ranked = d.withColumn("_r", average_rank(groups, "_a"))
-    return ranked.groupBy(*groups).agg(F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w"))
+    ranked = average_ranks(d, ["_a"], groups)
+    return ranked.groupBy(*groups).agg(F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_rank__a")).otherwise(0.0)).alias("w"))
 
 
 def log_fold_change(rows: DataFrame, groups: list[str], x: str, a: Column, b: Column) -> DataFrame:

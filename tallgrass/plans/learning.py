@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tallgrass.functions.expr import ratio
 from tallgrass.operators import cells as ce
 from tallgrass.operators import evaluation as ev
-from tallgrass.operators import graph, labels, models, nulls
+from tallgrass.functions.store import stored
+from tallgrass.operators import bootstrap, graph, labels, models
 from tallgrass.operators import scores as sc
 from tallgrass.plans.base import EVENTS, LABELLED, MATRIX, MODULES, cells, event_counts, labelled, matrix, modules, query, read, rounded
 from tallgrass.streaming import frozen
@@ -49,31 +50,57 @@ def label_checks(spark: SparkSession, d: str) -> DataFrame:
     return ev.label_problems(labelled(spark, d), "doc_id", "y")
 
 
-_BOOT = """nu AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY y) AS c FROM lab),
- pi AS (SELECT y, boot, ('0x' || substr(md5('11:' || boot || ':' || y || ':' || k), 1, 8))::BIGINT % c AS k FROM nu CROSS JOIN range(1, 21) t(boot)), bo AS (SELECT boot, nu.y, s1, s2 FROM pi JOIN nu ON nu.y = pi.y AND nu.k = pi.k)"""
+def _booted(n: int, seed: int) -> str:
+    """Rows of lab for each replicate with their weight w; replicate 0 is the table itself."""
+    p = bootstrap.PRIME
+    number = "('0x' || substr(md5('{0}'), 1, 8))::BIGINT"
+    steps = " + ".join(f"CASE WHEN u >= {s} THEN 1 ELSE 0 END" for s in bootstrap.STEPS)
+    a, c = number.format(f"{seed}:a:' || boot || '"), number.format(f"{seed}:c:' || boot || '")
+    return f"""bt AS (SELECT boot, CASE WHEN boot = 0 THEN 0 ELSE 1 + {a} % {p - 1} END AS ka, CASE WHEN boot = 0 THEN 0 ELSE {c} % {p} END AS kc FROM range(0, {n + 1}) t(boot)),
+  bo AS (SELECT boot, doc_id, y, s1, s2, CASE WHEN boot = 0 THEN 1 ELSE {steps} END AS w FROM (SELECT *, (ka * ({number.format(f"{seed}:' || doc_id || '")} % {p}) + kc) % {p} AS u FROM lab CROSS JOIN bt))"""
+
+
+_DIFFERENCE = """round(o.d, 6) AS observed, count(*) AS n, round(avg(b.d), 6) AS mean, round(stddev_pop(b.d), 6) AS sd, round(quantile_cont(b.d, 0.025), 6) AS low, round(quantile_cont(b.d, 0.975), 6) AS high,
+  round(count(*) FILTER (abs(b.d - o.d) >= abs(o.d))::DOUBLE / count(*)::DOUBLE, 6) AS p_two, round(count(*) FILTER (b.d <= 0)::DOUBLE / count(*)::DOUBLE, 6) AS p_one FROM de b JOIN de o ON o.boot = 0 AND b.boot > 0 GROUP BY o.d"""
 
 
 def _auc(s: str) -> str:
-    return f"(SELECT boot, sum(neg * (cp - pos + pos / 2.0::DOUBLE)) / (sum(pos) * sum(neg))::DOUBLE AS v FROM (SELECT *, sum(pos) OVER (PARTITION BY boot ORDER BY {s} DESC) AS cp FROM (SELECT boot, {s}, count(*) FILTER (y = 1) pos, count(*) FILTER (y <> 1) neg FROM bo GROUP BY 1, 2)) GROUP BY 1)"
+    return f"(SELECT boot, sum(neg * (cp - pos + pos / 2.0::DOUBLE)) / (sum(pos) * sum(neg))::DOUBLE AS v FROM (SELECT *, sum(pos) OVER (PARTITION BY boot ORDER BY {s} DESC) AS cp FROM (SELECT boot, {s}, coalesce(sum(w) FILTER (y = 1), 0) pos, coalesce(sum(w) FILTER (y <> 1), 0) neg FROM bo WHERE w > 0 GROUP BY 1, 2)) GROUP BY 1)"
+
 
+_STATED = ["observed", "mean", "sd", "low", "high", "p_two", "p_one"]
 
-@query(f"WITH {LABELLED}, {_BOOT}, de AS (SELECT boot, (a.v - b.v)::DOUBLE AS delta FROM {_auc('s1')} a JOIN {_auc('s2')} b USING (boot)) SELECT count(*) AS n, round(avg(delta), 6) AS mean, round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high FROM de")
+
+@query(f"WITH {LABELLED}, {_booted(2000, 11)}, de AS (SELECT boot, (a.v - b.v)::DOUBLE AS d FROM {_auc('s1')} a JOIN {_auc('s2')} b USING (boot)) SELECT {_DIFFERENCE}")
 def bootstrap_auroc_delta(spark: SparkSession, d: str) -> DataFrame:
-    """Two scores on the same resampled rows, drawn within classes."""
-    boot = nulls.resampled(labelled(spark, d), 20, 11, "doc_id", "y")
-    a, b = (ev.auroc(boot, ["boot"], "y", s).withColumnRenamed("auroc", s) for s in ("s1", "s2"))
-    delta = a.join(b, "boot").withColumn("delta", F.col("s1") - F.col("s2"))
-    return rounded(nulls.percentile_interval(delta, "delta"), ["mean", "low", "high"])
+    """Two scores on the same resampled rows, 2,000 times. AUROC does not depend on the sizes of the classes."""
+    rows = stored(labelled(spark, d), "labelled")
+    both = bootstrap.auroc(rows, "y", "s1", "doc_id", 2000, 11, "a").join(bootstrap.auroc(rows, "y", "s2", "doc_id", 2000, 11, "b"), "boot")
+    return rounded(bootstrap.difference(both, "a", "b"), _STATED)
 
 
-_BOOT_ALL = """nu AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS c FROM lab), pi AS (SELECT boot, ('0x' || substr(md5('13:' || boot || ':' || k), 1, 8))::BIGINT % c AS k FROM nu CROSS JOIN range(1, 21) t(boot)),
- bo AS (SELECT boot, y, s1 AS s FROM pi JOIN nu USING (k))"""
+def _cell(name: str, s: str, y: str, up: str) -> str:
+    return f"coalesce(sum(w) FILTER (y {y} AND {s} {up} 0.5), 0)::DOUBLE AS {name}"
 
 
-@query(f"WITH {LABELLED}, {_BOOT_ALL}, {_CONFUSION.format(g='boot, ', t='bo', k='GROUP BY boot')}, mc AS (SELECT {_MCC} AS v FROM cf) SELECT count(*) AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM mc")
+@query(
+    f"""WITH {LABELLED}, {_booted(1000, 13)}, cf AS (SELECT boot, {", ".join(_cell(f"{k}{s}", s, y, up) for s in ("s1", "s2") for k, y, up in (("tp", "= 1", ">="), ("fp", "<> 1", ">="), ("tn", "<> 1", "<"), ("fn", "= 1", "<")))} FROM bo GROUP BY 1),
+    de AS (SELECT boot, {" - ".join(f"coalesce((tp{s} * tn{s} - fp{s} * fn{s}) / nullif(sqrt((tp{s} + fp{s}) * (tp{s} + fn{s}) * (tn{s} + fp{s}) * (tn{s} + fn{s})), 0), 0)" for s in ("s1", "s2"))} AS d FROM cf) SELECT {_DIFFERENCE}"""
+)
 def bootstrap_mcc(spark: SparkSession, d: str) -> DataFrame:
-    boot = nulls.resampled(labelled(spark, d), 20, 13, "doc_id", None)
-    return rounded(nulls.percentile_interval(ev.confusion(boot, ["boot"], "y", "s1"), "mcc"), ["mean", "low", "high"])
+    """The difference of two scores' Matthews correlations, 1,000 replicates, with both p-values."""
+    values = stored(bootstrap.mcc(labelled(spark, d), "y", ["s1", "s2"], "doc_id", 1000, 13), "bootstrap-mcc")
+    return rounded(bootstrap.difference(values, "mcc_s1", "mcc_s2"), _STATED)
+
+
+@query(
+    f"""WITH {LABELLED}, {_booted(1000, 17)}, tp AS (SELECT CAST(row_number() OVER (ORDER BY s1 DESC, doc_id) AS INTEGER) AS place, doc_id AS key, s1 AS score FROM lab QUALIFY place <= 20),
+    me AS (SELECT boot, sum(w * s1)::DOUBLE / sum(w)::DOUBLE AS v FROM bo WHERE boot > 0 GROUP BY 1), po AS (SELECT place, key, score, boot, coalesce(sum(w) FILTER (s1 >= score), 0)::DOUBLE / sum(w)::DOUBLE AS v FROM bo CROSS JOIN tp WHERE boot > 0 GROUP BY 1, 2, 3, 4)
+    SELECT place, key, score, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM po GROUP BY 1, 2, 3 UNION ALL SELECT 0, NULL, NULL, round(quantile_cont(v, 0.025), 6), round(quantile_cont(v, 0.975), 6) FROM me"""
+)
+def bootstrap_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of the mean score and of the positions of the 20 best, 1,000 replicates."""
+    return rounded(bootstrap.top_positions(labelled(spark, d), "doc_id", "s1", 1000, 20, 17), ["low", "high"])
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import special
 from tallgrass.functions.expr import corr, partial_corr
-from tallgrass.operators import cells, evaluation, evidence, graph, kernels, labels, nulls, scores, stats
+from tallgrass.operators import cells, evaluation, evidence, graph, labels, nulls, scores, stats
 from tallgrass.operators import matrix as mx
 
 
@@ -168,10 +168,3 @@ def test_sparse_moments_count_absent_cells(spark):
 
 def test_mad_filter_of_equal_values_is_strict(spark):
     assert labels.mad_filter(spark.createDataFrame([(1.0,), (1.0,)], "x double"), "x").count() == 0
-
-
-def test_label_permutation_zero_is_the_observed_one(spark):
-    e = spark.createDataFrame([("v", "a", "b", 1.0), ("v", "b", "c", 1.0), ("v", "c", "d", 1.0)], "view string, src string, dst string, weight double")
-    m = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "c"), ("b", "d")], "module string, node string")
-    out = kernels.label_permutation(e, m, 60, 4).collect()
-    assert sorted(r["perm"] for r in out) == list(range(61)) and all(-1.001 <= r["coupling"] <= 1.001 for r in out)
