@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from tallgrass.llm.common import cut
 
 SCALE_STEPS, STEP = 3, 1000  # shares are in units of 1000^-3
-_PIECE = 1 << 23  # bytes that are tokenized at a time
+_PIECE = 1 << 22  # bytes that are tokenized at a time
+_COMPARED = 1 << 18  # slices that are compared at a time
 
 
 def _table() -> np.ndarray:
@@ -67,16 +68,19 @@ def grouped(low: np.ndarray, first: np.ndarray, last: np.ndarray, digest=xxhash.
     """(the number of each slice's group, one slice of each group): slices are in a group if their bytes are equal."""
     data = low.tobytes()
     hashes = np.fromiter((digest(data[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first))
-    _, head, group = np.unique(hashes, return_index=True, return_inverse=True)
+    group, found = pd.factorize(hashes)
+    head = np.zeros(len(found), np.int64)
+    head[group[::-1]] = np.arange(len(group) - 1, -1, -1)  # the first slice of each
     length = last - first
     rep = head[group]
     same = length == length[rep]
-    run = np.flatnonzero(same)
-    # every byte of each slice beside the byte of the group's first slice
-    inner = np.arange(length[run].sum()) - np.repeat(np.cumsum(length[run]) - length[run], length[run])
-    unlike = low[np.repeat(first[run], length[run]) + inner] != low[np.repeat(first[rep[run]], length[run]) + inner]
-    if unlike.any():
-        same[np.unique(np.repeat(run, length[run])[unlike])] = False
+    for at in range(0, len(first), _COMPARED):
+        run = at + np.flatnonzero(same[at : at + _COMPARED])
+        # every byte of each slice beside the byte of the group's first slice
+        inner = np.arange(length[run].sum()) - np.repeat(np.cumsum(length[run]) - length[run], length[run])
+        unlike = low[np.repeat(first[run], length[run]) + inner] != low[np.repeat(first[rep[run]], length[run]) + inner]
+        if unlike.any():
+            same[np.unique(np.repeat(run, length[run])[unlike])] = False
     if not same.all():
         own: dict[bytes, int] = {}
         heads = head.tolist()
@@ -97,9 +101,12 @@ def _counted(buffer: np.ndarray, begins: np.ndarray, kind: np.ndarray) -> Iterat
         return
     group, head = grouped(low, first, last)
     doc = np.searchsorted(begins, first, side="right") - 1
-    spots, n = np.unique(kind[doc] * len(head) + group, return_counts=True)
-    met = np.unique(doc * len(head) + group)
-    docs = np.bincount(np.searchsorted(spots, kind[met // len(head)] * len(head) + met % len(head)), minlength=len(spots))
+    spot, spots = pd.factorize(kind[doc] * len(head) + group)
+    n = np.bincount(spot, minlength=len(spots))
+    met, once = pd.factorize(doc * len(head) + group)
+    where = np.zeros(len(once), np.int64)
+    where[met] = spot  # of each term of a text
+    docs = np.bincount(where, minlength=len(spots))
     data = low.tobytes()
     words = [data[first[i] : last[i]] for i in head.tolist()]
     for spot, a, b in zip(spots.tolist(), n.tolist(), docs.tolist(), strict=True):
