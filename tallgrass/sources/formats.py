@@ -2,39 +2,31 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions.expr import first_field, last_field, to_double
+from tallgrass.sources.lines import read_lines
 
 _NO_SYMBOL = ("", "---", "NA", "nan", "NaN")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, at): a file's lines in their order. Archive headers fix what follows, so a file is read as one text; many files are read side by side."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
-
-
 def between(lines: DataFrame, begin: str, end: str) -> DataFrame:
     """The lines after the one that begins with ``begin`` and before ``end``, of each file."""
-    marks = lines.groupBy("file").agg(F.min(F.when(F.col("line").startswith(begin), F.col("at"))).alias("_b"), F.min(F.when(F.col("line").startswith(end), F.col("at"))).alias("_e"))
-    return lines.join(marks, "file").where((F.col("at") > F.col("_b")) & (F.col("at") < F.col("_e"))).drop("_b", "_e")
+    marks = lines.groupBy("path").agg(F.min(F.when(F.col("line").startswith(begin), F.col("at"))).alias("_b"), F.min(F.when(F.col("line").startswith(end), F.col("at"))).alias("_e"))
+    return lines.join(marks, "path").where((F.col("at") > F.col("_b")) & (F.col("at") < F.col("_e"))).drop("_b", "_e")
 
 
 def read_series_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(sample, probe, value) of series-matrix files: the table between its markers, quotes stripped, numbers coerced; probes without any number are left out."""
-    rows = between(numbered_lines(spark, path), "!series_matrix_table_begin", "!series_matrix_table_end")
+    rows = between(read_lines(spark, path), "!series_matrix_table_begin", "!series_matrix_table_end")
     cells = rows.withColumn("cells", F.transform(F.split("line", "\t"), lambda x: F.trim(F.translate(x, '"', ""))))
-    first = cells.groupBy("file").agg(F.min_by("cells", "at").alias("names"), F.min("at").alias("_first"))
-    body = cells.join(first, "file").where(F.col("at") > F.col("_first"))
+    first = cells.groupBy("path").agg(F.min_by("cells", "at").alias("names"), F.min("at").alias("_first"))
+    body = cells.join(first, "path").where(F.col("at") > F.col("_first"))
     pairs = F.posexplode(F.slice(F.col("cells"), 2, F.size("cells")))
-    long = body.select("file", F.col("cells")[0].alias("probe"), "names", pairs.alias("_i", "_v"))
-    values = long.select("file", F.get("names", F.col("_i") + 1).alias("sample"), "probe", to_double("_v").alias("value"))
-    any_value = F.count("value").over(Window.partitionBy("file", "probe"))
+    long = body.select("path", F.col("cells")[0].alias("probe"), "names", pairs.alias("_i", "_v"))
+    values = long.select("path", F.get("names", F.col("_i") + 1).alias("sample"), "probe", to_double("_v").alias("value"))
+    any_value = F.count("value").over(Window.partitionBy("path", "probe"))
     return values.withColumn("_n", any_value).where("_n > 0").select("sample", "probe", "value")
 
 
@@ -47,11 +39,11 @@ def clean_mapping(pairs: DataFrame) -> DataFrame:
 def read_platform(spark: SparkSession, path: str, symbol_names: tuple[str, ...] = ("Gene Symbol", "Symbol", "ILMN_Gene", "GENE_SYMBOL")) -> DataFrame:
     """(probe, symbol) of platform annotation files; the symbol column is the first of the names that the header has, in any case and with blanks or underscores. A file with none of
     them is an error when it is read."""
-    cells = between(numbered_lines(spark, path), "!platform_table_begin", "!platform_table_end").withColumn("cells", F.split("line", "\t"))
-    heads = cells.groupBy("file").agg(F.min_by("cells", "at").alias("names"), F.min("at").alias("_first"))
+    cells = between(read_lines(spark, path), "!platform_table_begin", "!platform_table_end").withColumn("cells", F.split("line", "\t"))
+    heads = cells.groupBy("path").agg(F.min_by("cells", "at").alias("names"), F.min("at").alias("_first"))
     plain = F.transform("names", lambda x: F.lower(F.translate(F.trim(x), "_", " ")))
-    place = F.coalesce(*[F.nullif(F.array_position(plain, n.lower().replace("_", " ")), F.lit(0)) for n in symbol_names], F.raise_error(F.concat(F.lit("no symbol column in "), F.col("file"))))
-    body = cells.join(heads.withColumn("_s", place), "file").where(F.col("at") > F.col("_first"))
+    place = F.coalesce(*[F.nullif(F.array_position(plain, n.lower().replace("_", " ")), F.lit(0)) for n in symbol_names], F.raise_error(F.concat(F.lit("no symbol column in "), F.col("path"))))
+    body = cells.join(heads.withColumn("_s", place), "path").where(F.col("at") > F.col("_first"))
     return clean_mapping(body.select(F.col("cells")[0].alias("probe"), F.get("cells", F.col("_s").cast("int") - 1).alias("symbol")).na.drop())
 
 
@@ -83,32 +75,10 @@ def read_ligand_receptor(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_coordinates(spark: SparkSession, matrix: str, rows: str, columns: str) -> DataFrame:
-    """(feature, cell, value) of a coordinate matrix and its two name lists (1-based places)."""
-    entries = spark.read.option("sep", " ").option("comment", "%").schema("i long, j long, value double").csv(matrix)
-    # the first line that is no comment has the shape; it is the only one whose value counts all entries
-    shape = entries.limit(1)
-    body = entries.exceptAll(shape)
-    names = [numbered_lines(spark, p).where("line <> ''").select((F.col("at") + 1).cast("long").alias(k), F.split("line", "\t").alias(n)) for p, k, n in ((rows, "i", "f"), (columns, "j", "c"))]
-    return body.join(F.broadcast(names[0]), "i").join(names[1], "j").select(F.coalesce(F.get("f", F.lit(1)), F.col("f")[0]).alias("feature"), F.col("c")[0].alias("cell"), "value")
-
-
-def read_archive_members(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> DataFrame:
-    """(path, member, content) of the named members of tar archives. An archive is one binary row, opened in the task that has it: sections, not corpora."""
-
-    def run(frames):
-        import pandas as pd
-
-        for frame in frames:
-            rows = []
-            for p, content in zip(frame["path"], frame["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    rows += [(p, m.name, tar.extractfile(m).read()) for m in tar if m.isfile() and m.name.endswith(suffixes)]
-            yield pd.DataFrame(rows, columns=["path", "member", "content"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, member string, content binary")
-
-
-def read_positions(spark: SparkSession, path: str) -> DataFrame:
-    """Spots in tissue: barcode, in_tissue, array_row, array_col, pixel_row, pixel_col (without a header)."""
-    names = "barcode string, in_tissue int, array_row int, array_col int, pixel_row double, pixel_col double"
-    return spark.read.schema(names).csv(path).where("in_tissue = 1")
+    """(feature, cell, value) of a coordinate matrix and its two name lists (1-based places). The first line that is no comment has the shape."""
+    body = read_lines(spark, matrix).where("line <> '' and not startswith(line, '%')")
+    shape = body.groupBy("path").agg(F.min("at").alias("_shape"))
+    entries = body.join(shape, "path").where(F.col("at") > F.col("_shape")).select(F.split(F.trim("line"), r"\s+").alias("e"))
+    places = entries.select(F.get("e", F.lit(0)).try_cast("long").alias("i"), F.get("e", F.lit(1)).try_cast("long").alias("j"), F.coalesce(F.get("e", F.lit(2)).try_cast("double"), F.lit(1.0)).alias("value"))
+    names = [read_lines(spark, p).where("line <> ''").select((F.col("at") + 1).alias(k), F.split("line", "\t").alias(n)) for p, k, n in ((rows, "i", "f"), (columns, "j", "c"))]
+    return places.join(names[0], "i").join(names[1], "j").select(F.coalesce(F.get("f", F.lit(1)), F.col("f")[0]).alias("feature"), F.col("c")[0].alias("cell"), "value")

@@ -16,37 +16,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.functions.store import stored
+from tallgrass.sources.lines import PIECE, dealt, files, numbered, open_file, whole_lines
 
-PIECE = 4 << 20  # bytes of lines in a row
 _STRETCH = 1 << 16  # numbers in a batch
 
 #: What the members of a section's archive end with.
 MEMBERS = {"matrix": "_matrix.mtx.gz", "barcodes": "_barcodes.tsv.gz", "features": "_features.tsv.gz", "positions": "_tissue_positions_list.csv"}
 
 
-def _open(path: str):
-    store, name = fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path[5:])
-    return store.open_input_file(name)
-
-
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length), each file in a partition of its own where there are as many."""
-    found = spark.read.format("binaryFile").load(path).select("path", "length")
-    return found.repartitionByRange(max(1, min(found.count(), 10_000)), "path")
-
-
 def archive_index(spark: SparkSession, path: str) -> DataFrame:
     """(path, member, offset, size, seekable) of the files in tar archives; only headers are read where the archive is not compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in batch.column("path").to_pylist():
-                with _open(p) as f:
+                with open_file(p) as f:
                     packed = f.read(2) == b"\x1f\x8b"
                     f.seek(0)
                     with tarfile.open(fileobj=f, mode="r|gz" if packed else "r:") as tar:
@@ -54,7 +42,7 @@ def archive_index(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["path", "member", "offset", "size", "seekable"])
 
-    return files(spark, path).select("path").mapInArrow(run, "path string, member string, offset long, size long, seekable boolean")
+    return dealt(files(spark, path).select("path"), "path").mapInArrow(run, "path string, member string, offset long, size long, seekable boolean")
 
 
 class _Stretch:
@@ -71,18 +59,6 @@ class _Stretch:
         return data
 
 
-def _line_pieces(f, name: str, size: int) -> Iterator[str]:
-    """Pieces of whole lines, without the end of the last one."""
-    stream, rest = gzip.GzipFile(fileobj=f) if name.endswith(".gz") else f, b""
-    while data := stream.read(size):
-        whole, cut, rest_new = (rest + data).rpartition(b"\n")
-        if cut:
-            yield whole.decode()
-        rest = rest_new
-    if rest:
-        yield rest.decode()
-
-
 def archive_lines(spark: SparkSession, path: str, suffixes: list[str], piece: int = PIECE) -> DataFrame:
     """(path, member, at, line) of the members that end with one of ``suffixes``; members in gzip are opened. ``at`` counts from 0."""
     wanted = archive_index(spark, path).where(F.exists(F.array(*map(F.lit, suffixes)), lambda s: F.endswith("member", s)))
@@ -93,7 +69,7 @@ def archive_lines(spark: SparkSession, path: str, suffixes: list[str], piece: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, seekable, members in zip(*(batch.column(c).to_pylist() for c in ("path", "seekable", "members")), strict=True):
-                with _open(p) as f, contextlib.ExitStack() as stack:
+                with open_file(p) as f, contextlib.ExitStack() as stack:
                     if seekable:
                         opened = ((m["member"], _Stretch(f, m["offset"], m["size"])) for m in members)
                     else:
@@ -101,15 +77,11 @@ def archive_lines(spark: SparkSession, path: str, suffixes: list[str], piece: in
                         tar = stack.enter_context(tarfile.open(fileobj=f, mode="r|gz"))
                         opened = ((m.name, tar.extractfile(m)) for m in tar if m.isfile() and m.name in names)
                     for name, stream in opened:
-                        for k, text in enumerate(_line_pieces(stream, name, piece)):
-                            yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([name]), pa.array([k]), pa.array([text])], ["path", "member", "piece", "text"])
+                        for k, text in enumerate(whole_lines(gzip.GzipFile(fileobj=stream) if name.endswith(".gz") else stream, piece)):
+                            yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([name]), pa.array([0]), pa.array([k]), pa.array([text])], ["path", "member", "first", "piece", "text"])
 
-    pieces = stored(tasks.select("path", "seekable", "members").mapInArrow(run, "path string, member string, piece long, text string"), "archive-pieces")
-    counted = pieces.select("path", "member", "piece", F.size(F.split("text", "\n")).alias("n"))
-    before = Window.partitionBy("path", "member").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # a row a piece
-    begins = counted.select("path", "member", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    each = pieces.join(begins, ["path", "member", "piece"]).select("path", "member", "first", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    return each.select("path", "member", (F.col("first") + F.col("k")).alias("at"), F.rtrim("line", F.lit("\r")).alias("line"))
+    work = dealt(tasks, "key").select("path", "seekable", "members")
+    return numbered(work.mapInArrow(run, "path string, member string, first long, piece long, text string"), ["path", "member"])
 
 
 def section_parts(spark: SparkSession, path: str, piece: int = PIECE) -> dict[str, DataFrame]:
@@ -193,7 +165,7 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in batch.column("path").to_pylist():
-                with _open(p) as f, zipfile.ZipFile(f) as z:
+                with open_file(p) as f, zipfile.ZipFile(f) as z:
                     for member in z.namelist():
                         with z.open(member) as stream:
                             version = np.lib.format.read_magic(stream)
@@ -206,7 +178,7 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
                                 yield pa.RecordBatch.from_arrays([pa.array([p] * len(v)), pa.array([name] * len(v)), pa.array(np.arange(at, at + len(v))), pa.array(v)], ["path", "name", "at", "value"])
                                 at += len(v)
 
-    return files(spark, path).select("path").mapInArrow(run, "path string, name string, at long, value double")
+    return dealt(files(spark, path).select("path"), "path").mapInArrow(run, "path string, name string, at long, value double")
 
 
 def expand_rows(arrays: DataFrame, bucket: int = 64) -> DataFrame:
