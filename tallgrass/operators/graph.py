@@ -126,11 +126,14 @@ def hex_edges(spots: DataFrame, spot: str = "spot", row: str = "array_row", col:
     return a.join(b, ["_r", "_c"]).select(F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst"))
 
 
-def spot_problems(spots: DataFrame, spot: str = "spot", row: str = "array_row", col: str = "array_col") -> DataFrame:
-    """(problem, n): repeated identifiers and repeated positions."""
+def spot_problems(spots: DataFrame, spot: str = "spot", row: str = "array_row", col: str = "array_col", expression: DataFrame | None = None) -> DataFrame:
+    """(problem, n): repeated identifiers and repeated positions, and spots that are not among those with ``expression`` (spot)."""
     ids = spots.groupBy(spot).count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("duplicate_id").alias("problem"), "n")
     places = spots.groupBy(row, col).count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("duplicate_position").alias("problem"), "n")
-    return ids.union(places)
+    if expression is None:
+        return ids.union(places)
+    orphans = spots.join(expression.select(spot).distinct(), spot, "left_anti").agg(F.count("*").alias("n")).select(F.lit("spot_without_expression").alias("problem"), "n")
+    return ids.union(places).union(orphans)
 
 
 def edge_product_mean(edges: DataFrame, scores: DataFrame, a: str, b: str, node: str, groups: list[str] | None = None) -> DataFrame:

@@ -50,6 +50,14 @@ def above_quantile(rows: DataFrame, column: str, at: float, out: str, or_else: C
     return rows.withColumn(out, over if or_else is None else or_else | over)
 
 
+def malignant(rows: DataFrame, annotated: Column, score: str, condition: Column, at: float = 0.75, out: str = "malignant") -> DataFrame:
+    """A flag: annotated, or with a score over its quantile. Where nothing is either (no annotation, and no score or a constant one), the condition stands in for both."""
+    t = quantiles(rows, {score: [at]})[score][0]
+    rule = F.coalesce(annotated, F.lit(False)) | F.coalesce(F.col(score) > F.lit(t), F.lit(False))
+    found = rows.agg(F.count_if(rule).alias("n")).first()["n"]
+    return rows.withColumn(out, rule if found else F.coalesce(condition, F.lit(False)))
+
+
 def quantile_band(rows: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     a, b = quantiles(rows, {column: [low, high]})[column]
     return rows.where((F.col(column) >= F.lit(a)) & (F.col(column) <= F.lit(b)))

@@ -21,7 +21,8 @@ def to_wide(long: DataFrame, ids: list[str], features: list[str], feature: str =
 
 def transpose(long: DataFrame, sample: str = "sample", feature: str = "feature") -> DataFrame:
     """Samples and features change places: nothing but names in long form."""
-    return long.withColumnsRenamed({sample: feature, feature: sample})
+    names = {sample: feature, feature: sample}
+    return long.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in long.columns])
 
 
 def coerce(long: DataFrame, value: str = "value") -> DataFrame:
@@ -64,6 +65,15 @@ def highest_mean(long: DataFrame, symbol: str = "symbol", probe: str = "probe",
     return means.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
+def to_symbols(long: DataFrame, mapping: DataFrame, how: str = "mean", sample: str = "sample", probe: str = "probe", symbol: str = "symbol", value: str = "value") -> DataFrame:
+    """(sample, symbol, value): probes named by ``mapping`` (probe, symbol), those without a symbol left out. Several probes of a symbol are averaged, or ``how`` is highest_mean and the probe with the highest mean
+    over all samples stands for it. A probe with several symbols counts for each; the mapping has a row for each pair."""
+    named = long.join(mapping.select(probe, symbol).where(F.col(symbol).isNotNull()).distinct(), probe)
+    if how == "highest_mean":
+        named = named.join(highest_mean(named, symbol, probe, value).select(symbol, probe), [symbol, probe], "left_semi")
+    return named.groupBy(sample, symbol).agg(F.avg(value).alias(value))
+
+
 def mean_collapse(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     return long.groupBy(*keys).agg(F.avg(value).alias(value))
 

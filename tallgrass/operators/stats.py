@@ -133,6 +133,21 @@ def binned_corr(rows: DataFrame, by: str, x: str, y: str, n_bins: int = 5, least
     return rows.where(F.col(by).isNotNull()).withColumn("bin", F.size(below)).groupBy("bin").agg(F.count("*").alias("n"), corr(x, y).alias("r")).where(F.col("n") >= least)
 
 
+def population_corr(rows: DataFrame, sample: str, a: Column, x: str, b: Column, y: str, groups: list[str] | None = None, least: int = 3) -> DataFrame:
+    """(groups, n, r): the means of x over one population of a sample and of y over another, correlated over the samples that have both; r is null below ``least`` samples. One pass over the rows."""
+    keys = groups or []
+    per = rows.groupBy(*keys, sample).agg(F.avg(F.when(a, F.col(x))).alias("_x"), F.avg(F.when(b, F.col(y))).alias("_y")).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    found = per.groupBy(*keys).agg(F.count("*").alias("n"), corr("_x", "_y").alias("r"))
+    return found.withColumn("r", F.when(F.col("n") >= least, F.col("r")))
+
+
+def replication_outcome(r: Column | str, t: Column | str, expected: Column | str, at: float = 1.96) -> Column:
+    """recovered: the expected sign and |t| of ``at`` or more; weak: the sign alone; wrong_sign; unresolved without an r."""
+    r, t, expected = (F.col(c) if isinstance(c, str) else c for c in (r, t, expected))
+    same = F.signum(r) == F.signum(expected.cast("double"))
+    return F.when(r.isNull() | F.isnan(r), "unresolved").when(same & (F.abs(t) >= at), "recovered").when(same, "weak").otherwise("wrong_sign")
+
+
 def paired_t(pairs: DataFrame, groups: list[str], a: str, b: str) -> DataFrame:
     """(groups, n, mean_diff, t, df)."""
     d = F.col(a) - F.col(b)

@@ -230,7 +230,7 @@ def celltype_ratio_argmax(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CELLS}, t AS (SELECT quantile_cont(price, 0.75) p FROM cells) SELECT condition, count(*) FILTER ((condition = 'A' AND tissue = 'O') OR price > p) AS n_malignant, count(*) AS n FROM cells CROSS JOIN t GROUP BY 1")
 def malignant_flag(spark: SparkSession, d: str) -> DataFrame:
-    flagged = labels.above_quantile(cells(spark, d), "price", 0.75, "malignant", (F.col("condition") == "A") & (F.col("tissue") == "O"))
+    flagged = labels.malignant(cells(spark, d), (F.col("condition") == "A") & (F.col("tissue") == "O"), "price", F.col("tissue") == "O")
     return flagged.groupBy("condition").agg(F.count_if("malignant").alias("n_malignant"), F.count("*").alias("n"))
 
 

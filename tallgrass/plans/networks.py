@@ -132,9 +132,9 @@ def hex_grid_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.hex_edges(spots(spark, d))
 
 
-@query(f"WITH {SPOTS} SELECT 'duplicate_id' AS problem, 0::BIGINT AS n UNION ALL SELECT 'duplicate_position', count(*) FROM (SELECT array_row, array_col FROM spots GROUP BY 1, 2 HAVING count(*) > 1)")
+@query(f"WITH {SPOTS} SELECT 'duplicate_id' AS problem, 0::BIGINT AS n UNION ALL SELECT 'duplicate_position', count(*) FROM (SELECT array_row, array_col FROM spots GROUP BY 1, 2 HAVING count(*) > 1) UNION ALL SELECT 'spot_without_expression', count(*) FROM spots WHERE spot NOT IN (SELECT o_custkey FROM orders)")
 def spot_checks(spark: SparkSession, d: str) -> DataFrame:
-    return graph.spot_problems(spots(spark, d))
+    return graph.spot_problems(spots(spark, d), expression=read(spark, d, "orders").select(F.col("o_custkey").alias("spot")))
 
 
 _HEX = f"{SPOTS}, o(dr, dc) AS (VALUES (0, 2), (1, 1), (1, -1)), hx AS (SELECT s.spot AS src, t.spot AS dst FROM spots s CROSS JOIN o JOIN spots t ON t.array_row = s.array_row + dr AND t.array_col = s.array_col + dc)"

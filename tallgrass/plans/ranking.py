@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.operators import evidence, labels, matrix as mx
+from tallgrass.functions.expr import ratio
+from tallgrass.operators import evidence, labels, matrix as mx, stats
 from tallgrass.operators import evaluation as ev
 from tallgrass.plans.base import CELLS, cells, query, read, rounded
-from tallgrass.sources import sinks, specs
+from tallgrass.sources import formats, sinks, specs
+
+
+def _rr(x: str, y: str) -> str:
+    return f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
+
 
 # suppliers as candidates: specificity (price of returned less other lines), correlation stand-in (balance), membership (nation), gold (region)
 _BASE = f"""{CELLS}, sp AS (SELECT sample AS s_suppkey, avg(price) FILTER (condition = 'R') - avg(price) FILTER (condition <> 'R') AS spec, avg(disc) AS level FROM cells GROUP BY 1),
@@ -79,11 +85,11 @@ def evidence_external(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("s_name", "validation", "notes", "combined", (F.col("combined") >= 0.3).alias("confident"))
 
 
-_TWO = f"{_RANKED}, ba AS (SELECT s_name, row_number() OVER (ORDER BY bal DESC, s_name) AS rank FROM evd WHERE bal > 0), ch AS (SELECT s_name, a.rank AS rank_a, b.rank AS rank_b, a.rank - b.rank AS delta FROM rk a FULL JOIN ba b USING (s_name))"
+_TWO = f"{_RANKED}, ba AS (SELECT s_name, row_number() OVER (ORDER BY bal DESC, s_name) AS rank FROM evd), ch AS (SELECT s_name, a.rank AS rank_a, b.rank AS rank_b, a.rank - b.rank AS delta FROM rk a FULL JOIN ba b USING (s_name))"
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
-    simple = evidence.ranked(_evidence(spark, d).where("bal > 0"), [F.desc("bal"), F.asc("s_name")])
+    simple = evidence.ranked(_evidence(spark, d), [F.desc("bal"), F.asc("s_name")])
     return evidence.rank_change(_composite(spark, d), simple, "s_name")
 
 
@@ -98,9 +104,9 @@ def topn_overlap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evidence.top_overlap(_changes(spark, d), [5, 10, 20, 37, 50]), ["jaccard"])
 
 
-@query("SELECT coalesce(a.s_nationkey, b.c_nationkey) AS nation, n_s, n_c, sign(sb) = sign(cb) AS same FROM (SELECT s_nationkey, count(*) n_s, round(sum(s_acctbal), 2) sb FROM supplier WHERE s_acctbal > 3000 GROUP BY 1) a FULL JOIN (SELECT c_nationkey, count(*) n_c, round(sum(c_acctbal), 2) cb FROM customer GROUP BY 1) b ON a.s_nationkey = b.c_nationkey")
+@query("SELECT coalesce(a.s_nationkey, b.c_nationkey) AS nation, n_s, n_c, sign(sb) = sign(cb) AS same FROM (SELECT s_nationkey, count(*) n_s, round(sum(s_acctbal), 2) sb FROM supplier GROUP BY 1) a FULL JOIN (SELECT c_nationkey, count(*) n_c, round(sum(c_acctbal), 2) cb FROM customer GROUP BY 1) b ON a.s_nationkey = b.c_nationkey")
 def outer_merge_evidence(spark: SparkSession, d: str) -> DataFrame:
-    s = read(spark, d, "supplier").where("s_acctbal > 3000").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("n_s"), F.round(F.sum("s_acctbal"), 2).alias("sb"))
+    s = read(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("n_s"), F.round(F.sum("s_acctbal"), 2).alias("sb"))
     c = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n_c"), F.round(F.sum("c_acctbal"), 2).alias("cb"))
     return evidence.outer_merge(s, c, "nation").select("nation", "n_s", "n_c", (F.signum("sb") == F.signum("cb")).alias("same"))
 
@@ -112,13 +118,21 @@ def sign_concordance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evidence.sign_concordance(g, "a", "b"), ["share"])
 
 
-_GAINS = [("base", "auroc", 0.02, 0.01), ("base", "auprc", 0.03, 0.002), ("uniform", "auroc", 0.01, -0.004), ("uniform", "auprc", 0.02, 0.001)]
+_DELTAS = """dl AS (SELECT l_returnflag AS comparator, metric, avg(v) FILTER (l_linestatus = 'O') - avg(v) FILTER (l_linestatus = 'F') AS observed_delta,
+  sqrt(var_samp(v) FILTER (l_linestatus = 'O') / count(v) FILTER (l_linestatus = 'O')::DOUBLE + var_samp(v) FILTER (l_linestatus = 'F') / count(v) FILTER (l_linestatus = 'F')::DOUBLE) AS se
+  FROM (SELECT l_returnflag, l_linestatus, unnest(['price', 'discount', 'tax']) AS metric, unnest([l_extendedprice, l_discount, l_tax]) AS v FROM lineitem) GROUP BY 1, 2)"""
 
 
-@query("SELECT 4::BIGINT AS n_required, 3::BIGINT AS n_passed, 'no_stable_gain' AS verdict")
+@query(f"WITH {_DELTAS} SELECT count(*) AS n_required, count(*) FILTER (observed_delta > 0 AND observed_delta - 1.96 * se > 0) AS n_passed, CASE WHEN bool_and(coalesce(observed_delta > 0 AND observed_delta - 1.96 * se > 0, false)) THEN 'stable_gain' ELSE 'no_stable_gain' END AS verdict FROM dl")
 def gain_verdict(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(_GAINS, "comparator string, metric string, observed_delta double, ci_low double")
-    return evidence.gain_verdict(rows, rows.select("comparator", "metric"))
+    """Open against finished lines, for each flag and metric: every pair that occurs is required to gain."""
+    metrics = {"price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax"}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(c).alias("v")) for k, c in metrics.items()])).alias("m")
+    rows = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("comparator"), "l_linestatus", each).select("comparator", "l_linestatus", "m.metric", "m.v")
+    arms = stats.two_arms(rows, ["comparator", "metric"], "v", F.col("l_linestatus") == "O")
+    delta, se = F.col("ma") - F.col("mb"), F.sqrt(ratio("va", "na") + ratio("vb", "nb"))
+    found = arms.select("comparator", "metric", delta.alias("observed_delta"), (delta - 1.96 * se).alias("ci_low"))
+    return evidence.gain_verdict(found, rows.select("comparator", "metric").distinct())
 
 
 @query("WITH x AS (SELECT l_returnflag AS a, l_linestatus AS b, l_linenumber AS c FROM lineitem), k AS (SELECT a, b, c, count(*) n FROM x GROUP BY 1, 2, 3) SELECT p.a, q.b, r.c, coalesce(n, 0) AS n FROM (SELECT DISTINCT a FROM x) p CROSS JOIN (SELECT DISTINCT b FROM x) q CROSS JOIN (SELECT DISTINCT c FROM x) r LEFT JOIN k ON k.a = p.a AND k.b = q.b AND k.c = r.c WHERE coalesce(n, 0) <> 1")
@@ -170,10 +184,114 @@ def value_histogram(spark: SparkSession, d: str) -> DataFrame:
     return sinks.histogram(read(spark, d, "events"), "value", 0.0, 500.0, 10)
 
 
-@query("SELECT 'first' AS card, 2::BIGINT AS n_modules, 4::BIGINT AS n_features, 'driver;readout' AS roles UNION ALL SELECT 'second', 1, 2, 'driver'")
+@query("SELECT p_brand AS card, count(DISTINCT p_type) AS n_modules, count(DISTINCT p_partkey) AS n_features, string_agg(DISTINCT split_part(p_name, ' ', 1), ';' ORDER BY split_part(p_name, ' ', 1)) AS roles FROM part GROUP BY 1")
 def card_summary(spark: SparkSession, d: str) -> DataFrame:
-    cards = {"first": {"x": {"role": "driver", "genes": ["A", "B", "C"]}, "y": {"role": "readout", "genes": ["C", "D"]}}, "second": {"x": {"role": "driver", "genes": ["A", "E"]}}}
-    return specs.card_summary(specs.modules_frame(spark, cards))
+    """A registry of cards from a table: brands as cards, types as modules, the first word of a name as the role of its parts."""
+    rows = read(spark, d, "part").select(F.col("p_brand").alias("card"), F.col("p_type").alias("module"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("role"), F.lit(None).cast("string").alias("direction"), F.col("p_partkey").cast("string").alias("feature"))
+    return specs.card_summary(specs.registry(rows))
+
+
+@query(
+    f"""WITH {CELLS}, h(hypothesis, expected, control) AS (VALUES ('qty~price', 1, NULL), ('disc~tax', 1, NULL), ('disc~qty', -1, NULL), ('qty~price', 1, 'disc')),
+    p AS (SELECT condition, count(*) AS n, {_rr("qty", "price")} AS qp, {_rr("disc", "tax")} AS dt, {_rr("disc", "qty")} AS dq, {_rr("price", "disc")} AS pd FROM cells GROUP BY 1),
+    x AS (SELECT condition AS cohort, hypothesis, coalesce(control, '') AS control, expected, n, CASE WHEN control IS NOT NULL THEN (qp - dq * pd) / sqrt((1 - dq * dq) * (1 - pd * pd)) WHEN hypothesis = 'qty~price' THEN qp WHEN hypothesis = 'disc~tax' THEN dt ELSE dq END AS r FROM p CROSS JOIN h),
+    t AS (SELECT *, r * sqrt((n - 2 - CASE WHEN control <> '' THEN 1 ELSE 0 END)::DOUBLE / (1 - r * r)) AS t FROM x)
+    SELECT cohort, hypothesis, control, CAST(expected AS INTEGER) AS expected, n, round(r, 6) AS r, round(t, 4) AS t, sign(r) = expected AND abs(t) >= 1.96 AS passed FROM t"""
+)
+def hypothesis_battery(spark: SparkSession, d: str) -> DataFrame:
+    """Declared hypotheses with their signs in each cohort, the first once more without its control."""
+    rows = cells(spark, d)
+    plan = [("qty", "price", 1, None), ("disc", "tax", 1, None), ("disc", "qty", -1, None), ("qty", "price", 1, "disc")]
+    out = None
+    for a, b, sign, control in plan:
+        found = stats.corr_test(rows, ["condition"], a, b) if control is None else stats.partial_corr_test(rows, ["condition"], a, b, control).drop("r").withColumnRenamed("rp", "r")
+        part = found.select(F.col("condition").alias("cohort"), F.lit(f"{a}~{b}").alias("hypothesis"), F.lit(control or "").alias("control"), F.lit(sign).alias("expected"), "n", "r", "t")
+        out = part if out is None else out.union(part)
+    return rounded(out.withColumn("passed", labels.direction_ok("expected", "r") & (F.abs("t") >= 1.96)), ["r"]).withColumn("t", F.round("t", 4))
+
+
+@query(
+    f"""WITH {CELLS}, tests(test, expected) AS (VALUES ('price~qty', 1), ('tax~disc', 1), ('tax~levy', 1)), p AS (SELECT tissue, count(*) AS n, {_rr("price", "qty")} AS pq, {_rr("tax", "disc")} AS td FROM cells GROUP BY 1),
+    x AS (SELECT tissue AS dataset, test, CASE test WHEN 'tax~levy' THEN 0 ELSE n END AS n, CASE test WHEN 'price~qty' THEN pq WHEN 'tax~disc' THEN td END AS r, CAST(expected AS INTEGER) AS expected FROM p CROSS JOIN tests)
+    SELECT dataset, test, n, round(r, 6) AS r, expected, CASE WHEN r IS NULL THEN 'unresolved' WHEN r > 0 AND abs(r * sqrt((n - 2)::DOUBLE / (1 - r * r))) >= 1.96 THEN 'recovered' WHEN r > 0 THEN 'weak' ELSE 'wrong_sign' END AS outcome FROM x"""
+)
+def external_replication(spark: SparkSession, d: str) -> DataFrame:
+    """The same tests on data sets of other origin; one asks for a module that no data set has."""
+    return _replicated(spark, d)
+
+
+def _replicated(spark: SparkSession, d: str) -> DataFrame:
+    rows, out = cells(spark, d).withColumn("levy", F.lit(None).cast("double")), None
+    for a, b in (("price", "qty"), ("tax", "disc"), ("tax", "levy")):
+        per = stats.corr_test(rows.where(F.col(a).isNotNull()), ["tissue"], a, b).withColumn("n", F.when(F.lit(b == "levy"), F.lit(0)).otherwise(F.col("n")).cast("long"))
+        part = per.select(F.col("tissue").alias("dataset"), F.lit(f"{a}~{b}").alias("test"), "n", "r", F.lit(1).alias("expected"), stats.replication_outcome("r", "t", F.lit(1)).alias("outcome"))
+        out = part if out is None else out.union(part)
+    return rounded(out, ["r"])
+
+
+@query(
+    f"""WITH {CELLS}, mn AS (SELECT sample, avg(price) AS price, avg(qty) AS qty FROM cells GROUP BY 1), ex AS (SELECT tissue AS dataset, count(*) AS n, {_rr("price", "qty")} AS r FROM cells GROUP BY 1)
+    SELECT 'bulk' AS resolution, NULL AS dataset, 'price~qty' AS test, count(*) AS n, round({_rr("price", "qty")}, 6) AS r, 'reported' AS outcome FROM mn UNION ALL SELECT 'cell', NULL, 'price~qty', count(*), round({_rr("price", "qty")}, 6), 'reported' FROM cells WHERE condition = 'N'
+    UNION ALL SELECT NULL, dataset, 'price~qty', n, round(r, 6), CASE WHEN r > 0 AND abs(r * sqrt((n - 2)::DOUBLE / (1 - r * r))) >= 1.96 THEN 'recovered' WHEN r > 0 THEN 'weak' ELSE 'wrong_sign' END FROM ex"""
+)
+def outcome_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A hypothesis on means of samples and on single cells, appended to the outcomes of its replication."""
+    rows = cells(spark, d)
+    means = rows.groupBy("sample").agg(F.avg("price").alias("price"), F.avg("qty").alias("qty"))
+    new = None
+    for resolution, part in (("bulk", means), ("cell", rows.where("condition = 'N'"))):
+        row = stats.corr_test(part.withColumn("_all", F.lit(1)), ["_all"], "price", "qty").select(F.lit(resolution).alias("resolution"), F.lit("price~qty").alias("test"), "n", "r", F.lit("reported").alias("outcome"))
+        new = row if new is None else new.union(row)
+    there = _replicated(spark, d).where("test = 'price~qty'").drop("expected")
+    return rounded(new.unionByName(there, allowMissingColumns=True), ["r"]).select("resolution", "dataset", "test", "n", "r", "outcome")
+
+
+@query(
+    f"""WITH {CELLS}, p AS (SELECT tissue, sample, avg(price) FILTER (condition = 'A') AS x, avg(disc) FILTER (condition = 'N') AS y FROM cells GROUP BY 1, 2)
+    SELECT tissue, count(*) AS n, CASE WHEN count(*) >= 3 THEN round({_rr("x", "y")}, 6) END AS r FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1"""
+)
+def population_crosstalk(spark: SparkSession, d: str) -> DataFrame:
+    """Sample means of two populations, one measure of each, over the samples that have both."""
+    return rounded(stats.population_corr(cells(spark, d), "sample", F.col("condition") == "A", "price", F.col("condition") == "N", "disc", ["tissue"]), ["r"])
+
+
+_PROBED = "pb AS (SELECT l_suppkey AS sample, l_partkey AS probe, sum(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2), mp AS (SELECT p_partkey AS probe, p_brand AS symbol FROM part WHERE p_size <= 45)"
+
+
+def _probed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    long = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("sample"), F.col("l_partkey").alias("probe")).agg(F.sum("l_extendedprice").alias("value"))
+    symbol = F.when(F.col("p_size") > 45, "---").otherwise(F.concat_ws(" /// ", "p_brand", "p_type"))
+    mapping = formats.clean_mapping(read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("probe"), symbol.alias("symbol")))
+    return long, mapping.withColumn("probe", F.col("probe").cast("long"))
+
+
+@query(f"WITH {_PROBED} SELECT sample, symbol, round(avg(value), 6) AS value FROM pb JOIN mp USING (probe) GROUP BY 1, 2")
+def probes_to_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """A matrix of probes named by a platform's annotation, several probes of a symbol averaged; probes without a symbol go."""
+    return rounded(mx.to_symbols(*_probed(spark, d)), ["value"])
+
+
+@query(
+    f"""WITH {_PROBED}, bs AS (SELECT symbol, probe FROM (SELECT symbol, probe, row_number() OVER (PARTITION BY symbol ORDER BY avg(value) DESC, probe) AS k FROM pb JOIN mp USING (probe) GROUP BY 1, 2) WHERE k = 1)
+    SELECT sample, symbol, round(value, 4) AS value FROM pb JOIN bs USING (probe)"""
+)
+def probes_to_symbols_highest(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mx.to_symbols(*_probed(spark, d), how="highest_mean"), ["value"], 4)
+
+
+@query(r"SELECT regexp_extract(url, '^https?://(?:www\.|m\.|blog\.)?([^/:?#]+)', 1) AS domain, count(*) AS n, printf('%d characters in %04d pages', CAST(sum(length(html)) AS BIGINT), count(*)) AS said FROM pages GROUP BY 1")
+def domains(spark: SparkSession, d: str) -> DataFrame:
+    """A field cut out of a text by a pattern, and numbers set into a text."""
+    rows = read(spark, d, "pages").select(F.regexp_extract("url", r"^https?://(?:www\.|m\.|blog\.)?([^/:?#]+)", 1).alias("domain"), F.char_length("html").alias("n"))
+    return rows.groupBy("domain").agg(F.count("*").alias("n"), F.format_string("%d characters in %04d pages", F.sum("n"), F.count("*")).alias("said"))
+
+
+@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n, round(avg(value), 6) AS mean, to_json({'lowest': round(min(value), 2), 'highest': round(max(value), 2)}) AS span FROM events GROUP BY 1")
+def event_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Properties read from JSON into a map, and a summary written as JSON."""
+    k = F.from_json("props", "map<string, bigint>")["k"]
+    span = F.to_json(F.struct(F.round(F.min("value"), 2).alias("lowest"), F.round(F.max("value"), 2).alias("highest")))
+    return read(spark, d, "events").groupBy((k % 10).alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), span.alias("span"))
 
 
 @query("SELECT o_orderstatus, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'fast' ELSE 'slow' END AS speed, count(*) AS n FROM orders GROUP BY 1, 2")
@@ -183,16 +301,16 @@ def categorical_recode(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("o_orderstatus", "speed").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey AS id, 'customer' AS kind, c_acctbal AS balance FROM customer WHERE c_acctbal < 0 UNION ALL SELECT s_suppkey, 'supplier', s_acctbal FROM supplier WHERE s_acctbal < 0")
+@query("SELECT c_custkey AS id, 'customer' AS kind, c_acctbal AS balance FROM customer UNION ALL SELECT s_suppkey, 'supplier', s_acctbal FROM supplier")
 def union_by_name(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("kind"), F.col("c_acctbal").alias("balance"))
-    s = read(spark, d, "supplier").where("s_acctbal < 0").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"))
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("kind"), F.col("c_acctbal").alias("balance"))
+    s = read(spark, d, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"))
     return c.unionByName(s)
 
 
-@query("SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0")
+@query("SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0")
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("nation"))
+    c = read(spark, d, "customer").select(F.col("c_nationkey").alias("nation"))
     return c.intersect(read(spark, d, "supplier").select("s_nationkey")).subtract(read(spark, d, "nation").where("n_regionkey = 0").select("n_nationkey"))
 
 

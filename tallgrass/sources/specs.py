@@ -22,6 +22,11 @@ def modules_frame(spark: SparkSession, cards: dict[str, dict]) -> DataFrame:
     return spark.createDataFrame(rows, MODULES)
 
 
+def registry(rows: DataFrame) -> DataFrame:
+    """What ``modules_frame`` gives, from a stored table of cards: (card, module, role, direction, feature), a row for each feature."""
+    return rows.groupBy("card", "module", "role", "direction").agg(F.collect_set("feature").alias("features"))
+
+
 def members(modules: DataFrame) -> DataFrame:
     """(card, module, feature)."""
     return modules.select("card", "module", F.explode("features").alias("feature")).distinct()
