@@ -64,7 +64,7 @@ def write_bundle(tables: dict[str, DataFrame], path: str, script: str, inputs: D
 def markdown(df: DataFrame, most: int = 50, digits: int = 4) -> str:
     """The first ``most`` rows as a Markdown table; numbers with ``digits`` places. For summaries, so the number of rows is stated."""
     kinds = dict(df.dtypes)
-    shown = df.limit(most).select(*[F.coalesce(F.format_string(f"%.{digits}f", F.col(f"`{c}`").cast("double")) if kinds[c] in ("double", "float") else F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
+    shown = df.limit(most).select(*[F.when(F.col(f"`{c}`").isNull(), "").otherwise(F.format_string(f"%.{digits}f", F.col(f"`{c}`").cast("double")) if kinds[c] in ("double", "float") else F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns])
     rows = [list(r) for r in shown.collect()]
     return "\n".join("| " + " | ".join(str(v).replace("|", "\\|") for v in r) + " |" for r in [df.columns, ["---"] * len(df.columns), *rows])
 
