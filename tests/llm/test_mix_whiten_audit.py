@@ -256,3 +256,18 @@ def test_queries_match_sql(spark, name):
     names = [d[0] for d in result.description]
     assert sorted(names) == sorted(df.columns)
     assert Counter(map(tuple, df.select(*names).collect())) == Counter(result.fetchall())
+
+
+@data
+def test_language_model_does_not_depend_on_partitions(spark):
+    """The same texts in 2 and in 9 partitions, and a gain over the base on held-out texts."""
+    from tallgrass.llm import lm
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    scores = []
+    for n in (2, 9):
+        model, packed = lm.train(docs.repartition(n))
+        scores.append({r["doc_id"]: (r["held_out"], r["base_score"], r["score"]) for r in lm.score(packed, model).collect()})
+    assert scores[0].keys() == scores[1].keys()
+    assert all(abs(scores[1][i][2] - s) <= 1e-4 * max(1, abs(s)) for i, (_, _, s) in scores[0].items())
+    assert sum(s - b for held, b, s in scores[0].values() if held) > 0
