@@ -12,7 +12,8 @@ ask for (no decoder of their own).
 Words repeat, so each task keeps the words it met last with their ids, in two generations of bounded size.
 
 Defined cases: a null text is an empty one and has no ids; strings of the added tokens in a text are those tokens; a
-null id, repeated rows and an empty table go through row by row; other columns are ignored.
+null id, repeated rows and an empty table go through row by row; a very long text is encoded whole, a word at a time; there are no ties; other columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ counted to be at most ``most_broadcast``; beyond, the join shuffles.
 
 Defined cases: null and wordless texts have no words, no windows and no hits; an item of fewer words than a window is one
 window; equal windows of several items all count; a null item id is left out; rows with equal id and text share one
-result; rows with equal id and other text have their own; empty tables give no hits or no rows; other columns are
-ignored or, in ``drop_contaminated``, passed through.
+result; rows with equal id and other text have their own; a very long text is read whole, as one array of words; of equally rare shingles
+the one with the smallest hash is joined, which changes no result; empty tables give no hits or no rows; other columns are ignored or, in
+``drop_contaminated``, passed through.
 """
 
 from __future__ import annotations

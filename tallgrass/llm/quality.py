@@ -8,7 +8,8 @@ there, soft failures reject a document as well. A clean document is kept on any
 Windows are compared by 64-bit hashes of their words.
 
 Defined cases: a null or wordless text has zero counts and fails the base rules; a null host is a host of its own;
-repeated rows count as often as they are there; an empty table gives no rows; other columns are ignored or, in
+repeated rows count as often as they are there; a very long text is measured whole, in its row; a host whose rate equals the limit is not bad, the only
+tie there is; an empty table gives no rows; other columns are ignored or, in
 ``keep_good``, passed through.
 """
 

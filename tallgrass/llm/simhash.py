@@ -13,8 +13,8 @@ grows with the members, not with their pairs.
 Copies never meet as documents: links are between distinct fingerprints, and documents get their class by a join.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other; a null id takes part but
-is never a class id unless all ids of the class are null; repeated rows get equal results; an empty table gives no
-rows; other columns are ignored.
+is never a class id unless all ids of the class are null; repeated rows get equal results; a very long text is hashed whole, word by word; a bit
+that exactly half of the shingles set is 0; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
