@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions.expr import draw_key, ratio
-from tallgrass.operators.order import tiles
+from tallgrass.functions.store import stored
+from tallgrass.operators.order import running, tiles
 
 
 def qc_metrics(counts: DataFrame, prefix: str, cell: str = "cell", feature: str = "feature") -> DataFrame:
@@ -98,11 +99,16 @@ def spot_scores(counts: DataFrame, modules: DataFrame, spots: DataFrame, spot: s
     return grid.join(sums, [spot, "module"], "left").select(spot, "module", (F.log1p(part) / F.col("_k")).alias("score"))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, ident: str, vector: str) -> DataFrame:
-    """(ident, neighbour, similarity): the k most similar vectors by cosine for a stated set of queries, which is broadcast; every vector is compared with every query."""
+def knn(vectors: DataFrame, queries: DataFrame, k: int, ident: str, vector: str, block: int = 4096) -> DataFrame:
+    """(query, neighbour, similarity, rank): the k most similar vectors by cosine for a stated set of queries. Every vector is compared with every query; ``block`` queries are broadcast at a time, each time over one
+    reading of the vectors, and a block's best are kept before the next."""
     from tallgrass.operators.graph import cosine
 
-    q = queries.select(F.col(ident).alias("_q"), F.col(vector).alias("_qv"))
-    scored = vectors.join(F.broadcast(q)).where(F.col(ident) != F.col("_q")).select(F.col("_q").alias("query"), F.col(ident).alias("neighbour"), F.round(cosine("_qv", vector), 6).alias("similarity"))
-    order = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    numbered = stored(running(queries.select(F.col(ident).alias("_q"), F.col(vector).alias("_qv")), [F.asc("_q")], None, "_at"), "knn-queries")
+    n, order, out = numbered.agg(F.max("_at").alias("n")).first()["n"] or 0, Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"), None
+    for first in range(0, max(n, 1), block):
+        some = F.broadcast(numbered.where((F.col("_at") > first) & (F.col("_at") <= first + block)).drop("_at"))
+        scored = vectors.join(some).where(F.col(ident) != F.col("_q")).select(F.col("_q").alias("query"), F.col(ident).alias("neighbour"), F.round(cosine("_qv", vector), 6).alias("similarity"))
+        best = scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+        out = best if out is None else out.union(best)
+    return out

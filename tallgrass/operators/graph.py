@@ -19,7 +19,7 @@ def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def across(left: DataFrame, right: DataFrame, edge_type: str, weight: float, node: str = "node_id") -> DataFrame:
     """An edge for each pair of two small node sets (module sizes), without self loops."""
     a, b = left.select(F.col(node).alias("src")).distinct(), right.select(F.col(node).alias("dst")).distinct()
-    return a.crossJoin(F.broadcast(b)).where("src <> dst").select("src", "dst", F.lit(edge_type).alias("edge_type"), F.lit(weight).alias("weight"))
+    return a.crossJoin(b).where("src <> dst").select("src", "dst", F.lit(edge_type).alias("edge_type"), F.lit(weight).alias("weight"))
 
 
 def inside_groups(members: DataFrame, group: str, node: str, edge_type: str, weight: float) -> DataFrame:
@@ -45,7 +45,7 @@ def reduce_last(edges: DataFrame, order: str, coefficients: DataFrame) -> DataFr
 
 def views(edges: DataFrame, assignment: DataFrame) -> DataFrame:
     """(view, src, dst, weight): edge types are assigned to views (edge_type, view); the largest weight of a pair counts."""
-    return reduce_max(edges.join(F.broadcast(assignment), "edge_type"), ["view"])
+    return reduce_max(edges.join(assignment, "edge_type"), ["view"])
 
 
 def view_problems(edges: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def jaccard_join(sets: DataFrame, least: float, term: str = "term", item: str =
 
 def invert_sets(sets: DataFrame, panel: DataFrame, term: str = "term", feature: str = "feature") -> DataFrame:
     """(feature, terms, n_terms) for the features of a panel."""
-    return sets.join(F.broadcast(panel.select(feature).distinct()), feature, "left_semi").groupBy(feature).agg(F.array_sort(F.collect_set(term)).alias("terms"), F.countDistinct(term).alias("n_terms"))
+    return sets.join(panel.select(feature).distinct(), feature, "left_semi").groupBy(feature).agg(F.array_sort(F.collect_set(term)).alias("terms"), F.countDistinct(term).alias("n_terms"))
 
 
 def hex_edges(spots: DataFrame, spot: str = "spot", row: str = "array_row", col: str = "array_col") -> DataFrame:

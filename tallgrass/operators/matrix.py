@@ -31,12 +31,12 @@ def coerce(long: DataFrame, value: str = "value") -> DataFrame:
 
 def zero_complete(long: DataFrame, samples: DataFrame, features: DataFrame, value: str = "value") -> DataFrame:
     """Every (sample, feature); absent entries are zero. For small feature panels: rows are samples times features."""
-    return samples.join(F.broadcast(features)).join(long, [*samples.columns, *features.columns], "left").fillna({value: 0.0})
+    return samples.crossJoin(features).join(long, [*samples.columns, *features.columns], "left").fillna({value: 0.0})
 
 
 def pick(long: DataFrame, modules: DataFrame, feature: str = "feature") -> DataFrame:
     """The entries of features that modules name, once for each module that names them."""
-    return long.join(F.broadcast(modules), feature)
+    return long.join(modules, feature)
 
 
 def coverage(long: DataFrame, modules: DataFrame, module: str = "module", feature: str = "feature") -> DataFrame:
@@ -48,7 +48,7 @@ def coverage(long: DataFrame, modules: DataFrame, module: str = "module", featur
 
 def mask(long: DataFrame, features: DataFrame, feature: str = "feature") -> DataFrame:
     """Without the named features."""
-    return long.join(F.broadcast(features.select(feature).distinct()), feature, "left_anti")
+    return long.join(features.select(feature).distinct(), feature, "left_anti")
 
 
 def standardise_names(rows: DataFrame, aliases: DataFrame, name: str = "feature") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallgrass.functions.store import stored
+
 
 def baselines(n_features: int, seed: int = 42) -> dict:
     """The estimators by name. The kernel machine is linear here: there is no kernel SVM in pyspark.ml."""
@@ -28,7 +30,7 @@ def assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def cross_validated(rows: DataFrame, columns: list[str], names: list[str], n_folds: int, key: str, seed: int = 42) -> DataFrame:
     """(key, fold, method, y, score) on held-out folds; the scaler is fitted on the training folds only. ``rows`` has fold and y."""
-    vectors, out = assembled(rows, columns).select(key, "fold", F.col("y").cast("double").alias("y"), "features").cache(), None
+    vectors, out = stored(assembled(rows, columns).select(key, "fold", F.col("y").cast("double").alias("y"), "features"), "assembled"), None
     for fold in range(n_folds):
         train, test = vectors.where(F.col("fold") != fold), vectors.where(F.col("fold") == fold)
         scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(train)
