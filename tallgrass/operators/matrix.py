@@ -66,12 +66,12 @@ def highest_mean(long: DataFrame, symbol: str = "symbol", probe: str = "probe",
 
 
 def to_symbols(long: DataFrame, mapping: DataFrame, how: str = "mean", sample: str = "sample", probe: str = "probe", symbol: str = "symbol", value: str = "value") -> DataFrame:
-    """(sample, symbol, value): probes named by ``mapping`` (probe, symbol), those without a symbol left out. Several probes of a symbol are averaged, or ``how`` is highest_mean and the probe with the highest mean
-    over all samples stands for it. A probe with several symbols counts for each; the mapping has a row for each pair."""
+    """(sample, symbol, value, n): probes named by ``mapping`` (probe, symbol), those without a symbol left out. Several probes of a symbol are averaged, or ``how`` is highest_mean and the probe with the highest mean
+    over all samples stands for it. ``n`` probes of the sample are in a value. A probe with several symbols counts for each; the mapping has a row for each pair."""
     named = long.join(mapping.select(probe, symbol).where(F.col(symbol).isNotNull()).distinct(), probe)
     if how == "highest_mean":
         named = named.join(highest_mean(named, symbol, probe, value).select(symbol, probe), [symbol, probe], "left_semi")
-    return named.groupBy(sample, symbol).agg(F.avg(value).alias(value))
+    return named.groupBy(sample, symbol).agg(F.avg(value).alias(value), F.count("*").alias("n"))
 
 
 def mean_collapse(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

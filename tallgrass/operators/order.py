@@ -142,5 +142,6 @@ def quantiles(rows: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list
         places = [(n - 1) * p for p in shares]
         values = rows.select(F.col(c).cast("double").alias("v")).where("v is not null and not isnan(v)")
         at = _selected(values, sorted({k for p in places for k in (math.floor(p), math.ceil(p))}), span[f"a{i}"], span[f"b{i}"])
-        out[c] = [at[math.floor(p)] if p == math.floor(p) else (math.ceil(p) - p) * at[math.floor(p)] + (p - math.floor(p)) * at[math.ceil(p)] for p in places]
+        # equal neighbours are their own mean, without its rounding
+        out[c] = [a if a == b else (math.ceil(p) - p) * a + (p - math.floor(p)) * b for p in places for a, b in [(at[math.floor(p)], at[math.ceil(p)])]]
     return out

@@ -257,10 +257,10 @@ def feature_majority_vote(spark: SparkSession, d: str) -> DataFrame:
     return mx.in_all_groups(read(spark, d, "part").select(F.col("p_size").alias("feature"), "p_brand"), "p_brand", least=20)
 
 
-@query(f"WITH {MATRIX}, {MODULES} SELECT feature, count(*) AS n, round(sum(value), 4) AS total FROM m WHERE feature NOT IN (SELECT feature FROM modules WHERE module = 'm1') GROUP BY 1")
+@query(f"WITH {MATRIX}, {MODULES} SELECT feature, count(*) AS n, round(sum(value), 6) AS total FROM m WHERE feature NOT IN (SELECT feature FROM modules WHERE module = 'm1') GROUP BY 1")
 def mask_label_features(spark: SparkSession, d: str) -> DataFrame:
     masked = mx.mask(matrix(spark, d), modules(spark).where("module = 'm1'"))
-    return masked.groupBy("feature").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return masked.groupBy("feature").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
 @query(f"WITH {MATRIX}, {MODULES}, v AS (SELECT feature, stddev_pop(value) AS sd FROM m GROUP BY 1), k AS (SELECT feature, sd, feature IN (SELECT feature FROM modules) AS named FROM v WHERE sd > 1e-10) SELECT feature, named, round(sd, 4) AS sd, row_number() OVER (ORDER BY named DESC, round(sd, 4) DESC, feature) AS rank FROM k")

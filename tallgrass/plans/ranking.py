@@ -265,10 +265,10 @@ def _probed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return long, mapping.withColumn("probe", F.col("probe").cast("long"))
 
 
-@query(f"WITH {_PROBED} SELECT sample, symbol, round(avg(value), 6) AS value FROM pb JOIN mp USING (probe) GROUP BY 1, 2")
+@query(f"WITH {_PROBED} SELECT sample, symbol, count(*) AS n, round(avg(value) * count(*), 3) AS total FROM pb JOIN mp USING (probe) GROUP BY 1, 2")
 def probes_to_symbols(spark: SparkSession, d: str) -> DataFrame:
     """A matrix of probes named by a platform's annotation, several probes of a symbol averaged; probes without a symbol go."""
-    return rounded(mx.to_symbols(*_probed(spark, d)), ["value"])
+    return mx.to_symbols(*_probed(spark, d)).select("sample", "symbol", "n", F.round(F.col("value") * F.col("n"), 3).alias("total"))
 
 
 @query(
@@ -276,7 +276,7 @@ def probes_to_symbols(spark: SparkSession, d: str) -> DataFrame:
     SELECT sample, symbol, round(value, 4) AS value FROM pb JOIN bs USING (probe)"""
 )
 def probes_to_symbols_highest(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(mx.to_symbols(*_probed(spark, d), how="highest_mean"), ["value"], 4)
+    return rounded(mx.to_symbols(*_probed(spark, d), how="highest_mean").drop("n"), ["value"], 4)
 
 
 @query(r"SELECT regexp_extract(url, '^https?://(?:www\.|m\.|blog\.)?([^/:?#]+)', 1) AS domain, count(*) AS n, printf('%d characters in %04d pages', CAST(sum(length(html)) AS BIGINT), count(*)) AS said FROM pages GROUP BY 1")

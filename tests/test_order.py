@@ -64,7 +64,7 @@ SHARES = [0.0, 0.01, 0.25, 0.5, 0.777, 0.99, 1.0]
 def test_quantiles_are_those_of_percentile(spark, rows, few, monkeypatch):
     monkeypatch.setattr(order, "_FEW", few)  # brackets are refined to the end
     _, df = rows
-    frames = {"x": df, "w": df.select(F.col("w").cast("double").alias("w")), "one": df.select(F.lit(7.0).alias("one")), "two": df.select(F.when(F.col("w") < 3, -1.0).otherwise(1e12).alias("two"))}
+    frames = {"x": df, "w": df.select(F.col("w").cast("double").alias("w")), "one": df.select(F.lit(7.0).alias("one")), "cents": df.select((F.col("w") * 0.01 + 0.02).alias("cents")), "two": df.select(F.when(F.col("w") < 3, -1.0).otherwise(1e12).alias("two"))}
     for c, frame in frames.items():
         want = frame.agg(F.percentile(c, F.array(*map(F.lit, SHARES))).alias("q")).first()["q"]
         assert order.quantiles(frame, {c: SHARES})[c] == want
