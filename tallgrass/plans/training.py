@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions.expr import draw_key
 from tallgrass.functions.store import shared_folder, stored
-from tallgrass.operators import blocks, evaluation, fusion, importance, spectral, stats
+from tallgrass.operators import blocks, evaluation, fusion, graph, importance, spectral, stats
 from tallgrass.operators import scores as sc
 from tallgrass.plans.base import MATRIX, MODULES, Z, matrix, modules, query, read, rounded
 
@@ -24,8 +24,8 @@ def _cohorts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[st
     return rows.where("cohort = 'a'"), rows.where("cohort = 'b'"), [f"f{i:03d}" for i in range(width)]
 
 
-def _design(train: DataFrame, features: list[str]) -> fusion.Design:
-    """Views are the features' positive, negative and strong correlations in the first cohort; all edges together are one more. The masked mode lacks the first features."""
+def _edges(train: DataFrame) -> DataFrame:
+    """(view, src, dst, weight): the features' positive, negative and strong correlations in the first cohort."""
     cells = train.select("key", F.posexplode("x").alias("at", "value")).select("key", F.format_string("f%03d", "at").alias("feature"), "value")
     r = stored(blocks.pairs(cells, 0.0, "key").select("src", "dst", "r"), "feature-graph")
     strong = r.select(F.max(F.abs("r")).alias("m")).first()["m"] or 0.0
@@ -34,9 +34,15 @@ def _design(train: DataFrame, features: list[str]) -> fusion.Design:
     for name, rule in edges.items():
         part = r.where(rule).select(F.lit(name).alias("view"), "src", "dst", F.abs("r").alias("weight"))
         views = part if views is None else views.union(part)
+    return views
+
+
+def _design(train: DataFrame, features: list[str]) -> fusion.Design:
+    """The three kinds of edges as views; all edges together are one more. The masked mode lacks the first features."""
+    views = stored(_edges(train), "feature-edges")
     merged = views.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).select(F.lit("merged").alias("view"), "src", "dst", "weight")
     embedded = fusion.views_of(spectral.embed(views.union(merged), _DIM).vectors, features)
-    for name in (*edges, "merged"):
+    for name in ("negative", "positive", "strong", "merged"):
         embedded.setdefault(name, np.zeros((len(features), _DIM)))
     every = np.ones(len(features))
     return fusion.Design(dict(sorted(embedded.items())), {"full": every, "masked": np.r_[np.zeros(_MASKED), every[_MASKED:]]})
@@ -71,6 +77,49 @@ def multiview_paired_tests(spark: SparkSession, d: str) -> DataFrame:
     return rounded(both, ["mean_diff", "t", "w"], 4)
 
 
+def _edge_sets(spark: SparkSession, d: str, edges: DataFrame, a: DataFrame, b: DataFrame, features: list[str], sets: dict[str, list[str]], seeds: list[int], steps: int) -> DataFrame:
+    """(variant, seed, auroc, mcc) on the second cohort, of classifiers on the embedding of each set of edge types: all sets are embedded together, and all runs fitted together."""
+    named = spark.createDataFrame([(n, t) for n, types in sets.items() for t in types], "variant string, view string")
+    graphs = edges.join(F.broadcast(named), "view").groupBy(F.col("variant").alias("view"), "src", "dst").agg(F.sum("weight").alias("weight"))
+    views = fusion.views_of(spectral.embed(graphs, _DIM).vectors, features)
+    for name in sets:
+        views.setdefault(name, np.zeros((len(features), _DIM)))
+    design = fusion.Design(dict(sorted(views.items())), {"full": np.ones(len(features))})
+    runs = [fusion.Run(n, "full", (n,), "uniform", k) for n in sets for k in seeds]
+    predicted, keys = stored(fusion.predict(b, fusion.fit(a, design, runs, steps)), "edge-set-predictions"), ["variant", "seed"]
+    return stored(evaluation.auroc(predicted, keys, "y", "probability").join(evaluation.confusion(predicted, keys, "y", "probability").select(*keys, "mcc"), keys), "edge-set-metrics")
+
+
+@query()
+def edge_type_importance(spark: SparkSession, d: str) -> DataFrame:
+    """What the metrics lose without each type of edges: the graph is embedded and the classifier fitted anew for each."""
+    a, b, features = _cohorts(spark, d)
+    types = ["negative", "positive", "strong"]
+    sets = {"full": types} | {f"without_{t}": [o for o in types if o != t] for t in types}
+    table = _edge_sets(spark, d, stored(_edges(a), "feature-edges"), a, b, features, sets, [1, 2, 3], 15)
+    mean = table.groupBy("variant").agg(F.avg("auroc").alias("auroc"), F.avg("mcc").alias("mcc"))
+    full = mean.where("variant = 'full'").select(F.col("auroc").alias("f1"), F.col("mcc").alias("f2"))
+    out = mean.where("variant <> 'full'").join(F.broadcast(full)).select("variant", "auroc", "mcc", (F.col("f1") - F.col("auroc")).alias("auroc_drop"), (F.col("f2") - F.col("mcc")).alias("mcc_drop"))
+    return rounded(out, ["auroc", "mcc", "auroc_drop", "mcc_drop"], 4)
+
+
+@query()
+def prior_edge_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Two declared priors on top of the data's own edges, alone and together, each against none on the same ten seeds: means, paired t and Wilcoxon's sum."""
+    a, b, features = _cohorts(spark, d)
+    own = _edges(a).where("view = 'strong'")
+    groups = spark.createDataFrame([(f, f"chain{i // 2}", f"ring{i % 8}") for i, f in enumerate(features)], "node string, chain string, ring string")
+    priors = None
+    for view, column in (("pathway", "chain"), ("set", "ring")):
+        part = graph.inside_groups(groups.select(column, "node"), column, "node", view, 0.2).select(F.col("edge_type").alias("view"), "src", "dst", "weight")
+        priors = part if priors is None else priors.union(part)
+    sets = {"baseline": ["strong"], "pathway": ["strong", "pathway"], "set": ["strong", "set"], "both": ["strong", "pathway", "set"]}
+    table = _edge_sets(spark, d, stored(own.union(priors), "prior-edges"), a, b, features, sets, list(range(1, 11)), 12)
+    pairs = stored(evaluation.metric_pairs(table, "variant", "baseline", ["seed"], "auroc"), "prior-pairs")
+    tests = stats.paired_t(pairs, ["variant"], "a", "b").join(stats.signed_rank(pairs, ["variant"], "a", "b").select("variant", "w"), "variant", "left")
+    return rounded(tests.join(table.groupBy("variant").agg(F.avg("auroc").alias("auroc"), F.avg("mcc").alias("mcc")), "variant"), ["mean_diff", "t", "w", "auroc", "mcc"], 4)
+
+
 @query()
 def fusion_view_weights(spark: SparkSession, d: str) -> DataFrame:
     """The weights that learned fusions give their views."""

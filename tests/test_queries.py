@@ -50,7 +50,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 #: Half a minute and more each; their operators are held on fixtures in test_spectral, test_training and test_models. SLOW=1 runs them here as well.
-SLOW = {"baselines_cv", "halving_search", "walk_embedding_coupling", "random_walk_cooccurrence", "contextual_permutation_null", "multiview_paired_tests", "multiview_fusion", "fusion_view_weights"}
+SLOW = {"baselines_cv", "halving_search", "walk_embedding_coupling", "random_walk_cooccurrence", "contextual_permutation_null", "multiview_paired_tests", "multiview_fusion", "fusion_view_weights", "edge_type_importance", "prior_edge_variants"}
 
 
 @pytest.mark.parametrize("name", sorted(set(base.QUERIES) - set(base.ORACLES) - (set() if os.environ.get("SLOW") else SLOW)))
