@@ -60,8 +60,10 @@ def tiles(rows: DataFrame, order: list[Column], n: int, out: str = "tile") -> Da
 
 
 def average_ranks(rows: DataFrame, columns: list[str], groups: list[str] | None = None, prefix: str = "_rank_") -> DataFrame:
-    """``rows`` with the rank of each column's value, ties sharing their mean. Distinct values are ranked with their counts, so ties do not meet in a task."""
-    groups = groups or []
+    """``rows`` with the rank of each column's value, ties sharing their mean. Distinct values are ranked with their counts, so ties do not meet in a task.
+
+    The rows are stored first: ranks are joined to them by value, and a sum or mean that is computed again may differ in its last bit."""
+    groups, rows = groups or [], stored(rows, "rank-rows")
     for c in columns:
         counted = rows.groupBy(*groups, c).agg(F.count("*").alias("_tg_n"))
         placed = running(counted, [F.asc(c)], groups, None, {"_tg_before": "_tg_n"})
