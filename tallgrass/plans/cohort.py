@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import special
 from tallgrass.functions.expr import corr, corr_t, ratio
+from tallgrass.functions.store import stored
 from tallgrass.operators import evidence, labels, matrix as mx, scores as sc, stats
 from tallgrass.plans.base import CELLS, EVENTS, MATRIX, MODULES, SCORED, WIDED, cells, event_counts, matrix, modules, query, read, rounded
 
@@ -99,6 +100,11 @@ def _wide(spark: SparkSession, d: str) -> DataFrame:
     return sc.score_table(_module_scores(spark, d), ["sample"], ["m1", "m2", "m3", "m4"])
 
 
+def _fixed_wide(spark: SparkSession, d: str) -> DataFrame:
+    """The scores, stored: thresholds are fitted to the very values that are held against them, and the matrix is built once for all passes."""
+    return stored(_wide(spark, d), "wide-scores")
+
+
 @query(f"WITH {SCORED} SELECT sample, module, round(score, 6) AS score, n_features FROM scores")
 def module_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_module_scores(spark, d), ["score"])
@@ -192,7 +198,7 @@ def _states(rows: str, t: str) -> str:
 
 @query(f"WITH {WIDED} {_states('wide', 'wide')}")
 def state_labels(spark: SparkSession, d: str) -> DataFrame:
-    wide = _wide(spark, d)
+    wide = _fixed_wide(spark, d)
     return labels.immune_states(wide, labels.fit_thresholds(wide, ["m1", "m2", "m3", "m4"]), "m1", "m2", "m3", "m4").select("sample", "state")
 
 
