@@ -85,8 +85,11 @@ def smallest_from_here(rows: DataFrame, value: str, order: list[Column], groups:
     same = F.col("_tg_part") == F.col("_tg_at")
     for i, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"_tg_g{i}"))
-    here = Window.partitionBy("_tg_part", *groups).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return ranged.join(later, same).select(*[F.col(f"`{c}`") for c in rows.columns], F.least("_tg_later", F.min(value).over(here)).alias(out))
+    own = Window.partitionBy("_tg_part", *groups)
+    # from the last row down: a frame that grows is added to row by row, one that shrinks is computed anew for each row
+    numbered = ranged.join(later, same).withColumn("_tg_row", F.row_number().over(own.orderBy(*order)))
+    here = own.orderBy(F.desc("_tg_row")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return numbered.select(*[F.col(f"`{c}`") for c in rows.columns], F.least("_tg_later", F.min(value).over(here)).alias(out))
 
 
 def _clusters(places: list[int], near: float) -> list[list[int]]:

@@ -16,3 +16,10 @@ def test_ranks_are_joined_to_the_values_that_were_ranked(spark):
     rows = spark.range(200).select("id", drawn("id").alias("x"))
     got = order.average_ranks(rows, ["x"]).collect()
     assert sorted(r["_rank_x"] for r in got) == [float(i + 1) for i in range(200)]
+
+def test_smallest_from_here_looks_back_only(spark):
+    rows = spark.range(50).select("id", ((F.col("id") * 7) % 13).alias("w"))
+    found = order.smallest_from_here(rows, "w", [F.asc("id")])
+    assert "UnboundedFollowing" not in found._jdf.queryExecution().toString().replace("unboundedfollowing$", "UnboundedFollowing")
+    want = [min((j * 7) % 13 for j in range(i, 50)) for i in range(50)]
+    assert [r["least"] for r in found.orderBy("id").collect()] == want
