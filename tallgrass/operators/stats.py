@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallgrass.functions.expr import corr, corr_t, fisher_ci, partial_corr, ratio
+from tallgrass.functions.store import stored
 from tallgrass.operators.order import average_ranks, quantiles, running, smallest_from_here
 
 
@@ -111,9 +112,31 @@ def random_effects(effects: DataFrame, groups: list[str], effect: str = "effect"
 
 
 def leave_one_out(effects: DataFrame, group: str, effect: str = "effect", se: str = "se") -> DataFrame:
-    """The meta-analysis without each group in turn: (excluded, ...). The effects are a row for each group; so is what is broadcast."""
-    excluded = effects.select(F.col(group).alias("excluded"))
-    return random_effects(effects.join(F.broadcast(excluded), F.col(group) != F.col("excluded")), ["excluded"], effect, se)
+    """The meta-analysis without each group in turn: (excluded, ...). The effects are a row for each group; a null group has no part.
+
+    What is left without a group is the sum over all less its own part. For the pooled effect, whose weights change with each group's tau2, studies with equal standard errors are added up
+    first, so a group meets a row for each distinct standard error and not all other groups. An effect or weight that is no finite number makes the others' results NaN."""
+    w, e = 1 / (F.col(se) * F.col(se)), F.col(effect).cast("double")
+    rows = effects.where(F.col(group).isNotNull()).select(F.col(group).alias("excluded"), e.alias("_e"), F.col(se).cast("double").alias("_se"), w.alias("_w"))
+    bad = F.coalesce(F.isnan("_e") | (F.abs("_e") == float("inf")), F.lit(False)) | F.coalesce(F.isnan("_w") | (F.abs("_w") == float("inf")), F.lit(False))
+    rows = rows.withColumns({"_bad": bad.cast("int"), "_e": F.when(~bad, F.col("_e")), "_w": F.when(~bad, F.col("_w"))})
+    parts = {"w1": F.col("_w"), "w2": F.col("_w") * F.col("_w"), "we": F.col("_w") * F.col("_e"), "wee": F.col("_w") * F.col("_e") * F.col("_e")}
+    parts = {n: F.coalesce(x, F.lit(0.0)) for n, x in parts.items()}
+    rows = stored(rows.withColumns(parts), "left-out-effects")
+    total = rows.agg(F.count("*").alias("_k"), F.sum("_bad").alias("_n_bad"), *[F.sum(n).alias(f"_{n}") for n in parts])  # a row
+    k, none = F.col("_k") - 1, F.when(F.col("_n_bad") > F.col("_bad"), F.lit(float("nan"))).otherwise(0.0)
+    left = rows.join(F.broadcast(total)).where("_k > 1").select("excluded", "_e", "_se", "_bad", "_n_bad", k.alias("k"), *[(F.col(f"_{n}") - F.col(n) + none).alias(n) for n in parts])
+    q = F.when(F.col("k") > 1, F.greatest(F.lit(0.0), F.col("wee") - F.col("we") * F.col("we") / F.col("w1"))).otherwise(0.0)
+    c, free = F.col("w1") - F.col("w2") / F.col("w1"), (F.col("k") - 1).cast("double")
+    tau2 = F.when((F.col("k") > 1) & (F.col("c") > 0), F.greatest(F.lit(0.0), (F.col("q") - free) / F.when(F.col("c") > 0, F.col("c")))).otherwise(0.0)
+    i2 = F.when(F.col("q") > free, 100 * (F.col("q") - free) / F.when(F.col("q") > 0, F.col("q"))).otherwise(0.0)
+    summed = left.withColumns({"q": q, "c": c}).withColumns({"tau2": tau2, "i2": i2})
+    alike = rows.where("_bad = 0 and _se is not null").groupBy(F.col("_se").alias("_s")).agg(F.count("*").alias("_times"), F.coalesce(F.sum("_e"), F.lit(0.0)).alias("_es"))
+    v = 1 / (F.col("_s") * F.col("_s") + F.col("tau2"))
+    own = F.when((F.col("_bad") == 0) & (F.col("_s") == F.col("_se")), 1).otherwise(0)  # the group itself is taken out where its standard error is met
+    met = summed.crossJoin(alike).withColumns({"_v": v * (F.col("_times") - own), "_ve": v * (F.col("_es") - own * F.coalesce("_e", F.lit(0.0)))})
+    done = met.groupBy("excluded", "k", "q", "c", "tau2", "i2").agg((F.sum("_ve") / F.sum("_v")).alias("pooled"), F.sqrt(1 / F.sum("_v")).alias("pooled_se"))
+    return done.withColumn("z", F.col("pooled") / F.col("pooled_se"))
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, ties: str, groups: list[str] | None = None, out: str = "q") -> DataFrame:

@@ -23,3 +23,43 @@ def test_smallest_from_here_looks_back_only(spark):
     assert "UnboundedFollowing" not in found._jdf.queryExecution().toString().replace("unboundedfollowing$", "UnboundedFollowing")
     want = [min((j * 7) % 13 for j in range(i, 50)) for i in range(50)]
     assert [r["least"] for r in found.orderBy("id").collect()] == want
+
+def effects(spark, rows):
+    return spark.createDataFrame(rows, "sample long, effect double, se double")
+
+
+def brute_left_out(rows):
+    out = {}
+    for own in rows:
+        e, s = (np.array([r[i] for r in rows if r[0] != own[0]]) for i in (1, 2))
+        w, k = 1 / s**2, len(e)
+        q, c = max(0.0, (w * e * e).sum() - (w * e).sum() ** 2 / w.sum()), w.sum() - (w * w).sum() / w.sum()
+        tau2 = max(0.0, (q - (k - 1)) / c) if k > 1 and c > 0 else 0.0
+        v = 1 / (s**2 + tau2)
+        out[own[0]] = (k, q if k > 1 else 0.0, tau2, (v * e).sum() / v.sum(), (1 / v.sum()) ** 0.5)
+    return out
+
+
+@pytest.mark.parametrize("n", [2, 3, 60])
+def test_leave_one_out_is_the_meta_analysis_of_the_others(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, float(rng.normal(0, 1)), float(rng.choice([0.1, 0.2, 0.5, 0.31]))) for i in range(n)]
+    got = {r["excluded"]: (r["k"], r["q"], r["tau2"], r["pooled"], r["pooled_se"]) for r in stats.leave_one_out(effects(spark, rows), "sample").collect()}
+    want = brute_left_out(rows)
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-9)
+
+
+def test_leave_one_out_never_pairs_the_groups(spark):
+    """10,000 groups with four standard errors are 40,000 rows, not 100,000,000."""
+    rows = spark.range(10_000).select(F.col("id").alias("sample"), ((F.col("id") % 7) / 7.0).alias("effect"), (0.1 + (F.col("id") % 4) / 10.0).alias("se"))
+    plan = stats.leave_one_out(rows, "sample")._jdf.queryExecution().optimizedPlan().toString()
+    assert "NOT (sample" not in plan
+    assert stats.leave_one_out(rows, "sample").count() == 10_000
+
+
+def test_an_infinite_effect_touches_the_others_only(spark):
+    rows = [(0, math.inf, 0.1), (1, 0.5, 0.1), (2, 0.7, 0.2)]
+    got = {r["excluded"]: r["pooled"] for r in stats.leave_one_out(effects(spark, rows), "sample").collect()}
+    assert got[0] == pytest.approx(brute_left_out(rows[1:] + [(9, 0, 1)])[9][3]) and math.isnan(got[1]) and math.isnan(got[2])
