@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions.expr import ratio
+from tallgrass.functions.store import stored
 from tallgrass.operators import blocks
 
+#: Members of a part of a group, and rows of a task that reduces edges.
+_PART, _EDGES = 2048, 200_000
+
 
 def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes."""
@@ -23,9 +27,19 @@ def across(left: DataFrame, right: DataFrame, edge_type: str, weight: float, nod
 
 
 def inside_groups(members: DataFrame, group: str, node: str, edge_type: str, weight: float) -> DataFrame:
-    """An edge for each unordered pair of members of the same small group (a module)."""
-    a, b = members.select(group, F.col(node).alias("src")), members.select(group, F.col(node).alias("dst"))
-    return a.join(b, group).where("src < dst").select("src", "dst", F.lit(edge_type).alias("edge_type"), F.lit(weight).alias("weight")).distinct()
+    """An edge for each unordered pair of members of the same group, once, however often the members are listed and share groups.
+
+    Members are made distinct before they are paired. A group of many members is cut into parts of about ``_PART``, and each pair of parts is a key of its own, so no task has a group whole."""
+    own = stored(members.where(F.col(group).isNotNull() & F.col(node).isNotNull()).select(F.col(group).alias("_g"), F.col(node).alias("_n")).distinct(), "group-members")
+    sizes = own.groupBy("_g").agg(F.ceil(F.count("*") / F.lit(_PART)).cast("int").alias("_parts"))
+    dealt = own.join(sizes, "_g").withColumn("_i", F.pmod(F.xxhash64("_n"), F.col("_parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    a = dealt.select("_g", F.col("_n").alias("src"), "_i", other.alias("_j"))
+    b = dealt.select("_g", F.col("_n").alias("dst"), other.alias("_i"), F.col("_i").alias("_j"))
+    pairs = a.join(b, ["_g", "_i", "_j"]).where("src < dst").select("src", "dst")
+    if not own.groupBy("_n").count().where("count > 1").isEmpty():  # two members may share several groups
+        pairs = pairs.distinct()
+    return pairs.select("src", "dst", F.lit(edge_type).alias("edge_type"), F.lit(weight).alias("weight"))
 
 
 def canonical(edges: DataFrame) -> DataFrame:

@@ -63,3 +63,14 @@ def test_an_infinite_effect_touches_the_others_only(spark):
     rows = [(0, math.inf, 0.1), (1, 0.5, 0.1), (2, 0.7, 0.2)]
     got = {r["excluded"]: r["pooled"] for r in stats.leave_one_out(effects(spark, rows), "sample").collect()}
     assert got[0] == pytest.approx(brute_left_out(rows[1:] + [(9, 0, 1)])[9][3]) and math.isnan(got[1]) and math.isnan(got[2])
+
+def test_groups_are_paired_part_by_part(spark, monkeypatch):
+    rows = [(g, f"n{k:03}") for g in range(2) for k in range(40) for _ in range(3)] + [(None, "x"), (1, None)]
+    members = spark.createDataFrame(rows, "g int, n string")
+    want = sorted((f"n{i:03}", f"n{j:03}") for i in range(40) for j in range(i + 1, 40))
+    for part in (2048, 7):
+        monkeypatch.setattr(graph, "_PART", part, raising=False)
+        found = graph.inside_groups(members, "g", "n", "axis", 0.3)
+        assert sorted((r["src"], r["dst"]) for r in found.collect()) == want
+    # copies of members are gone before they are paired: the join has no copy of a pair but for the two groups
+    assert "group-members" in " ".join(found.inputFiles())
