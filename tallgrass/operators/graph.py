@@ -48,7 +48,9 @@ def canonical(edges: DataFrame) -> DataFrame:
 
 
 def reduce_max(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return canonical(edges).groupBy(*(by or []), "src", "dst").agg(F.max("weight").alias("weight"))
+    """The largest weight of each pair. Pairs hardly repeat inside a task's rows, so they are dealt first, and as many tasks as the rows need each have about ``_EDGES`` of them."""
+    n = max(1, -(-edges.count() // _EDGES))
+    return canonical(edges).repartition(n, "src", "dst").groupBy(*(by or []), "src", "dst").agg(F.max("weight").alias("weight"))
 
 
 def reduce_last(edges: DataFrame, order: str, coefficients: DataFrame) -> DataFrame:
@@ -58,8 +60,9 @@ def reduce_last(edges: DataFrame, order: str, coefficients: DataFrame) -> DataFr
 
 
 def views(edges: DataFrame, assignment: DataFrame) -> DataFrame:
-    """(view, src, dst, weight): edge types are assigned to views (edge_type, view); the largest weight of a pair counts."""
-    return reduce_max(edges.join(assignment, "edge_type"), ["view"])
+    """(view, src, dst, weight): edge types are assigned to views (edge_type, view); the largest weight of a pair counts. The assignment is declared, a row for each type, and is
+    broadcast: dealt by type, all edges would meet in as many tasks as there are types."""
+    return reduce_max(edges.join(F.broadcast(assignment), "edge_type"), ["view"])
 
 
 def view_problems(edges: DataFrame, assignment: DataFrame) -> DataFrame:

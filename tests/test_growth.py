@@ -17,6 +17,7 @@ def test_ranks_are_joined_to_the_values_that_were_ranked(spark):
     got = order.average_ranks(rows, ["x"]).collect()
     assert sorted(r["_rank_x"] for r in got) == [float(i + 1) for i in range(200)]
 
+
 def test_smallest_from_here_looks_back_only(spark):
     rows = spark.range(50).select("id", ((F.col("id") * 7) % 13).alias("w"))
     found = order.smallest_from_here(rows, "w", [F.asc("id")])
@@ -24,6 +25,7 @@ def test_smallest_from_here_looks_back_only(spark):
     want = [min((j * 7) % 13 for j in range(i, 50)) for i in range(50)]
     assert [r["least"] for r in found.orderBy("id").collect()] == want
 
+
 def effects(spark, rows):
     return spark.createDataFrame(rows, "sample long, effect double, se double")
 
@@ -64,6 +66,7 @@ def test_an_infinite_effect_touches_the_others_only(spark):
     got = {r["excluded"]: r["pooled"] for r in stats.leave_one_out(effects(spark, rows), "sample").collect()}
     assert got[0] == pytest.approx(brute_left_out(rows[1:] + [(9, 0, 1)])[9][3]) and math.isnan(got[1]) and math.isnan(got[2])
 
+
 def test_groups_are_paired_part_by_part(spark, monkeypatch):
     rows = [(g, f"n{k:03}") for g in range(2) for k in range(40) for _ in range(3)] + [(None, "x"), (1, None)]
     members = spark.createDataFrame(rows, "g int, n string")
@@ -74,3 +77,11 @@ def test_groups_are_paired_part_by_part(spark, monkeypatch):
         assert sorted((r["src"], r["dst"]) for r in found.collect()) == want
     # copies of members are gone before they are paired: the join has no copy of a pair but for the two groups
     assert "group-members" in " ".join(found.inputFiles())
+
+
+def test_views_do_not_deal_edges_by_type(spark):
+    edges = spark.createDataFrame([("a", "b", "A", 1.0), ("b", "a", "A", 2.0), ("a", "c", "N", 3.0), ("a", "a", "N", 3.0)], "src string, dst string, edge_type string, weight double")
+    assigned = spark.createDataFrame([("A", "open"), ("N", "open")], "edge_type string, view string")
+    found = graph.views(edges, assigned)
+    assert sorted(tuple(r) for r in found.collect()) == [("open", "a", "b", 2.0), ("open", "a", "c", 3.0)]
+    assert "hashpartitioning(edge_type" not in found._jdf.queryExecution().executedPlan().toString()
