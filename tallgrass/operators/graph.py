@@ -170,11 +170,7 @@ def corr_edges(long: DataFrame, least: float, sample: str = "sample", feature: s
 
 def jaccard_counts(sets: DataFrame, least: float, term: str = "term", item: str = "item") -> DataFrame:
     """What ``jaccard_join`` gives, for a low ``least`` or sets that share most items: there prefixes are almost the sets, and all pairs are counted from products of blocks instead."""
-    members = sets.select(term, item).distinct()
-    size = members.groupBy(term).agg(F.count("*").alias("n"))
-    both = blocks.pairs(members.withColumn("value", F.lit(1.0)), None, item, term).where("src <> dst").select("src", "dst", F.col("n").alias("shared"))
-    sized = both.join(size.withColumnsRenamed({term: "src", "n": "n1"}), "src").join(size.withColumnsRenamed({term: "dst", "n": "n2"}), "dst")
-    return sized.select("src", "dst", "shared", ratio("shared", F.col("n1") + F.col("n2") - F.col("shared")).alias("jaccard")).where(F.col("jaccard") >= least)
+    return blocks.shared_items(sets, least, term, item)
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

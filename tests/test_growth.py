@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallgrass.operators import graph, order, stats  # noqa: F401
+from tallgrass.operators import blocks, graph, order, stats  # noqa: F401
 
 
 def test_ranks_are_joined_to_the_values_that_were_ranked(spark):
@@ -85,3 +85,16 @@ def test_views_do_not_deal_edges_by_type(spark):
     found = graph.views(edges, assigned)
     assert sorted(tuple(r) for r in found.collect()) == [("open", "a", "b", 2.0), ("open", "a", "c", 3.0)]
     assert "hashpartitioning(edge_type" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("width", "per_chunk"), [(256, 4096), (4, 3), (4, 1)])
+def test_sets_are_counted_block_by_block(spark, width, per_chunk):
+    rng = np.random.default_rng(5)
+    rows = [(f"t{k:02}", int(i)) for k in range(23) for i in rng.choice(40, rng.integers(1, 25))]
+    own = {}
+    for t, i in rows:
+        own.setdefault(t, set()).add(i)
+    want = {(a, b): len(own[a] & own[b]) for a in own for b in own if a < b and len(own[a] & own[b]) / len(own[a] | own[b]) >= 0.2}
+    found = blocks.shared_items(spark.createDataFrame([*rows, (None, 1), ("t00", None)], "term string, item long"), 0.2, width=width, per_chunk=per_chunk)
+    got = {(r["src"], r["dst"]): r["shared"] for r in found.collect()}
+    assert got == want and found.schema.simpleString() == "struct<src:string,dst:string,shared:bigint,jaccard:double>"
