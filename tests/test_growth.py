@@ -7,7 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallgrass.operators import blocks, graph, order, stats  # noqa: F401
+import __spark_entry__  # noqa: F401 (registers the queries)
+from tallgrass.operators import blocks, graph, order, spectral, stats
+from tallgrass.plans import base
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_ranks_are_joined_to_the_values_that_were_ranked(spark):
@@ -98,3 +102,9 @@ def test_sets_are_counted_block_by_block(spark, width, per_chunk):
     found = blocks.shared_items(spark.createDataFrame([*rows, (None, 1), ("t00", None)], "term string, item long"), 0.2, width=width, per_chunk=per_chunk)
     got = {(r["src"], r["dst"]): r["shared"] for r in found.collect()}
     assert got == want and found.schema.simpleString() == "struct<src:string,dst:string,shared:bigint,jaccard:double>"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_labels_are_read_from_the_scores_that_were_fitted(spark):
+    for name in ("state_labels", "state_labels_frozen_thresholds", "state_distribution"):
+        assert all("wide-scores" in f for f in base.QUERIES[name](spark, DATA).inputFiles())
