@@ -104,6 +104,22 @@ def test_sets_are_counted_block_by_block(spark, width, per_chunk):
     assert got == want and found.schema.simpleString() == "struct<src:string,dst:string,shared:bigint,jaccard:double>"
 
 
+def test_blocks_of_nodes_give_the_singular_values(spark, monkeypatch):
+    """More blocks than are added up at a time, and one view without most of them."""
+    monkeypatch.setattr(spectral, "_BLOCK", 2)
+    rng = np.random.default_rng(1)
+    rows = [("a", f"n{i:02}", f"n{j:02}", float(rng.random() + 0.1)) for i in range(68) for j in range(i) if rng.random() < 0.2] + [("b", "x", "y", 1.0), ("b", "y", "z", 1.0)]
+    found = spectral.embed(spark.createDataFrame(rows, "view string, src string, dst string, weight double"), 4, rounds=3)
+    m = np.zeros((68, 68))
+    for v, s, d, w in rows:
+        if v == "a":
+            m[int(s[1:]), int(d[1:])] = m[int(d[1:]), int(s[1:])] = w
+    root = np.sqrt(m.sum(1))
+    want = np.sort(np.abs(np.linalg.eigvalsh(m / root[:, None] / root)))[::-1][:3]
+    assert found.values["a"][:3] == pytest.approx(want, rel=1e-3) and found.values["b"][:2] == pytest.approx([1, 1], rel=1e-9)
+    assert found.vectors.count() == 71
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 def test_labels_are_read_from_the_scores_that_were_fitted(spark):
     for name in ("state_labels", "state_labels_frozen_thresholds", "state_distribution"):
