@@ -1,14 +1,16 @@
 """Steps whose work has to follow their input: what they give, and that no task or pass has more than its share."""
 
+import hashlib
 import math
 import os
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401 (registers the queries)
-from tallgrass.operators import blocks, graph, order, spectral, stats
+from tallgrass.operators import blocks, graph, nulls, order, spectral, stats
 from tallgrass.plans import base
 
 DATA = "/root/testdata/sf0.001"
@@ -124,3 +126,24 @@ def test_blocks_of_nodes_give_the_singular_values(spark, monkeypatch):
 def test_labels_are_read_from_the_scores_that_were_fitted(spark):
     for name in ("state_labels", "state_labels_frozen_thresholds", "state_distribution"):
         assert all("wide-scores" in f for f in base.QUERIES[name](spark, DATA).inputFiles())
+
+
+def test_permutations_over_a_grid_in_rounds_and_stretches(spark, monkeypatch):
+    """Rows that are ranked do not grow with the number of permutations; stretches, chunks and rounds give what the whole gives."""
+    rng, seen, ranked = random.Random(5), [], nulls.running
+    nodes = [(i * 3, rng.random() if i % 9 else None, float(i % 4)) for i in range(90)]
+    edges = [(i * 3, j * 3) for i in range(90) for j in range(i) if rng.random() < 0.05]
+    for name, size in (("_NODES", 20), ("_CHUNK", 8), ("_ROUND", 270), ("_PART", 40)):
+        monkeypatch.setattr(nulls, name, size, raising=False)
+    monkeypatch.setattr(nulls, "running", lambda rows, *a, **k: (seen.append(rows.count()), ranked(rows, *a, **k))[1])
+    values, links = spark.createDataFrame(nodes, "node long, a double, b double"), spark.createDataFrame(edges, "src long, dst long")
+    got = {r["perm"]: r["adjacency"] for r in nulls.permuted_adjacency(links, values, 7, 42, "a", "b", "node").collect()}
+    b, names, want = {i: x for i, _, x in nodes}, [i for i, _, _ in nodes], {}
+    for perm in range(8):
+        dealt = names if perm == 0 else sorted(names, key=lambda i: (hashlib.md5(f"42:{perm}:{i}".encode()).hexdigest(), i))
+        a = {i: dict((k, v or 0.0) for k, v, _ in nodes)[j] for i, j in zip(names, dealt)}
+        want[perm] = sum(a[i] * b[j] + a[j] * b[i] for i, j in edges) / (2 * len(edges))
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+    assert max(seen) <= 90
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert nulls.permuted_adjacency(links.where("false"), values, 2, 42, "a", "b", "node").count() == 0
