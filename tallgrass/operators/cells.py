@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions.expr import draw_key, ratio
-from tallgrass.functions.store import stored
-from tallgrass.operators.order import running, tiles
+from tallgrass.operators.order import tiles
+
+#: Vectors of a block, queries that a task multiplies at a time, and what six digits and the rounding of a product can move a similarity.
+_VECTORS, _QUERIES, _MARGIN = 8192, 32, 2e-6
 
 
 def qc_metrics(counts: DataFrame, prefix: str, cell: str = "cell", feature: str = "feature") -> DataFrame:
@@ -99,16 +106,77 @@ def spot_scores(counts: DataFrame, modules: DataFrame, spots: DataFrame, spot: s
     return grid.join(sums, [spot, "module"], "left").select(spot, "module", (F.log1p(part) / F.col("_k")).alias("score"))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, ident: str, vector: str, block: int = 4096) -> DataFrame:
-    """(query, neighbour, similarity, rank): the k most similar vectors by cosine for a stated set of queries. Every vector is compared with every query; ``block`` queries are broadcast at a time, each time over one
-    reading of the vectors, and a block's best are kept before the next."""
-    from tallgrass.operators.graph import cosine
-
-    numbered = stored(running(queries.select(F.col(ident).alias("_q"), F.col(vector).alias("_qv")), [F.asc("_q")], None, "_at"), "knn-queries")
-    n, order, out = numbered.agg(F.max("_at").alias("n")).first()["n"] or 0, Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"), None
-    for first in range(0, max(n, 1), block):
-        some = F.broadcast(numbered.where((F.col("_at") > first) & (F.col("_at") <= first + block)).drop("_at"))
-        scored = vectors.join(some).where(F.col(ident) != F.col("_q")).select(F.col("_q").alias("query"), F.col(ident).alias("neighbour"), F.round(cosine("_qv", vector), 6).alias("similarity"))
-        best = scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
-        out = best if out is None else out.union(best)
+def _filled(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors as a matrix, short ones filled up with zeros, and their lengths: -1 for a vector that is null or holds a null."""
+    rows = column.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, row = pc.list_flatten(rows), np.repeat(np.arange(len(size)), size)
+    out = np.zeros((len(size), int(size.max(initial=0))))
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False)
+    size[rows.is_null().to_numpy(zero_copy_only=False)] = -1
+    size[row[flat.is_null().to_numpy(zero_copy_only=False)]] = -1
+    return out, size
+
+
+def _folded(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The scalar products of rows i of a and j of b, added up from the first place on, as ``graph.dot`` does."""
+    out = np.zeros(len(i))
+    for k in range(min(a.shape[1], b.shape[1])):
+        out = out + a[i, k] * b[j, k]
     return out
+
+
+def _six_digits(x: np.ndarray) -> np.ndarray:
+    """As ``round`` does: halves of the shortest decimal form go up, away from zero."""
+    scaled = np.abs(x) * 1e6
+    out = np.floor(scaled + 0.5)
+    for i in np.nonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6)[0]:
+        out[i] = int(Decimal(repr(abs(float(x[i])))).scaleb(6).to_integral_value(ROUND_HALF_UP))
+    return np.copysign(out, x)
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, ident: str, vector: str, block: int = 4096) -> DataFrame:
+    """(query, neighbour, similarity, rank): the k most similar vectors by cosine for a stated set of queries. Every vector is compared with every query: a block of vectors and one of ``block`` queries are a key,
+    and a task multiplies them as matrices, some queries at a time. Pairs within ``_MARGIN`` of the k-th best of a block get their exact cosine, and the k best by it, in six digits, are kept of each block.
+
+    Similarities that are not defined (a vector is zero, null or holds a null, or lengths differ) are null and come last; NaN comes first; rows without id are left out."""
+    every = vectors.where(F.col(ident).isNotNull()).select(F.col(ident).alias("_n"), F.col(vector).cast("array<double>").alias("_v"))
+    asked = queries.where(F.col(ident).isNotNull()).select(F.col(ident).alias("_q"), F.col(vector).cast("array<double>").alias("_v"))
+    n_left, n_right = max(1, -(-every.count() // _VECTORS)), max(1, -(-asked.count() // block))
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    left = every.select(F.pmod(F.xxhash64("_n"), F.lit(n_left)).alias("_i"), F.explode(numbers(n_right)).alias("_j"), "_n", "_v")
+    right = asked.select(F.explode(numbers(n_left)).alias("_i"), F.pmod(F.xxhash64("_q"), F.lit(n_right)).alias("_j"), "_q", "_v")
+
+    def best(some: pa.Table, wanted: pa.Table) -> pa.Table:
+        (v, nv), (q, nq) = _filled(some.column("_v")), _filled(wanted.column("_v"))
+        names, asks = (t.column(c).to_numpy() for t, c in ((some, "_n"), (wanted, "_q")))
+        width = min(v.shape[1], q.shape[1])
+        lv, lq = (np.sqrt(_folded(x, at, x, at)) for x, at in ((v, np.arange(len(v))), (q, np.arange(len(q)))))
+        place = np.argsort(np.argsort(names, kind="stable"), kind="stable")
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        with np.errstate(all="ignore"):
+            for first in range(0, len(q) if len(v) else 0, _QUERIES):
+                at = np.arange(first, min(first + _QUERIES, len(q)))
+                size = lq[at][:, None] * lv[None, :]
+                near = (q[at, :width] / lq[at][:, None]) @ (v[:, :width] / lv[:, None]).T
+                near[~np.isfinite(near)] = np.inf
+                none = (nq[at][:, None] != nv[None, :]) | (nq[at] < 0)[:, None] | (size == 0)
+                near[none] = -np.inf
+                own = asks[at][:, None] == names[None, :]
+                near[own] = -np.inf
+                least = np.partition(near, len(v) - k, axis=1)[:, len(v) - k] if len(v) > k else np.full(len(at), -np.inf)
+                i, j = np.nonzero((near >= (least - _MARGIN)[:, None]) & ~own)
+                exact = _folded(q, at[i], v, j) / size[i, j]
+                by = np.where(none[i, j], -np.inf, np.where(np.isnan(exact), np.inf, _six_digits(np.where(np.isfinite(exact), exact, 0.0))))
+                order = np.lexsort((place[j], -by, i))
+                rank = np.arange(len(order)) - np.searchsorted(i[order], i[order])
+                kept = order[rank < k]
+                found.append((at[i[kept]], j[kept], np.where(none[i[kept], j[kept]], np.inf, exact[kept])))
+        i, j, s = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query": wanted.column("_q").take(pa.array(i)), "neighbour": some.column("_n").take(pa.array(j)), "similarity": pa.array(s, mask=np.isinf(s))})
+
+    kind = {c: t.schema[c].dataType.simpleString() for t, c in ((every, "_n"), (asked, "_q"))}
+    scored = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(best, f"query {kind['_q']}, neighbour {kind['_n']}, similarity double")
+    order = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")  # k rows of each block
+    rounded = scored.withColumn("similarity", F.round("similarity", 6))
+    return rounded.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallgrass.operators import cells, evaluation, models
+from tallgrass.operators import cells, evaluation, graph, models
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +48,19 @@ def test_neighbours_of_stated_queries(spark, rows, block):
         near = sorted(((round(float(unit[q] @ unit[j]), 6), j) for j in range(90) if j != q), key=lambda p: (-p[0], p[1]))[:4]
         assert [got[q, k + 1] for k in range(4)] == [(j, pytest.approx(s)) for s, j in near]
     assert cells.knn(df, df.where("false"), 4, "id", "v").count() == 0
+
+
+def test_neighbours_by_products_of_blocks(spark, monkeypatch):
+    """Copies, zero vectors, nulls and lengths that differ, by blocks that are much smaller than the table; and no join of vectors with queries is left."""
+    rng = np.random.default_rng(4)
+    x = [rng.integers(-2, 3, 3).astype(float).tolist() for _ in range(120)] + [[0.0, 0.0, 0.0], None, [1.0, None, 2.0], [1.0, 2.0], [float("nan"), 1.0, 1.0]]
+    df = spark.createDataFrame(list(enumerate(x)), "id int, v array<double>").repartition(3)
+    for name, size in (("_VECTORS", 25), ("_QUERIES", 4)):
+        monkeypatch.setattr(cells, name, size, raising=False)
+    found = cells.knn(df, df.where("id % 10 = 0"), 6, "id", "v", 5)
+    assert "NestedLoopJoin" not in found._jdf.queryExecution().toString() and "CartesianProduct" not in found._jdf.queryExecution().toString()
+    pairs = df.select("id", "v").alias("a").join(df.alias("b"), F.expr("a.id % 10 = 0 and a.id <> b.id")).select(F.col("a.id").alias("query"), F.col("b.id").alias("neighbour"), F.col("a.v").alias("p"), F.col("b.v").alias("q"))
+    scored = pairs.select("query", "neighbour", F.round(graph.cosine("p", "q"), 6).alias("similarity"))
+    order = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
+    want = scored.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 6")
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.select(found.columns).collect()))
