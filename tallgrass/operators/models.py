@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -11,6 +15,9 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions.store import stored
 
+#: Models that are fitted at a time.
+_TOGETHER = 5
+
 
 def baselines(n_features: int, seed: int = 42) -> dict:
     """The estimators by name. The kernel machine is linear here: there is no kernel SVM in pyspark.ml."""
@@ -29,19 +36,24 @@ def assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def cross_validated(rows: DataFrame, columns: list[str], names: list[str], n_folds: int, key: str, seed: int = 42) -> DataFrame:
-    """(key, fold, method, y, score) on held-out folds; the scaler is fitted on the training folds only. ``rows`` has fold and y."""
-    vectors, out = stored(assembled(rows, columns).select(key, "fold", F.col("y").cast("double").alias("y"), "features"), "assembled"), None
+    """(key, fold, method, y, score) on held-out folds; the scaler is fitted on the training folds only. ``rows`` has fold and y. ``_TOGETHER`` models are fitted at a time,
+    as one leaves cores idle between its many short jobs; scores are stored, so metrics that read them several times do not score again."""
+    vectors, jobs = stored(assembled(rows, columns).select(key, "fold", F.col("y").cast("double").alias("y"), "features"), "assembled"), []
     for fold in range(n_folds):
         train, test = vectors.where(F.col("fold") != fold), vectors.where(F.col("fold") == fold)
         scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(train)
         train, test = scaler.transform(train), scaler.transform(test)
-        for name, estimator in baselines(len(columns), seed).items():
-            if name in names:
-                scored = estimator.fit(train).transform(test)
-                score = vector_to_array("probability")[1] if "probability" in scored.columns else 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
-                part = scored.select(key, "fold", F.lit(name).alias("method"), F.col("y").cast("int").alias("y"), score.alias("score"))
-                out = part if out is None else out.union(part)
-    return out
+        jobs += [(name, estimator, train, test) for name, estimator in baselines(len(columns), seed).items() if name in names]
+
+    def score(job: tuple) -> DataFrame:
+        name, estimator, train, test = job
+        scored = estimator.fit(train).transform(test)
+        score = vector_to_array("probability")[1] if "probability" in scored.columns else 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
+        return scored.select(key, "fold", F.lit(name).alias("method"), F.col("y").cast("int").alias("y"), score.alias("score"))
+
+    with ThreadPoolExecutor(_TOGETHER) as pool:
+        parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(score), jobs))
+    return stored(reduce(DataFrame.union, parts), "cross-validated")
 
 
 def transferred(train: DataFrame, test: DataFrame, columns: list[str], name: str, key: str, seed: int = 42) -> DataFrame:

@@ -64,3 +64,10 @@ def test_neighbours_by_products_of_blocks(spark, monkeypatch):
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
     want = scored.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 6")
     assert sorted(map(str, found.collect())) == sorted(map(str, want.select(found.columns).collect()))
+
+
+def test_cross_validated_scores_are_stored(rows):
+    """Reading the scores again does not score again: no model is left in the plan."""
+    _, df = rows
+    plan = models.cross_validated(df, ["a", "b", "c"], ["elastic_net"], 2, "id")._jdf.queryExecution().toString()
+    assert "UDF" not in plan and "cross-validated" in plan
