@@ -38,6 +38,15 @@ _CHUNK = 1 << 15
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the ``hashes`` (">u8") have."""
+    counts = np.zeros(_BITS, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = hashes[at : at + _CHUNK]
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The 64-bit fingerprint, unsigned: a bit is set if it is set in over half the shingles' hashes."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z are lowered, only ASCII white space splits
@@ -47,11 +56,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         return _hash(b" ".join(words))
     n = len(words) - shingle + 1
     hashes = np.fromiter(map(_hash, map(b" ".join, zip(*(words[i : n + i] for i in range(shingle)), strict=True))), ">u8", n)
-    counts = np.zeros(_BITS, np.int64)
-    for at in range(0, n, _CHUNK):
-        part = hashes[at : at + _CHUNK]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

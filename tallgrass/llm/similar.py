@@ -1,7 +1,8 @@
-"""Near-duplicate classes by the Jaccard similarity of word shingles, verified on the shingle sets themselves.
+"""Near-duplicate classes by SimHash and MinHash, verified by the Jaccard similarity of word shingles on the shingle sets themselves.
 
-SimHash cannot propose pairs at 0.8: their fingerprints differ in about 10 of 64 bits, and a distance of 16, which would find nearly all, leaves segments
-that tell nothing apart. So candidates come from MinHash: ``BANDS`` bands of ``ROWS`` minima each. A pair of similarity 0.8 shares a band but
+SimHash goes first: fingerprints of the shingle sets that differ in at most two bits are found by their deletion variants (``simhash.links``), and the pairs that they propose are verified. What
+is in one class by then is not compared again. At a similarity of 0.8 fingerprints differ in about 10 of 64 bits, and a distance of 16, which would find nearly all, leaves segments
+that tell nothing apart. So the other candidates come from MinHash: ``BANDS`` bands of ``ROWS`` minima each. A pair of similarity 0.8 shares a band but
 for (1 - 0.8 ** 4) ** 24 = 3 in a million, a pair of 0.3 with a probability of 0.18, and unrelated texts with a common passage hardly ever. Every candidate
 is verified: its shared shingles are at least ``least`` of its union.
 
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallgrass.llm import simhash
 from tallgrass.llm.common import cut, text_key
 from tallgrass.llm.components import connected_components
 
@@ -56,14 +58,15 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key, node, n, bands): node is a hash of the shingle set, n its size."""
+    """(doc_id, key, node, n, fp, bands): node is a hash of the shingle set, n its size, fp its fingerprint."""
 
-    @F.pandas_udf("node long, n int, bands array<long>")
+    @F.pandas_udf("node long, n int, fp long, bands array<long>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingle_set(x, shingle) for x in texts]
             node = np.array([_hash(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"node": node, "n": np.array([len(s) for s in sets], np.int32), "bands": [band_keys(s).view(np.int64) for s in sets]})
+            fps = np.array([simhash.majority(s.astype(">u8")) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"node": node, "n": np.array([len(s) for s in sets], np.int32), "fp": fps, "bands": [band_keys(s).view(np.int64) for s in sets]})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), sign(F.col(text_col)).alias("s"))
     return rows.select("doc_id", "key", "s.*")
@@ -130,10 +133,21 @@ def _blocks(torn: DataFrame, sets: DataFrame, least: float, most_in_block: int)
     return dealt.union(inner).join(sets, "node").groupBy("band", "kind", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
+def _proposed(nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs of ``nodes`` (node, fp) that SimHash proposes. The smallest node of a fingerprint stands for it: it is paired with the others of its fingerprint, and with those that stand for
+    the fingerprints within two bits."""
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    same = nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
+    first, second = (heads.select(F.col("fp").alias(k), F.col("head").alias(to)) for k, to in (("a", "x"), ("b", "y")))
+    near = simhash.links(heads.select("fp")).join(first, "a").join(second, "b").select("x", "y")
+    return same.union(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def links(docs: DataFrame, prints: DataFrame, shingle: int = 5, least: float = 0.8, text_col: str = "text", most_in_band: int = 16, most_in_block: int = 200) -> DataFrame:
     """Verified links (a, b) between the nodes of ``prints``, as many as join all that a band brings together."""
     spark = docs.sparkSession
-    nodes = prints.groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("bands").alias("bands")).where("n > 0")
+    nodes = prints.groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("bands").alias("bands")).where("n > 0")
+    proposed = cut(_proposed(nodes.select("node", "fp")), "similar-proposed")
     shared = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = nodes.select("node", "n", F.explode("bands").alias("band")).repartition(shared, "band")
     leaders = [f("node") for f in (F.min, F.max)] + [f("node", F.xxhash64("node")) for f in (F.min_by, F.max_by)]
@@ -144,11 +158,18 @@ def links(docs: DataFrame, prints: DataFrame, shingle: int = 5, least: float = 0
     pairs = few.select("band", F.col("node").alias("a"), "n").join(few.select("band", F.col("node").alias("b"), F.col("n").alias("m")), "band").where("a < b").where(near).select("a", "b")
     led = crowd.select("node", F.explode(F.array("to0", "to1", "to2", "to3")).alias("to")).where("node <> to")
     pairs = cut(pairs.union(led.select(F.least("node", "to"), F.greatest("node", "to"))).distinct(), "similar-pairs")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct()
+    used = pairs.union(proposed).select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct()
     sets = _sets(docs, nodes.join(used, "node", "left_semi").select("node", "key"), shingle, text_col)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hs").alias("y")), "b")
-    alike = _alike(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), least)
-    found = cut(both.where(alike).select("a", "b"), "similar-links")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hs").alias("y")), "b")
+        return both.where(_alike(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), least)).select("a", "b")
+
+    close = cut(verified(proposed), "similar-close")
+    root = connected_components(close, "similar-closest").select("node", F.col("component").alias("root"))
+    left, right = (root.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
+    apart = pairs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    found = close.union(cut(verified(apart.select("a", "b")), "similar-links"))
     if crowd.isEmpty():
         return found
     roots = connected_components(found, "similar-led").select("node", F.col("component").alias("root"))

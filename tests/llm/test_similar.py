@@ -74,3 +74,18 @@ def test_pipeline_keeps_what_all_pairs_keep(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
     want = [i for i, c in zip(ids, brute.contamination(texts, items)) if not c[1]]
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, DATA).collect()) == want
+
+
+def test_simhash_proposes_what_is_within_two_bits(spark):
+    rng, rows = random.Random(4), []
+    for k in range(12):  # copies with a few bits flipped, and equal fingerprints
+        base = rng.randrange(1 << 63)
+        flips = [0, 0, *(sum(1 << b for b in rng.sample(range(63), n)) for n in (1, 2, 2, 3, 9))]
+        rows += [(100 * k + i, base ^ f) for i, f in enumerate(flips)]
+    got = {tuple(r) for r in similar._proposed(spark.createDataFrame(rows, "node long, fp long")).collect()}
+    heads = {}
+    for node, fp in rows:
+        heads[fp] = min(node, heads.get(fp, node))
+    want = {(heads[fp], node) for node, fp in rows if heads[fp] != node}
+    want |= {tuple(sorted((heads[a], heads[b]))) for a in heads for b in heads if a < b and (a ^ b).bit_count() <= 2}
+    assert got == want and want
