@@ -1,7 +1,9 @@
 """Document scores by a hashed maximum-entropy language model with a class-factored softmax.
 
 log P(word | before) = log P(class | before) + log P(word | class). The class factor is a softmax over hashed features of the three words before: each word by its
-distance (n-gram and skip features), the nearest two together, and the first and third together. The word factor is the smoothed share of the word in its class.
+distance (n-gram and skip features), the nearest two together, and the first and third together. The word factor is a softmax over hashed features as well, in one or two
+steps (``Tree``): a class's most frequent words have outputs of their own, further words have one in a group, and words below a count share one, in which each has its smoothed
+share. A softmax starts from the shares of its outputs, which are its bias, so without weights the word factor is the smoothed share of the word in its class.
 
 1. word counts, by a grouped count;
 2. every token becomes a number of four bytes, and the numbers of each text are stored once; later passes read these only;
@@ -9,10 +11,10 @@ distance (n-gram and skip features), the nearest two together, and the first and
    of the frequent words come shortly before them;
 4. weights, in rounds over all training texts. The texts are dealt into ``updates`` slices by a hash of id and numbers. For each slice in turn, tasks add up the gradient of its
    log-likelihood at the shared weights, the tables are summed over tasks by block of features, 32 at a time, and the weights take one step (adaptive rates). So the
-   weights do not depend on how the texts lie in partitions.
+   weights do not depend on how the texts lie in partitions. Both factors are fitted in the same passes.
 
 The feature table grows with the words counted, up to ``most_features`` rows; the counted words grow without bound. What reaches the driver or is broadcast has sizes fixed by
-parameters: features x classes (4 MB), buckets x signals, and the ``head`` most frequent words. Scoring reads head words in place; the other words of a document are joined with the
+parameters: features x classes and features x outputs (4 MB each), buckets x signals, and the ``head`` most frequent words. Scoring reads head words in place; the other words of a document are joined with the
 stored counts.
 
 Defined cases: a null text is empty, its only token the end; a very long text is read in pieces of ``batch`` tokens; a null id counts as the empty string for the held-out
@@ -40,8 +42,11 @@ from tallgrass.llm.common import SPACE, ascii_lower, cut, split_words
 END = "\n"
 _SUFFIX = 3  # bytes at a word's end that choose its bucket
 _LAGS = (1, 2, 3)
+_WORD_KINDS = (0, 3)  # the features of the word factor: the word before, and the two before
+_NEVER = -200.0  # the log share of an output without words
 _BOUND = 8.0  # of a weight, so that the exponential of a sum of them stays in single precision
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+_TASK = 1 << 20  # tokens that one task takes in a slice
 #: A token's number: the place of a head word, or this bit, ten bits of bucket and 21 bits of hash.
 _TAIL, _HASH = 1 << 31, 21
 
@@ -60,6 +65,8 @@ class Sizes:
     updates: int = 12
     batch: int = 1 << 15
     blocks: int = 16
+    outputs: int = 32
+    least: int = 64
 
     def features(self, n_words: int) -> int:
         """Rows of the feature table: a power of two, four words to a row, while there is room."""
@@ -133,6 +140,46 @@ def gradient(weights: np.ndarray, bias: np.ndarray, kinds: list[np.ndarray], cla
     return np.bincount(met, minlength=len(weights)), np.ascontiguousarray(slope.T)
 
 
+class Tree:
+    """The softmaxes of the word factor. Node k is that of class k: output 0 is shared by all words without one of their own, outputs 1 ... ``outputs`` / 2 are the most frequent
+    words, each later output is a group of the next ``outputs`` words, with a node of its own. Single words and words of less than ``least`` training tokens get no output.
+
+    first, group, second: of each head word its output in the class's node, the node of its group (or -1) and its output there. shared: of each class, the counts of
+    output 0, all words' halves and the unseen slot included. bias: the log share of each output of a node."""
+
+    def __init__(self, sizes: Sizes, head_class: np.ndarray, head_counts: np.ndarray, room: np.ndarray):
+        n, half = sizes.outputs, sizes.outputs // 2
+        n_groups = n - 1 - half
+        self.first, self.second = np.zeros(len(head_class), np.int64), np.zeros(len(head_class), np.int64)
+        self.group = np.full(len(head_class), -1, np.int64)
+        mass = np.zeros((sizes.classes * (1 + n_groups), n))
+        for k in range(sizes.singles, sizes.classes):
+            own = np.flatnonzero((head_class == k) & (head_counts >= sizes.least))[: half + n_groups * n]  # in order of counts
+            place, counts = np.arange(len(own)), head_counts[own] + 0.5
+            at, self.second[own] = np.divmod(np.maximum(place - half, 0), n)
+            grouped = place >= half
+            self.first[own] = np.where(grouped, 1 + half + at, 1 + place)
+            self.group[own] = np.where(grouped, sizes.classes + k * n_groups + at, -1)
+            mass[k] = np.bincount(self.first[own], counts, n)
+            mass[k, 0] = room[k] - counts.sum()
+            np.add.at(mass, (self.group[own[grouped]], self.second[own[grouped]]), counts[grouped])
+        self.shared = mass[: sizes.classes, 0].copy()
+        total = mass.sum(1, keepdims=True)
+        self.bias = np.where(mass > 0, np.log(np.where(mass > 0, mass, 1) / np.where(total > 0, total, 1)), _NEVER).astype(np.float32)
+        self.has_words = (mass[: sizes.classes, 1:] > 0).any(1)
+
+    def steps(self, codes: np.ndarray, classes: np.ndarray, kinds: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """(token, node, feature numbers, output) of each softmax that the words of these tokens pass. ``kinds``: the feature numbers of the tokens."""
+        place = np.where(codes >= _TAIL, len(self.first), codes).astype(np.int64)
+        one = np.flatnonzero(self.has_words[classes])
+        group = np.append(self.group, -1)[place]
+        two = np.flatnonzero(group >= 0)
+        token, node = np.concatenate([one, two]), np.concatenate([classes[one], group[two]])
+        output = np.concatenate([np.append(self.first, 0)[place[one]], self.second[place[two]]])
+        own = (node + 1) * 0x9E3779B1 >> 8  # a node's rows are those of all others in another order
+        return token, node, [(kinds[i][token] ^ own) & (n - 1) for i in _WORD_KINDS], output
+
+
 class Climber:
     """Weights that follow the gradient, each at a rate that falls with the gradients it has had."""
 
@@ -223,14 +270,17 @@ class Model:
     class_words: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
+    tree: Tree
+    word_weights: np.ndarray
 
     def base_logs(self) -> np.ndarray:
         return np.log10((self.head_counts + 0.5) / (self.n_tokens + 0.5 * (self.n_words + 1)))
 
     def word_logs(self) -> np.ndarray:
-        """log10 P(word | class) of the head."""
-        logs = np.log10((self.head_counts + 0.5) / (self.class_tokens + 0.5 * (self.class_words + 1))[self.head_class])
+        """What no softmax gives: log10 of each head word's share in the shared output of its class; 0 for words with outputs of their own."""
+        logs = np.log10((self.head_counts + 0.5) / np.maximum(self.tree.shared[self.head_class], 0.5))
         logs[: self.sizes.singles] = 0.0
+        logs[self.tree.first > 0] = 0.0
         return logs
 
 
@@ -240,7 +290,8 @@ def classes_of(codes: np.ndarray, head_class: np.ndarray, bucket_class: np.ndarr
 
 
 def _packed(rows: DataFrame, head: list[bytes], sizes: Sizes) -> DataFrame:
-    """``rows`` (doc_id, held_out, text) with the numbers of their tokens, four bytes each, and the words of each text that are not in the head."""
+    """``rows`` (doc_id, held_out, text) with the numbers of their tokens, four bytes each, the words of each text that are not in the head, and the slice of training
+    that the text belongs to (-1: none). Slices are folders, so a pass reads its own only."""
     shared = rows.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +310,9 @@ def _packed(rows: DataFrame, head: list[bytes], sizes: Sizes) -> DataFrame:
                 task += part.num_rows
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return cut(rows.mapInArrow(run, f"row long, doc_id {kind}, {_PACKED}, tail array<struct<word:string,times:int>>"), "lm-packed")
+    packed = rows.mapInArrow(run, f"row long, doc_id {kind}, {_PACKED}, tail array<struct<word:string,times:int>>")
+    part = F.when(F.col("held_out"), -1).otherwise(F.pmod(F.xxhash64("doc_id", "codes"), F.lit(sizes.updates)).cast("int"))
+    return cut(packed.withColumn("slice", part), "lm-packed", "slice")
 
 
 def _head(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
@@ -286,7 +339,7 @@ def train(docs: DataFrame, sizes: Sizes = Sizes(), id_col: str = "doc_id", text_
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     head, head_counts = _head(counts, sizes.head)
     packed = _packed(rows, head, sizes)
-    codes, n_tasks = packed.where("not held_out").select("codes"), packed.rdd.getNumPartitions()
+    codes = packed.where("slice >= 0").select("codes")
     singles, n_buckets, n_signals, n_classes = sizes.singles, sizes.buckets, sizes.signals, sizes.classes
     head_bucket = np.array([bucket_of(w, n_buckets) for w in head], np.int64)
 
@@ -303,7 +356,7 @@ def train(docs: DataFrame, sizes: Sizes = Sizes(), id_col: str = "doc_id", text_
                     table += np.bincount(bucket[use] * n_signals + there[use], minlength=len(table))
         yield _blocks(table, sizes.blocks, "f8")
 
-    found = _summed(codes.mapInArrow(near, "block int, task int, data binary"), "f8", n_tasks)
+    found = _summed(codes.mapInArrow(near, "block int, task int, data binary"), "f8", codes.rdd.getNumPartitions())
     if not len(found):
         found = np.zeros(n_buckets * n_signals)
     bucket_class = cluster(found.reshape(n_buckets, n_signals), n_classes - singles) + singles
@@ -314,45 +367,55 @@ def train(docs: DataFrame, sizes: Sizes = Sizes(), id_col: str = "doc_id", text_
     for r in bucket_counts:
         class_tokens[bucket_class[r["b"]]] += r["c"]
         class_words[bucket_class[r["b"]]] += r["v"]
+    tree = Tree(sizes, head_class, head_counts, class_tokens + 0.5 * (class_words + 1))
     bias = np.log((class_tokens + 0.5) / (class_tokens.sum() + 0.5 * n_classes)).astype(np.float32)
-    climber, n_features = Climber((sizes.features(total["v"]), n_classes)), sizes.features(total["v"])
-    n_tasks = max(2, n_tasks // sizes.updates)  # a table from each: what is gathered grows with the texts
-    sliced = packed.where("not held_out").withColumn("slice", F.pmod(F.xxhash64("doc_id", "codes"), F.lit(sizes.updates)))
+    n_features = sizes.features(total["v"])
+    climber, word_climber = Climber((n_features, n_classes)), Climber((n_features, sizes.outputs))
+    n_tasks = max(2, total["n"] // sizes.updates // _TASK)  # a table from each: what is gathered grows with the texts
     for k in range(sizes.rounds * sizes.updates):
-        shared = spark.sparkContext.broadcast(climber.weights)
+        shared = spark.sparkContext.broadcast((climber.weights, word_climber.weights))
 
         def slope(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((n_features, n_classes), np.float32)
+            weights, word_weights = shared.value
+            total, words = np.zeros(weights.shape, np.float32), np.zeros(word_weights.shape, np.float32)
             for batch in batches:
                 for skip, own, inside, _ in _codes(batch, sizes.batch):
-                    kinds = [f[skip:] for f in features(own, inside, n_features)]
-                    total += gradient(shared.value, bias, kinds, classes_of(own[skip:], head_class, bucket_class))[1]
-            yield _blocks(total, sizes.blocks, "f4")
-
-        own = sliced.where(F.col("slice") == k % sizes.updates).select("codes").coalesce(n_tasks)
+                    kinds, own = [f[skip:] for f in features(own, inside, n_features)], own[skip:]
+                    classes = classes_of(own, head_class, bucket_class)
+                    total += gradient(weights, bias, kinds, classes)[1]
+                    _, node, rows, output = tree.steps(own, classes, kinds, n_features)
+                    if len(node):
+                        words += gradient(word_weights, tree.bias[node], rows, output)[1]
+            yield _blocks(np.concatenate([total.reshape(-1), words.reshape(-1)]), sizes.blocks, "f4")
+
+        own = packed.where(F.col("slice") == k % sizes.updates).select("codes").coalesce(n_tasks)
         sums = _summed(own.mapInArrow(slope, "block int, task int, data binary"), "f4", n_tasks)
         if len(sums):
-            climber.step(sums.reshape(n_features, n_classes), rate / (1 + k // sizes.updates))
+            for c, slope_of in zip((climber, word_climber), np.split(sums, [climber.weights.size]), strict=True):
+                c.step(slope_of.reshape(c.weights.shape), rate / (1 + k // sizes.updates))
         shared.destroy()
-    weights = climber.weights
-    return Model(sizes, counts, total["n"], total["v"], head, head_counts, head_class, bucket_class, class_tokens, class_words, weights, bias), packed
+    learned = climber.weights, bias, tree, word_climber.weights
+    return Model(sizes, counts, total["n"], total["v"], head, head_counts, head_class, bucket_class, class_tokens, class_words, *learned), packed
 
 
 def score(packed: DataFrame, model: Model) -> DataFrame:
     """One row per row of the documents behind ``packed``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark, sizes = packed.sparkSession, model.sizes
-    shared = spark.sparkContext.broadcast((model.base_logs(), model.word_logs(), model.head_class, model.bucket_class, model.weights, model.bias))
+    shared = spark.sparkContext.broadcast((model.base_logs(), model.word_logs(), model.head_class, model.bucket_class, model.weights, model.bias, model.tree, model.word_weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, word, head_class, bucket_class, weights, bias = shared.value
+        base, word, head_class, bucket_class, weights, bias, tree, word_weights = shared.value
         base, word = np.append(base, 0.0), np.append(word, 0.0)  # the last is for words that are not in the head
         for batch in batches:
             sums = np.zeros((4, batch.num_rows))
             for skip, own, inside, text in _codes(batch, sizes.batch):
                 kinds = [f[skip:] for f in features(own, inside, len(weights))]
                 own, text = own[skip:], text[skip:]
-                place = np.where(own >= _TAIL, len(head_class), own).astype(np.int64)
-                logs = log_class(weights, bias, kinds, classes_of(own, head_class, bucket_class)) / np.log(10) + word[place]
+                place, classes = np.where(own >= _TAIL, len(head_class), own).astype(np.int64), classes_of(own, head_class, bucket_class)
+                logs = log_class(weights, bias, kinds, classes) / np.log(10) + word[place]
+                token, node, rows, output = tree.steps(own, classes, kinds, len(word_weights))
+                if len(node):
+                    logs += np.bincount(token, log_class(word_weights, tree.bias[node], rows, output), len(own)) / np.log(10)
                 for row, values in enumerate((np.ones(len(own)), own < _TAIL, base[place], logs)):
                     sums[row] += np.bincount(text, values, batch.num_rows)
             whole = [pa.array(sums[i].astype(np.int64)) for i in (0, 1)]
@@ -361,7 +424,7 @@ def score(packed: DataFrame, model: Model) -> DataFrame:
     kind = packed.schema["doc_id"].dataType.simpleString()
     scored = packed.select("row", "doc_id", "held_out", "codes").mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double")
     c = F.coalesce("c", F.lit(0))
-    room = (model.class_tokens + 0.5 * (model.class_words + 1))[model.bucket_class]  # of each bucket's class
+    room = model.tree.shared[model.bucket_class]  # of each bucket's class: words outside the head have no output of their own
     tail = packed.select("row", F.explode("tail").alias("t")).select("row", "t.*").join(model.counts, "word", "left")
     added = tail.groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known_too"),

@@ -212,6 +212,66 @@ def test_lm_base_scores_and_probabilities(spark, odd, odd_rows, none):
     assert got == Counter((i, round(log_probability(x), 2)) for (i, _), x in zip(odd_rows, words))
 
 
+def test_lm_word_factor_is_a_softmax_over_features(spark, odd, odd_rows):
+    """Words with outputs of their own, words in groups and words below the count, token by token; after any words, all probabilities add up to one."""
+    sizes = lm.Sizes(most_features=64, classes=6, singles=2, buckets=8, signals=4, head=1000, rounds=2, batch=50, blocks=4, outputs=8, least=4)
+    copies = [(100 + k, passage(5, 400)) for k in range(10)]
+    texts, more = [*odd_rows, *copies], spark.createDataFrame(copies, "doc_id long, text string")
+    model, packed = lm.train(odd.select("doc_id", "text").union(more), sizes)
+    words = [[*brute.SPACE.findall(brute.low(t)), lm.END] for _, t in texts]
+    c = Counter(w for (i, _), x in zip(texts, words) if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1 for w in x)
+    place = {w.decode(): i for i, w in enumerate(model.head)}
+    of = {w: place[w] if place.get(w, 99) < sizes.singles else int(model.bucket_class[lm.bucket_of(w.encode(), sizes.buckets)]) for w in {*c, *(w for x in words for w in x)}}
+    paths = {}  # word -> (output, number of its group or None, output there)
+    for k in range(sizes.singles, sizes.classes):
+        own = [w for w in sorted(place, key=place.get) if of[w] == k and place[w] >= sizes.singles and c[w] >= sizes.least][:28]
+        paths |= {w: (i + 1, None, None) if i < 4 else (5 + (i - 4) // 8, (i - 4) // 8, (i - 4) % 8) for i, w in enumerate(own)}
+    assert {p[1] for p in paths.values()} >= {None, 0, 1} and len(paths) < len(place) < len(c)
+    size = np.zeros((sizes.classes, 8)), np.zeros((sizes.classes, 3, 8))
+    for w in c:
+        out, group, second = paths.get(w, (0, None, None))
+        size[0][of[w], out] += c[w] + 0.5
+        if group is not None:
+            size[1][of[w], group, second] += c[w] + 0.5
+    size[0][:, 0] += 0.5  # the unseen slot
+
+    def number(w):
+        return place[w] if w in place else 1 << 31 | lm.bucket_of(w.encode(), sizes.buckets) << 21 | zlib.crc32(w.encode()) & (1 << 21) - 1
+
+    def chosen(rows, node, shares, out):
+        rows = [(r ^ (node + 1) * 0x9E3779B1 >> 8) % len(model.word_weights) for r in rows]
+        e = [share * math.exp(sum(float(model.word_weights[r, j]) for r in rows)) for j, share in enumerate(shares)]
+        return e[out] / sum(e)
+
+    def probability(w, past):
+        a, b, d = past
+        rows = [((x + 1) * int(m) % 2**64 >> 40) % len(model.weights) for x, m in zip([a, b, d, (a * 31 + (b << 24)) % 2**64, (a * 37 + (d << 25)) % 2**64], lm._MULTIPLIERS)]
+        e = [math.exp(float(model.bias[k]) + sum(float(model.weights[r, k]) for r in rows)) for k in range(sizes.classes)]
+        k = of[w] if w in of else int(w)  # a number is the unseen slot of a class
+        p = e[k] / sum(e)
+        if k < sizes.singles:
+            return p
+        out, group, second = paths.get(w, (0, None, None))
+        p *= chosen([rows[0], rows[3]], k, size[0][k], out)
+        if out == 0:
+            return p * (c[w] + 0.5) / size[0][k, 0]
+        return p if group is None else p * chosen([rows[0], rows[3]], sizes.classes + 3 * k + group, size[1][k, group], second)
+
+    def log_probability(text):
+        total, past = 0.0, [0, 0, 0]
+        for w in text:
+            total += math.log10(probability(w, past))
+            past = [number(w) + 1, *past[:2]]
+        return total
+
+    got = {r["doc_id"]: r["score"] for r in lm.score(packed, model).where("doc_id is not null").collect()}
+    for (i, _), x in zip(texts[:-9], words):
+        assert i is None or got[i] == pytest.approx(log_probability(x), rel=1e-4, abs=1e-3)
+    assert np.abs(model.word_weights).max() > 0.1
+    for past in ([0, 0, 0], [number(words[12][7]) + 1, number(words[12][6]) + 1, number(words[12][5]) + 1]):
+        assert sum(probability(w, past) for w in [*c, *map(str, range(sizes.singles, sizes.classes))]) == pytest.approx(1, abs=1e-6)
+
+
 def test_lm_gradient_is_the_slope_of_the_log_likelihood():
     rng = np.random.default_rng(4)
     weights, bias = rng.normal(size=(64, 5)), rng.normal(size=5)
