@@ -21,6 +21,8 @@ from tallgrass.operators.order import running
 
 _SUMS = 6  # n, sums of x, y, xx, yy and xy over samples that have both
 _LEVEL = 32
+#: Sets of a block at most, and members of a block of sets.
+_SETS, _MEMBERS = 2048, 1 << 22
 
 
 def _pack(width: int):
@@ -97,71 +99,77 @@ def pairs(long: DataFrame, least: float | None = None, sample: str = "sample", f
     return done.join(first, "i").join(second, "j").select("src", "dst", "n", "r", "product")
 
 
-def shared_items(sets: DataFrame, least: float, term: str = "term", item: str = "item", width: int = 256, per_chunk: int = 4096) -> DataFrame:
+def shared_items(sets: DataFrame, least: float, term: str = "term", item: str = "item", width: int | None = None, per_chunk: int = 4096) -> DataFrame:
     """(src, dst, shared, jaccard) of pairs of sets (term, item) with a Jaccard similarity of ``least`` (> 0) or more, src before dst by name.
 
-    Sets are cut into blocks and items into chunks; a task counts what the sets of two blocks share in one chunk by a product of 0/1 matrices. Names and sizes travel with the blocks, so pairs are written where they
-    are counted and never joined; with one chunk of items they are not shuffled either. Null terms and items are no members."""
+    Sets are cut into blocks and items into chunks. A block's sets in a chunk are a matrix of bits, or a list of its ones where that is shorter. A task has the chunks of two blocks and adds up what their
+    sets share, chunk by chunk, by products of 0/1 matrices. Names and sizes travel with the blocks and pairs are written where they are counted, a few rows of a block at a time: what is shuffled are the
+    blocks, once for each other block, and never a pair or a count. ``width``: the sets of a block, as many as have about ``_MEMBERS`` members if none is given. Null terms and items are no members."""
     members = stored(sets.where(F.col(term).isNotNull() & F.col(item).isNotNull()).select(F.col(term).alias("term"), F.col(item).alias("item")).distinct(), "set-members")
     names = stored(running(members.groupBy("term").agg(F.count("*").alias("n")), [F.asc("term")], None, "at"), "set-names")
     items = stored(running(members.select("item").distinct(), [F.asc("item")], None, "place"), "set-items")
-    n_blocks = -(-(names.agg(F.max("at").alias("n")).first()["n"] or 0) // width) or 1
-    n_chunks = -(-(items.agg(F.max("place").alias("n")).first()["n"] or 0) // per_chunk) or 1
+    seen = names.agg(F.max("at").alias("sets"), F.sum("n").alias("members")).first()
+    if width is None:
+        width = max(64, min(_SETS, (seen["sets"] or 0) // 16, _MEMBERS * (seen["sets"] or 0) // (seen["members"] or 1)))
+    n_blocks = -(-(seen["sets"] or 0) // width) or 1
     kind = dict(names.dtypes)["term"]
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        cells = np.stack([rows["col"].to_numpy("<i4"), rows["spot"].to_numpy("<i4")])
-        each = rows.drop_duplicates("col").sort_values("col")
-        return pd.DataFrame({"chunk": [key[0]], "block": [key[1]], "cols": [each["col"].tolist()], "terms": [each["term"].tolist()], "sizes": [each["n"].tolist()], "cells": [cells.tobytes()]})
-
-    def count(key: tuple, packed: pd.DataFrame) -> pd.DataFrame:
-        chunk, a, b = key
-        by = {r.block: r for r in packed.itertuples()}
-        if a not in by or b not in by:
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("chunk", "a", "b", "data", "left", "right")})
-        both, x = [np.frombuffer(by[k].cells, "<i4").reshape(2, -1) for k in (a, b)], []
-        used = 1 + max(int(cells[1].max()) for cells in both)  # items of the chunk
-        for cells in both:
-            x.append(np.zeros((width, used), np.float32))
-            x[-1][cells[0], cells[1]] = 1
-        rows = [[dict(zip(("col", "term", "n"), z, strict=True)) for z in zip(r.cols, r.terms, r.sizes, strict=True)] for r in (by[a], by[b])]
-        return pd.DataFrame({"chunk": [chunk], "a": [a], "b": [b], "data": [(x[0] @ x[1].T).astype("<i4").tobytes()], "left": [rows[0]], "right": [rows[1]]})
-
-    def add(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(d, "<i4") for d in parts["data"]], axis=0).astype("<i4")
-        sides = [list({z["col"]: {"col": z["col"], "term": z["term"], "n": z["n"]} for rows in parts[c] for z in rows}.values()) for c in ("left", "right")]
-        return pd.DataFrame({"chunk": [key[2]], "a": [key[0]], "b": [key[1]], "data": [total.tobytes()], "left": [sides[0]], "right": [sides[1]]})
-
-    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                a, b = batch.column("a")[k].as_py(), batch.column("b")[k].as_py()
-                shared = np.frombuffer(batch.column("data")[k].as_buffer(), "<i4").reshape(width, width)
-                terms, sizes = [], []
-                for side in ("left", "right"):
-                    rows = batch.column(side)[k].values
-                    col, n, place = rows.field("col").to_numpy(), np.zeros(width, np.int64), np.zeros(width, np.int64)
-                    n[col], place[col] = rows.field("n").to_numpy(), np.arange(len(col))
-                    terms.append((rows.field("term"), place))
-                    sizes.append(n)
-                either = sizes[0][:, None] + sizes[1][None, :] - shared
-                alike = (shared > 0) & (shared / np.maximum(either, 1) >= least)
-                i, j = np.nonzero(np.triu(alike, 1) if a == b else alike)
-                yield pa.RecordBatch.from_arrays(
-                    [terms[0][0].take(pa.array(terms[0][1][i])), terms[1][0].take(pa.array(terms[1][1][j])), pa.array(shared[i, j].astype(np.int64)), pa.array(shared[i, j] / either[i, j])], ["src", "dst", "shared", "jaccard"]
-                )
+        col, spot = rows["col"].to_numpy("<i4"), rows["spot"].to_numpy("<i4")
+        used = int(spot.max()) + 1  # items of the chunk
+        bits = width * -(-used // 8) <= 8 * len(col)
+        if bits:
+            cells = np.zeros((width, used), bool)
+            cells[col, spot] = True
+            cells = np.packbits(cells, axis=1)
+        else:
+            cells = np.stack([col, spot])
+        return pd.DataFrame({"chunk": [key[0]], "block": [key[1]], "used": [used if bits else -used], "cells": [cells.tobytes()]})
+
+    def name(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("col")  # a block's sets are numbered without a gap
+        return pd.DataFrame({"block": [key[0]], "terms": [rows["term"].tolist()], "sizes": [rows["n"].tolist()]})
+
+    def matrix(used: int, cells: bytes, size: int) -> np.ndarray:
+        if used > 0:
+            x = np.unpackbits(np.frombuffer(cells, np.uint8).reshape(width, -1), axis=1, count=used).astype(np.float32)
+        else:
+            col, spot = np.frombuffer(cells, "<i4").reshape(2, -1)
+            x = np.zeros((width, -used), np.float32)
+            x[col, spot] = 1
+        return x[:, :size]
+
+    def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (a, b), table = (k.as_py() for k in key), pa.Table.from_batches(batches).combine_chunks()
+        total, own, named = np.zeros((width, width), np.int32), {}, {}
+        for k, (block, chunk, used) in enumerate(zip(*(table.column(c).to_pylist() for c in ("block", "chunk", "used")), strict=True)):
+            if chunk is None:
+                named[block] = [table.column(c)[k].values for c in ("terms", "sizes")]
+            else:
+                own.setdefault(chunk, {})[block] = (used, k)
+        for chunk in own.values():
+            if a in chunk and b in chunk:
+                size = min(abs(chunk[k][0]) for k in (a, b))
+                x, y = (matrix(chunk[k][0], table.column("cells")[chunk[k][1]].as_py(), size) for k in (a, b))
+                total += (x @ y.T).astype(np.int32)  # below 2 ** 24 in a chunk, so exact
+        (src, n1), (dst, n2) = named[a], named[b]
+        total, n1, n2 = total[: len(src), : len(dst)], n1.to_numpy(), n2.to_numpy()
+        for at in range(0, len(src), 64):
+            shared = total[at : at + 64]
+            either = n1[at : at + 64, None] + n2[None, :] - shared
+            alike = (shared > 0) & (shared / np.maximum(either, 1) >= least)
+            i, j = np.nonzero(np.triu(alike, 1 + at) if a == b else alike)
+            yield pa.RecordBatch.from_arrays(
+                [src.take(pa.array(i + at)), dst.take(pa.array(j)), pa.array(shared[i, j].astype(np.int64)), pa.array(shared[i, j] / either[i, j])], ["src", "dst", "shared", "jaccard"]
+            )
 
     at, place = F.col("at") - 1, F.col("place") - 1
-    placed = members.join(names, "term").join(items, "item").select(
-        F.floor(place / per_chunk).cast("int").alias("chunk"), F.floor(at / width).cast("int").alias("block"), (at % width).cast("int").alias("col"), (place % per_chunk).cast("int").alias("spot"), "term", "n"
-    )
-    packed = stored(placed.groupBy("chunk", "block").applyInPandas(pack, f"chunk int, block int, cols array<int>, terms array<{kind}>, sizes array<long>, cells binary"), "set-blocks")
+    spot = F.floor(at / width).cast("int").alias("block"), (at % width).cast("int").alias("col")
+    placed = members.join(names, "term").join(items, "item").select(F.floor(place / per_chunk).cast("int").alias("chunk"), *spot, (place % per_chunk).cast("int").alias("spot"))
+    cells = placed.groupBy("chunk", "block").applyInPandas(pack, "chunk int, block int, used int, cells binary")
+    heads = names.select(*spot, "term", "n").groupBy("block").applyInPandas(name, f"block int, terms array<{kind}>, sizes array<long>")
+    packed = stored(cells.unionByName(heads, allowMissingColumns=True), "set-blocks")
     sent = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("other")).withColumns({"a": F.least("block", "other"), "b": F.greatest("block", "other")})
-    side = f"array<struct<col:int,term:{kind},n:long>>"
-    schema = f"chunk int, a int, b int, data binary, left {side}, right {side}"
-    # as many tasks as pairs of blocks need, about 64 to each
-    counts = sent.repartition(max(8, n_blocks * n_blocks * n_chunks // 128), "chunk", "a", "b").groupBy("chunk", "a", "b").applyInPandas(count, schema)
-    while n_chunks > 1:
-        counts = counts.groupBy("a", "b", F.expr(f"chunk div {_LEVEL}").cast("int").alias("chunk")).applyInPandas(add, schema)
-        n_chunks = -(-n_chunks // _LEVEL)
-    return counts.mapInArrow(finished, f"src {kind}, dst {kind}, shared long, jaccard double")
+    # as many tasks as pairs of blocks need, a few to each
+    dealt = sent.repartition(max(8, n_blocks * (n_blocks + 1) // 2 // 4), "a", "b")
+    return dealt.groupBy("a", "b").applyInArrow(count, f"src {kind}, dst {kind}, shared long, jaccard double")

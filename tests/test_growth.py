@@ -106,6 +106,21 @@ def test_sets_are_counted_block_by_block(spark, width, per_chunk):
     assert got == want and found.schema.simpleString() == "struct<src:string,dst:string,shared:bigint,jaccard:double>"
 
 
+def test_pairs_of_sets_are_never_shuffled(spark):
+    """Blocks of bits travel once for each other block; counts and pairs stay where they are counted, whatever the number of chunks."""
+    rng = np.random.default_rng(6)
+    own = {t: set(map(int, rng.choice(500, 300, replace=False))) for t in range(40)} | {40: {7}, 41: {499, 3}}
+    sets = spark.createDataFrame([(t, i) for t, items in own.items() for i in items], "term long, item long")
+    want = {(a, b): len(own[a] & own[b]) for a in own for b in own if a < b and len(own[a] & own[b]) / len(own[a] | own[b]) >= 0.05}
+    for per_chunk in (4096, 100):
+        found = blocks.shared_items(sets, 0.05, width=16, per_chunk=per_chunk)
+        assert {(r["src"], r["dst"]): r["shared"] for r in found.collect()} == want
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert plan.count("Exchange ") == 1
+    packed = spark.read.parquet(*found.inputFiles()).where("chunk is not null").agg(F.sum(F.octet_length("cells")).alias("n")).first()["n"]
+    assert packed <= 48 * 5 * 13  # a bit for each set and item, where cells were eight bytes
+
+
 def test_blocks_of_nodes_give_the_singular_values(spark, monkeypatch):
     """More blocks than are added up at a time, and one view without most of them."""
     monkeypatch.setattr(spectral, "_BLOCK", 2)
