@@ -137,6 +137,37 @@ def test_blocks_of_nodes_give_the_singular_values(spark, monkeypatch):
     assert found.vectors.count() == 71
 
 
+def test_permutations_share_their_edges(spark, monkeypatch):
+    """Edges are stored once for all permutations; blocks, rows of several permutations, nodes of one view only and repeated edges give what whole matrices give."""
+    monkeypatch.setattr(spectral, "_BLOCK", 4)
+    monkeypatch.setattr(spectral, "_COLUMNS", 36, raising=False)  # two permutations a row
+    seen, kept = {}, spectral.stored
+    monkeypatch.setattr(spectral, "stored", lambda rows, name: (out := kept(rows, name), seen.update({name: out.count()}))[0])
+    rng = random.Random(9)
+    names = [f"n{i:02}" for i in range(11)]
+    rows = [(v, a, b, rng.randint(1, 9) / 8) for v in "xy" for i, a in enumerate(names[: 11 if v == "x" else 7]) for b in names[:i] if rng.random() < 0.5] + [("x", "n01", "n00", 0.5), ("y", "n03", "n03", 2.0), ("y", "lost", "n01", 0.0), ("x", "n04", "only", 1.5)]
+    df = spark.createDataFrame(rows, "view string, src string, dst string, weight double").repartition(3)
+    members = spark.createDataFrame([("a", n) for n in names[:3]] + [("b", n) for n in [*names[3:6], "lost"]], "module string, node string")
+    got = {r["perm"]: r["coupling"] for r in spectral.contextual_coupling(df, "x", members, "a", "b", 4, 10, seed=6).collect()}
+    every = sorted({n for _, a, b, _ in rows for n in (a, b)})
+    assert sorted(got) == list(range(5)) and seen["contextual-edges"] <= len(rows)
+    for perm, value in got.items():
+        image = dict(zip(every, every if perm == 0 else sorted(every, key=lambda n: (hashlib.md5(f"6:{perm}:{n}".encode()).hexdigest(), n))))
+        m = np.zeros((len(every), len(every)))
+        for v, a, b, w in rows:
+            i, j = (every.index(image[n] if v == "x" else n) for n in (a, b))
+            if i != j:
+                m[i, j] += w
+                m[j, i] += w
+        there = m.sum(1) > 0
+        root = np.sqrt(np.where(there, m.sum(1), 1))
+        u, s, _ = np.linalg.svd(m / root[:, None] / root)
+        e = (u * np.sqrt(s))[:, :10]
+        e = e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-300)
+        left, right = ([every.index(n) for n in own if there[every.index(n)]] for own in (names[:3], [*names[3:6], "lost"]))
+        assert s[9] - s[10] > 1e-4 and value == pytest.approx((e[left] @ e[right].T).mean(), abs=1e-4)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 def test_labels_are_read_from_the_scores_that_were_fitted(spark):
     for name in ("state_labels", "state_labels_frozen_thresholds", "state_distribution"):
