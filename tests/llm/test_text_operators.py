@@ -137,6 +137,19 @@ def test_licence_recall_and_precision_on_notices_outside_the_templates(spark):
     assert right >= 0.95 * sum(v is not None for v in got.values())
 
 
+def test_every_window_is_in_the_unknown_class(spark):
+    """All windows but those with half of a template are fitted or kept for calibration, however few rows they weigh."""
+    texts = [" ".join([passage(i, 200), passage(900 + i, 50)]) for i in range(90)] + ["Released under the MIT License. " + passage(990 + i, 20) for i in range(10)]
+    texts += [passage(1200, 30) + " source code must retain", passage(1201, 30) + " the software license of this copyright"]  # marked words, no template
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = license._template_words(spark)
+    rows = license.labelled(docs, "doc_id", "text", 20).where("label = 0")
+    every = license.windows(docs, []).select("w", license._shingles("w", 3).alias("x"))
+    want = every.where(F.greatest(*(license.shared_part(f, of) for f in license.TEMPLATES)) < 0.5).select("w")
+    assert rows.count() == want.count() > 300 and want.count() <= every.count() - 10
+    assert rows.select("w").exceptAll(want).count() == 0
+
+
 def test_simhash_on_odd_rows(odd, odd_rows, none):
     prints = [brute.fingerprint(t) for _, t in odd_rows]
     root = brute.components(prints)
